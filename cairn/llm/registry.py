@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import fingerprint, url_filter
+from . import bpe, fingerprint, simhash, url_filter
 
 QUERIES = {
+    "op3_bpe": bpe.query,
     "op5_url_filter": url_filter.query,
     "op7_fingerprint": fingerprint.query,
+    "op9_simhash": simhash.query,
 }
 
 SQL = {
