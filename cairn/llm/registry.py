@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprint, simhash, url_filter
+from . import bpe, fingerprint, quality, simhash, url_filter
 
 QUERIES = {
+    "op2_quality": quality.query,
     "op3_bpe": bpe.query,
     "op5_url_filter": url_filter.query,
     "op7_fingerprint": fingerprint.query,
