@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprint, quality, simhash, url_filter
+from . import bpe, fingerprint, langid, quality, simhash, url_filter
 
 QUERIES = {
     "op2_quality": quality.query,
     "op3_bpe": bpe.query,
     "op5_url_filter": url_filter.query,
     "op7_fingerprint": fingerprint.query,
+    "op8_langid": langid.query,
     "op9_simhash": simhash.query,
 }
 
