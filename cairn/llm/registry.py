@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprint, langid, quality, simhash, url_filter
+from . import bpe, fingerprint, langid, lm, quality, simhash, url_filter
 
 QUERIES = {
     "op2_quality": quality.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_fingerprint": fingerprint.query,
     "op8_langid": langid.query,
     "op9_simhash": simhash.query,
+    "op10_lm": lm.query,
 }
 
 SQL = {
