@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprint, langid, lm, quality, simhash, url_filter
+from . import bpe, fingerprint, langid, linededup, lm, mixing, quality, simhash, url_filter
 
 QUERIES = {
+    "op1_mixing": mixing.query,
     "op2_quality": quality.query,
     "op3_bpe": bpe.query,
     "op5_url_filter": url_filter.query,
+    "op6_linededup": linededup.query,
     "op7_fingerprint": fingerprint.query,
     "op8_langid": langid.query,
     "op9_simhash": simhash.query,
@@ -15,5 +17,6 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_mixing": mixing.SQL,
     "op5_url_filter": url_filter.SQL,
 }
