@@ -112,7 +112,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], keep: float, max_cells
     at = {d: {r["value"]: r["target"] for r in targets[d].collect()} for d in DIMS}
     pdf = cells.toPandas().sort_values(DIMS, ignore_index=True)
     schema = "source string, lang string, topic string, tokens double, weight double, probability double"
-    return cells.sparkSession.createDataFrame(_raked(pdf, at, keep), schema)
+    return F.broadcast(cells.sparkSession.createDataFrame(_raked(pdf, at, keep), schema))  # max_cells rows at most
 
 
 def mix(docs: DataFrame, temperatures: dict[str, float] | None = None, keep: float = KEEP, targets: dict[str, DataFrame] | None = None, id_col: str = "doc_id", text_col: str = "text", topic_of: Column | None = None) -> DataFrame:
