@@ -229,30 +229,32 @@ def _grouped(texts: list[str]) -> Iterator[list[str]]:
         yield some
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids, decoded): the token ids of each whole text as little-endian unsigned 32-bit
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", carried: list[str] | None = None) -> DataFrame:
+    """(id, carried columns, ids, decoded): the token ids of each whole text as little-endian unsigned 32-bit
     integers, and the bytes that they decode to."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    carried = carried or []
+    columns = [id_col, *carried]
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
         for b in batches:
             at = 0
-            for some in _grouped([t or "" for t in b.column(1).to_pylist()]):
+            for some in _grouped([t or "" for t in b.column(len(columns)).to_pylist()]):
                 ids = own.encode_texts(some)
                 back = [own.decode(x) for x in ids]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(at, len(some)), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), pa.array(back, pa.binary())], ["id", "ids", "decoded"]
+                    [*(b.column(i).slice(at, len(some)) for i in range(len(columns))), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), pa.array(back, pa.binary())], [*columns, "ids", "decoded"]
                 )
                 at += len(some)
 
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, ids binary, decoded binary")
-    return out.withColumnRenamed("id", id_col)
+    return docs.select(*columns, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, f"{kinds}, ids binary, decoded binary")
 
 
-def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def digests(encoded: DataFrame, id_col: str = "doc_id", more: list[str] | None = None) -> DataFrame:
     return encoded.select(
         id_col,
+        *(more or []),
         F.expr("octet_length(ids) div 4").cast("bigint").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),

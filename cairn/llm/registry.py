@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprint, langid, linededup, lm, mixing, quality, simhash, url_filter
+from . import ann, bpe, fingerprint, langid, linededup, lm, mixing, quality, simhash, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.query,
     "op2_quality": quality.query,
     "op3_bpe": bpe.query,
+    "op4_ann": ann.query,
     "op5_url_filter": url_filter.query,
     "op6_linededup": linededup.query,
     "op7_fingerprint": fingerprint.query,
