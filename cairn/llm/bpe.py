@@ -5,8 +5,8 @@ batch of texts are encoded once.  Pieces are put into matrices by length: a row
 a byte, padded on the right.  In each round every row that still can merges its leftmost pair of
 minimum rank, the rank of each pair of neighbouring tokens being looked up in an open-addressing
 hash table of numpy arrays; then the row is compacted.  Rows without a pair to merge leave the
-matrix.  Very long pieces go through the same rounds in matrices of few rows, so memory stays
-bounded by ``CELLS``.
+matrix.  A piece of more than LONG bytes is a row by itself, whose rounds merge all pairs that single
+merges would take next.  Memory stays bounded by ``CELLS`` and the longest piece.
 
 Defined results: null texts count as empty and have no tokens; invalid surrogates cannot occur in
 Spark strings; repeated rows are kept; an empty table gives no rows; other columns of the input
@@ -29,6 +29,8 @@ from ._shared import table
 
 #: Cells of a matrix, characters of text and distinct pieces handled at a time.
 CELLS, BATCH_CHARS, PIECES = 1 << 20, 1 << 21, 1 << 17
+#: Pieces of more bytes than this are rows of their own.
+LONG = 512
 #: Pieces remembered between batches.
 REMEMBERED = 1 << 18
 NONE = np.int64(1 << 40)
@@ -139,12 +141,54 @@ class Encoder:
             done[live, : rows.shape[1]] = rows
         return done, (done >= 0).sum(axis=1)
 
+    def encode_long(self, ids: np.ndarray) -> np.ndarray:
+        """Merge one long row.  A round takes the leftmost pair of minimum rank and goes on to the right with
+        the pairs of that rank for as long as no merge makes a pair of smaller rank: what single
+        merges would do one by one."""
+        rank = self.lookup(ids[:-1], ids[1:])
+        while len(rank):
+            best = rank.min()
+            if best == NONE:
+                break
+            at = np.flatnonzero(rank == best)
+            run = at - np.arange(len(at))
+            first = np.r_[True, run[1:] != run[:-1]]
+            nth = np.arange(len(at)) - np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
+            at = at[nth % 2 == 0]  # of overlapping pairs every other
+            left = np.where(at > 0, ids[at - 1], -1)
+            after = np.r_[False, at[1:] == at[:-1] + 2]
+            left[after] = best
+            right = np.where(at + 2 < len(ids), ids[np.minimum(at + 2, len(ids) - 1)], -1)
+            made = np.full(len(at), best)
+            lower = np.flatnonzero(np.minimum(self.lookup(left, made), self.lookup(made, right)) < best)
+            if len(lower):
+                at = at[: lower[0] + 1]
+            ids = ids.copy()
+            ids[at] = best
+            keep = np.ones(len(ids), dtype=bool)
+            keep[at + 1] = False
+            places = np.cumsum(keep)[at] - 1
+            ids = ids[keep]
+            gone = np.ones(len(rank), dtype=bool)
+            gone[at] = False
+            rank = rank[gone]  # one pair less for each merge; those beside it are looked up again
+            for side in (places - 1, places):
+                side = side[(side >= 0) & (side < len(rank))]
+                rank[side] = self.lookup(ids[side], ids[side + 1])
+        return ids
+
     def encode_pieces(self, pieces: list[bytes]) -> tuple[list[int], np.ndarray, np.ndarray]:
         """(order, ids, sizes): the ids of all pieces one after another in that order of the pieces."""
         whole = [self.ranks.get(p, -1) for p in pieces]
         order = [i for i, r in enumerate(whole) if r >= 0]
         flat, sizes = [np.array([whole[i] for i in order], dtype=np.uint32)], [np.ones(len(order), dtype=np.int64)]
         rest = sorted((i for i, r in enumerate(whole) if r < 0), key=lambda i: len(pieces[i]))
+        while rest and len(pieces[rest[-1]]) > LONG:
+            i = rest.pop()
+            ids = self.encode_long(self.byte_rank[np.frombuffer(pieces[i], dtype=np.uint8)])
+            order.append(i)
+            flat.append(ids.astype(np.uint32))
+            sizes.append(np.array([len(ids)]))
         at = 0
         while at < len(rest):
             # Lengths in a matrix differ by a quarter at most.
