@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import table
+from ._shared import table, written
 
 DEPTH, SAME = 3, 0.75
 MIN_DOCS, MIN_TOKENS = 2, 4
@@ -178,7 +178,8 @@ def line_numbers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, id_col: str = "doc_id", text_col: str = "text", dropped: str = "n_dropped") -> DataFrame:
     """``docs`` with shortened texts and one more column, the number of lines that a text has lost."""
-    again = recurring_lines(docs, min_docs, min_tokens, id_col, text_col)
+    # Written, so that the join below reads plain shuffles, which Spark can split where a line is frequent.
+    again = written(recurring_lines(docs, min_docs, min_tokens, id_col, text_col), "recurring")
     hits = line_numbers(docs, id_col, text_col).join(again, "line").where(F.coalesce(F.col("id").cast("bigint"), F.lit(int(LAST))) != F.col("first_id"))
     lost = hits.groupBy("id", "text_key").agg(F.collect_set("n").alias("_lost"))
     key = F.xxhash64(text_col)
