@@ -372,10 +372,10 @@ def majority_vote(spark, sf):
     return spark.read.parquet(f"{sf}/nation.parquet").select("n_name", F.hex(b.majority(*copies)).alias("voted"))
 
 
-@query("SELECT level, pct FROM (VALUES ('low', 7::BIGINT), (' Medium ', 15), ('quartile', 25), ('HIGH', 30), ('12%', 12), ('3', 5), ('99 ', 50), ('x', NULL)) t(level, pct)")
+@query("SELECT level, pct FROM (VALUES ('low', '7'), (' Medium ', '15'), ('quartile', '25'), ('HIGH', '30'), ('12%', '12'), ('3', '5'), ('99 ', '50'), ('x', NULL)) t(level, pct)")
 def parity_levels(spark, sf):
     rows = spark.createDataFrame([(x,) for x in ("low", " Medium ", "quartile", "HIGH", "12%", "3", "99 ", "x")], "level string")
-    return rows.select("level", numbers.level_pct(F.col("level")).alias("pct"))
+    return rows.select("level", numbers.level_pct(F.col("level")).cast("string").alias("pct"))
 
 
 @query("SELECT doc_id, lower(hex(encode(source))) AS aad, replace(replace(rtrim(to_base64(encode(substr(text, 1, 20))), '='), '+', '-'), '/', '_') AS token, doc_id AS back FROM documents")
