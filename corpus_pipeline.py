@@ -29,13 +29,16 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the smallest id; rows without an id stay."""
-    groups = simhash.near_duplicates(docs.select("doc_id", "text"), simhash.NEAR)
-    others = groups.where(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(others, F.col("doc_id") == F.col("_gone"), "left_anti")
-    # Repeated rows of the document that stays are copies, too.
-    kept = kept.dropDuplicates(["doc_id"]) if groups.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").limit(1).count() else kept
-    return kept.select(*docs.columns)
+    """One document of each group of near copies, that with the smallest id.
+
+    If ids repeat or are null, rows are numbered first, and the smallest number of a group stays."""
+    odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL")
+    key = "doc_id"
+    if not odd.isEmpty():
+        docs, key = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered"), "_row"
+    groups = simhash.near_duplicates(docs.select(key, "text"), simhash.NEAR, id_col=key)
+    others = groups.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_gone"))
+    return docs.join(others, F.col(key) == F.col("_gone"), "left_anti").drop("_row")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
