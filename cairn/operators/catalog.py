@@ -58,25 +58,23 @@ def summary(entries: DataFrame, entry_chunks: DataFrame) -> DataFrame:
 
 # Running sums over a whole table, without one task that sees all rows.
 
-SPREAD = 256
+#: Ranges, and the rows sampled (by hash) to cut text into them.
+SPREAD, SAMPLED = 256, 1 << 14
 
 
 def running(rows: DataFrame, order: str, value: str, name: str) -> DataFrame:
     """Adds the sum of ``value`` over all rows with a smaller ``order`` (distinct whole numbers or text).
 
-    Quantiles of a hash-free order cut the rows into SPREAD ranges; sums of the ranges, one row
+    Quantiles of the order cut the rows into SPREAD ranges; sums of the ranges, one row
     each, are added up first, and then each range by itself."""
     kind = rows.schema[order].dataType.simpleString()
-    placed = rows
     if kind in ("bigint", "int"):
         cuts = rows.agg(F.percentile_approx(order, [i / SPREAD for i in range(1, SPREAD)], 10_000)).first()[0] or []
         bounds = sorted(set(cuts))
         at = F.size(F.filter(F.lit(bounds), lambda b: b < F.col(order))) if bounds else F.lit(0)
     else:
-        sample = rows.select(order).where(F.pmod(F.xxhash64(order), F.lit(64)) == 0).orderBy(order)
-        n = sample.count()
-        w = Window.partitionBy().orderBy(order)
-        cuts = [r[0] for r in sample.limit(1 << 16).withColumn("_n", F.row_number().over(w)).where(F.col("_n") % max(1, n // SPREAD) == 0).collect()]
+        sample = sorted(r[0] for r in rows.select(order).orderBy(F.xxhash64(order)).limit(SAMPLED).collect())
+        cuts = sample[:: max(1, len(sample) // SPREAD)]
         at = F.size(F.filter(F.lit(cuts), lambda b: b < F.col(order))) if cuts else F.lit(0)
     placed = rows.withColumn("_range", at)
     sums = placed.groupBy("_range").agg(F.sum(value).alias("_sum"))
