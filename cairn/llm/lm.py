@@ -12,7 +12,7 @@ Elias-Fano coded: low bits packed, high bits in unary.  A predecessor is stored
 its hash scaled to the number of the word's predecessors, so that values are spread evenly and a
 successor search from the high bits reads one or two entries.  Probabilities are kept in 8 bits (of
 bigrams) and 16 bits (of words).  All levels lie in one memory map, and the token's probability is
-found by successor search in it.  What leaves a shard is a sum for each text.
+found by successor search in it.  What leaves a shard is a sum for each text that has tokens there (at most one a token), packed.
 
 Nothing is broadcast that grows with the corpus: words so frequent that they would fill a shard
 (at most 4 times the number of shards) are spread over several by predecessor, with their counts;
@@ -40,7 +40,9 @@ from ._shared import id_bucket, table, written
 
 LAMBDA = 0.7
 #: Tokens of a shard; bytes of text packed at a time; cells of the table of predecessors' counts.
-SHARD_TOKENS, PART_BYTES, SKETCH = 3_000_000, 1 << 22, 1 << 23
+SHARD_TOKENS, PART_BYTES, SKETCH = 2_500_000, 1 << 22, 1 << 23
+#: Texts whose sums are added up at a time.
+BUCKET_ROWS = 20_000
 SPREAD_BITS = 16
 #: Words contain no blank, so these are nobody's hash but by chance.
 END, START = np.uint64(xxhash.xxh64_intdigest(b" end ")), np.uint64(xxhash.xxh64_intdigest(b" start "))
@@ -369,6 +371,32 @@ def sketch_of(words: DataFrame) -> np.ndarray:
     return out
 
 
+SUMS = ["key", "tokens", "known", "base", "score"]
+KINDS = ["<i8", "<i8", "<i8", "<f8", "<f8"]
+
+
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of each text over shards, from packed rows sorted by bucket."""
+    last, held = None, None
+
+    def out() -> pa.RecordBatch:
+        key, *sums = held
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, *sums)], ["key", "n_tokens", "n_known", "base", "score"])
+
+    for b in batches:
+        for i, bucket in enumerate(b.column(0).to_pylist()):
+            new = [np.frombuffer(b.column(1 + c)[i].as_buffer(), dtype=kind) for c, kind in enumerate(KINDS)]
+            if bucket != last:
+                if held is not None:
+                    yield out()
+                last, held = bucket, [x[:0] for x in new]
+            key, at = np.unique(np.concatenate([held[0], new[0]]), return_inverse=True)
+            sums = [np.bincount(at, np.concatenate([x, y]), len(key)) for x, y in zip(held[1:], new[1:])]
+            held = [key, *(s.astype(kind) for s, kind in zip(sums, KINDS[1:]))]
+    if held is not None:
+        yield out()
+
+
 def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) of every row; ``learn``: rows to learn from."""
     spark = docs.sparkSession
@@ -390,13 +418,20 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
     spread = np.minimum(shards, -(-hot_count * 4 * shards // max(n, 1)))
     sketch = spark.sparkContext.broadcast(sketch_of(words))
 
+    buckets = max(1, int(taught["all"] or 0) // BUCKET_ROWS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
 
         def done() -> pa.RecordBatch:
-            cols = score_shard(held, n, v, hot_word, hot_count, sketch.value)
-            packed = cols[1] * (1 << 32) + cols[2]
-            return pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(packed), pa.array(cols[3]), pa.array(cols[4])], ["key", "counts", "base", "score"])
+            got, tokens, seen, base, score = score_shard(held, n, v, hot_word, hot_count, sketch.value)
+            bucket = (got.view(np.uint64) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            cols = [c[order] for c in (got, tokens.astype(np.int64), seen, base, score)]
+            some = [i for i in range(buckets) if ends[i] < ends[i + 1]]
+            packed = [pa.array([c[ends[i] : ends[i + 1]].tobytes() for i in some], pa.binary()) for c in cols]
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *packed], ["bucket", *SUMS])
 
         for b in batches:
             for r in b.to_pylist():
@@ -408,14 +443,14 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
             yield done()
 
     dealt = route(rows, shards, hot_word, spread).repartition(shards, "shard").sortWithinPartitions("shard")
-    sums = dealt.mapInArrow(run, "key bigint, counts bigint, base double, score double")
-    sums = sums.groupBy("key").agg(F.sum("counts").alias("counts"), F.sum("base").alias("base"), F.sum("score").alias("score"))
+    parts = dealt.mapInArrow(run, "bucket int, " + ", ".join(f"{c} binary" for c in SUMS))
+    sums = parts.repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_add_up, "key bigint, n_tokens bigint, n_known bigint, base double, score double")
     joined = ids.join(sums, "key")
     again = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))
     return joined.withColumn("_copy", again).select(
         id_col,
-        (F.shiftright("counts", 32) / F.col("copies")).cast("bigint").alias("n_tokens"),
-        (F.col("counts").bitwiseAND(F.lit(0xFFFFFFFF)) / F.col("copies")).cast("bigint").alias("n_known"),
+        (F.col("n_tokens") / F.col("copies")).cast("bigint").alias("n_tokens"),
+        (F.col("n_known") / F.col("copies")).cast("bigint").alias("n_known"),
         F.lit(n).cast("bigint").alias("train_tokens"),
         (F.col("base") / F.col("copies")).alias("base_score"),
         (F.col("score") / F.col("copies")).alias("score"),
