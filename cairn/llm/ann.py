@@ -34,11 +34,11 @@ from ._shared import table, written
 
 TOP = 10
 #: Neighbours of a node, others it is compared with that name it, and how many it is told in a round.
-NEIGHBOURS, REVERSE, TOLD, ROUNDS = 20, 14, 8, 2
+NEIGHBOURS, REVERSE, TOLD, ROUNDS = 20, 14, 8, 3
 #: Pivots (bounded), cells of each node, nodes of a cell that are compared at once.
 PIVOTS, CELLS, CELL = 8192, 10, 1200
 #: Beam of a query, nodes expanded in a round, most rounds.
-BEAM, EXPANDED, STEPS, ENTRIES = 96, 24, 30, 4
+BEAM, EXPANDED, STEPS, ENTRIES = 128, 32, 30, 4
 QUERY_BLOCK = 4096
 
 
