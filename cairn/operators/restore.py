@@ -56,6 +56,7 @@ def write_files(files: DataFrame, root: str) -> None:
     def write(rows):
         import os
 
+        os.makedirs(root, exist_ok=True)
         for r in rows:
             parts = r["path"].split("/")
             if any(p in ("", ".", "..") for p in parts) or "\0" in r["path"]:
