@@ -3,7 +3,8 @@
 Equal vectors become one node first (however many they are), named by their smallest id; of its
 members the search needs only the ``top`` + 1 with the smallest ids.  The graph starts from
 brute force inside small cells: each node goes to the cells of its nearest pivots, a bounded
-sample of nodes, and large cells are split by hash.  NN-descent then improves it: in each round
+sample of nodes, and large cells are split by a hash of node and cell, so that nodes that part in one
+cell may meet in another.  NN-descent then improves it, until a round changes few edges: in each round
 every node gathers its nearest neighbours and some of the nodes that it is a neighbour of, compares them with
 each other, and tells each about the nearest of the others: neighbours of neighbours.  Every row is
 indexed; distances while building are taken on half-precision copies, in search and results on the
@@ -33,8 +34,10 @@ from pyspark.sql.window import Window
 from ._shared import table, written
 
 TOP = 10
-#: Neighbours of a node, others it is compared with that name it, and how many it is told in a round.
+#: Neighbours of a node, others it is compared with that name it, how many it is told in a round, and the fewest rounds.
 NEIGHBOURS, REVERSE, TOLD, ROUNDS = 20, 14, 8, 3
+#: Rounds go on while at least this share of the edges is new.
+CHANGED = 0.05
 #: Pivots (bounded), cells of each node, nodes of a cell that are compared at once.
 PIVOTS, CELLS, CELL = 8192, 10, 1200
 #: Beam of a query, nodes expanded in a round, most rounds.
@@ -150,17 +153,19 @@ def build_graph(nodes: DataFrame, pivots: np.ndarray, n: int) -> DataFrame:
 
     placed = nodes.select("id", "vec").mapInArrow(cells, "cell bigint, id bigint, vec binary")
     sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("size"))  # at most PIVOTS rows
-    split = placed.join(F.broadcast(sizes), "cell").withColumn("cell", F.xxhash64("cell", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / CELL))))
+    split = placed.join(F.broadcast(sizes), "cell").withColumn("cell", F.xxhash64("cell", F.pmod(F.xxhash64("id", "cell"), F.ceil(F.col("size") / CELL))))
     graph = written(_best(_in_groups(split, "cell", NEIGHBOURS)), "graph")
     half = written(nodes.select("id", "vec").mapInArrow(_to_half, "id bigint, vec binary"), "half")
-    for _ in range(ROUNDS):
+    for done in range(1, ROUNDS + n.bit_length() + 1):
         back = graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")
         w = Window.partitionBy("a").orderBy("d", "b")
         back = back.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= REVERSE)
         own = nodes.select(F.col("id").alias("a"), F.col("id").alias("b"))
         around = graph.select("a", "b").unionByName(back.select("a", "b")).unionByName(own).distinct()
         met = around.join(half.withColumnRenamed("id", "b"), "b").select("a", F.col("b").alias("id"), "vec")
-        graph = written(_best(graph.unionByName(_in_groups(met, "a", TOLD))), "graph")
+        before, graph = graph, written(_best(graph.unionByName(_in_groups(met, "a", TOLD))), "graph")
+        if done >= ROUNDS and graph.join(before, ["a", "b"], "left_anti").count() < CHANGED * graph.count():
+            break
     return graph
 
 

@@ -177,6 +177,17 @@ def test_ann_odd_vectors(spark):
     assert ann.search(ann.usable(v.where("false")), v.where("false")).count() == 0
 
 
+def test_split_cells_do_not_part_the_graph(spark, monkeypatch):
+    """All nodes are in the same cells, and all cells are split into as many parts."""
+    monkeypatch.setattr(ann, "CELL", 60)
+    monkeypatch.setattr(ann, "PIVOTS", 6)
+    x = np.random.default_rng(2).normal(size=(600, 4))
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, vec array<double>")
+    got = ann.build_graph(nodes, ann._pivots(nodes, len(x))[1], len(x)).toPandas()
+    hits = sum(len({i for i, _ in brute(x, np.arange(600), q)} & set(g.b)) for q, g in got.groupby("a"))
+    assert hits >= 0.9 * 10 * len(x)
+
+
 # 5
 
 
