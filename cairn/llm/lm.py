@@ -4,7 +4,8 @@ Tokens are the A-Z lower-cased runs of what is not ASCII white space, then one e
 model is P(w | v) = LAMBDA P1(w) + (1 - LAMBDA) c(v, w) / c(v), with P1(w) = (c(w) + 1) / (N + V + 1).
 
 A first pass counts all words of the texts that may be learnt from, combined in each task before
-the shuffle.  A second pass sends every token, with its predecessor, to the shard of its word:
+the shuffle.  Another finds which predecessors each shard will see, meets them with those counts by
+ranges of the predecessor's 32 bits, and sends every shard the counts of its own.  A last pass sends every token, with its predecessor, to the shard of its word:
 texts to learn from and texts to score travel together, packed by word, about six bytes a token.
 A shard counts its bigrams and builds its trie.  Level 1 holds the words' hashes, level 2 for each
 word its predecessors; monotone pointers lead from one to the other.  All three sequences are
@@ -16,9 +17,8 @@ found by successor search in it.  What leaves a shard is a sum for each text tha
 
 Nothing is broadcast that grows with the corpus: words so frequent that they would fill a shard
 (at most 4 times the number of shards) are spread over several by predecessor, with their counts;
-the counts of predecessors come from a table of SKETCH cells of 8 bits, rounded up, and where words share a
-cell their sum, so that no sum of probabilities can exceed 1.  Words are told apart by 64-bit
-hashes.
+the counts of predecessors are exact and shuffled like the tokens.  Words are told apart by 64-bit
+hashes, predecessors by 32 bits: those of one value (V / 2^32 of V words) count as one everywhere.
 
 Defined results: null texts count as empty, whose only token is the end; an empty table gives no
 rows; if nothing may be learnt, N = V = 0 and every token has P1 = 1; repeated rows are kept;
@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 from ._shared import id_bucket, table, written
 
 LAMBDA = 0.7
-#: Tokens of a shard; bytes of text packed at a time; cells of the table of predecessors' counts.
-SHARD_TOKENS, PART_BYTES, SKETCH = 2_500_000, 1 << 22, 1 << 23
+#: Tokens of a shard; bytes of text packed at a time; predecessors of shards that a task holds before it sends them.
+SHARD_TOKENS, PART_BYTES, HELD_PAIRS = 2_500_000, 1 << 22, 2_000_000
 #: Texts whose sums are added up at a time.
 BUCKET_ROWS = 20_000
 SPREAD_BITS = 16
@@ -290,8 +290,16 @@ def route(docs: DataFrame, shards: int, hot: np.ndarray, spread: np.ndarray) ->
     return docs.mapInArrow(run, ROUTED)
 
 
-def score_shard(rows: list[dict], n: int, v: int, hot: np.ndarray, hot_count: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(key, tokens, known tokens, base, score) of each text with tokens in this shard."""
+def score_shard(rows: list[dict], n: int, v: int, hot: np.ndarray, hot_count: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(key, tokens, known tokens, base, score) of each text with tokens in this shard.
+
+    Rows without texts hold predecessors and their counts."""
+    counts = [r for r in rows if r["doc"] is None]
+    rows = [r for r in rows if r["doc"] is not None]
+    before = np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(r["context"], "<u4") for r in counts)])
+    times = np.concatenate([np.zeros(0, "<i8"), *(np.frombuffer(r["owner"], "<i8") for r in counts)])
+    order = np.argsort(before)
+    before, times = before[order], times[order]
     u8 = lambda name, kind: [np.frombuffer(r[name], dtype=kind) for r in rows]
     docs = [np.cumsum(d) for d in u8("doc", "<i8")]
     learn = np.concatenate([np.unpackbits(f, count=len(d)).astype(bool) for f, d in zip(u8("learn", np.uint8), docs)])
@@ -316,7 +324,7 @@ def score_shard(rows: list[dict], n: int, v: int, hot: np.ndarray, hot_count: np
     together = np.diff(np.r_[first, len(pair)])
     pair = pair[first]
     who, ctx = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    of_context = np.maximum(decoded(sketch[cell_of(ctx)]), together)
+    of_context = times[np.searchsorted(before, ctx)]
     p = LAMBDA * 10 ** log_p[known[who]] + (1 - LAMBDA) * together / of_context
     trie = Trie(words[known], log_p[known], who, ctx, np.log10(p))
     del pair, first, together, of_context, p, who, ctx
@@ -332,43 +340,108 @@ def score_shard(rows: list[dict], n: int, v: int, hot: np.ndarray, hot_count: np
     return tuple(x[some] for x in (np.concatenate(docs), tokens, seen.astype(np.int64), base, score))
 
 
-#: Counts in 8 bits: powers of this, rounded up.
-GROWTH = 1.12
+PAIRS = "bucket int, context binary, value binary, counts boolean"
 
 
-def encoded(count: np.ndarray) -> np.ndarray:
-    return np.minimum(255, np.ceil(np.log(np.maximum(count, 1)) / np.log(GROWTH)) + 1).astype(np.uint8)
+def _by_bucket(context: np.ndarray, value: np.ndarray, buckets: int, counts: bool) -> pa.RecordBatch:
+    """Sorted predecessors with their values, packed by range."""
+    bucket = (context.astype(np.uint64) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+    cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else []
+    ends = np.r_[cuts[1:], len(bucket)].astype(np.int64)
+    packed = [pa.array([c[i:j].tobytes() for i, j in zip(cuts, ends)], pa.binary()) for c in (context, value)]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[cuts] if len(bucket) else [], pa.int32()), *packed, pa.array([counts] * len(cuts), pa.bool_())], [x.split()[0] for x in PAIRS.split(", ")])
 
 
-def decoded(code: np.ndarray) -> np.ndarray:
-    return GROWTH ** (code.astype(np.float64) - 1)
+def _sums(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, dtype=np.int64)
+    return key[first], np.add.reduceat(n, first) if len(key) else n
 
 
-def cell_of(context: np.ndarray) -> np.ndarray:
-    return context >> np.uint32(32 - SKETCH.bit_length() + 1)
+def count_contexts(words: DataFrame, buckets: int) -> DataFrame:
+    """The counts of (word, n) by predecessor, packed by range."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
-def sketch_of(words: DataFrame) -> np.ndarray:
-    """SKETCH cells with the encoded counts of the words in each; reaches the driver as one byte a cell in use."""
+        def out() -> pa.RecordBatch:
+            context, n = _sums(*(np.concatenate(x) for x in zip(*held)))
+            return _by_bucket(context.astype("<u4"), n.astype("<i8"), buckets, True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             h = b.column(0).to_numpy().view(np.uint64)
             h = np.where(h == END, START, h)  # an end follows each text, and each text has a start
-            yield pa.RecordBatch.from_arrays([pa.array(cell_of(_context(h)).astype(np.int32)), b.column(1)], ["cell", "n"])
+            held.append((_context(h), b.column(1).to_numpy()))
+            if sum(len(c) for c, _ in held) > HELD_PAIRS:
+                yield out()
+                held = []
+        if held:
+            yield out()
+
+    return words.select("word", "n").mapInArrow(run, PAIRS)
 
-    cells = words.mapInArrow(run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def seen_contexts(docs: DataFrame, shards: int, hot: np.ndarray, spread: np.ndarray, buckets: int) -> DataFrame:
+    """Which shards need the count of a predecessor, of the texts (text) to learn from, packed by range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(0, dtype=np.uint64)
+
+        def out() -> pa.RecordBatch:
+            return _by_bucket((held >> np.uint64(32)).astype("<u4"), (held & np.uint64(0xFFFFFFFF)).astype("<u4"), buckets, False)
+
         for b in batches:
-            order = np.argsort(b.column(0).to_numpy())
-            cell, code = b.column(0).to_numpy()[order], encoded(b.column(1).to_numpy()[order])
-            yield pa.RecordBatch.from_arrays([pa.array([cell.astype("<i4").tobytes()], pa.binary()), pa.array([code.tobytes()], pa.binary())], ["cell", "code"])
+            for some in _parts(_bytes_of(b.column(0))):
+                word, size = tokens_of(some)
+                before = np.r_[START, word[:-1]]
+                before[np.cumsum(size) - size] = START
+                context = _context(before)
+                new = (context.astype(np.uint64) << np.uint64(32)) | _shards(word, context, shards, hot, spread).astype(np.uint64)
+                held = np.unique(np.concatenate([held, np.unique(new)]))
+                if len(held) > HELD_PAIRS:
+                    yield out()
+                    held = held[:0]
+        if len(held):
+            yield out()
+
+    return docs.mapInArrow(run, PAIRS)
+
+
+def counts_of_shards(counts: DataFrame, seen: DataFrame, buckets: int) -> DataFrame:
+    """Rows as ROUTED without texts: for each shard its predecessors (context) and how often each occurs (owner)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, totals, pairs = None, [], []
+
+        def out() -> pa.RecordBatch:
+            context, n = _sums(*(np.concatenate(x) for x in zip(*totals)))
+            need = np.unique(np.concatenate([np.zeros(0, np.uint64), *pairs]))
+            shard, who = (need >> np.uint64(32)).astype(np.int32), (need & np.uint64(0xFFFFFFFF)).astype("<u4")
+            n = n[np.searchsorted(context, who)].astype("<i8")
+            cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(shard) else np.zeros(0, dtype=np.int64)
+            ends = np.r_[cuts[1:], len(shard)].astype(np.int64)
+            none = pa.nulls(len(cuts), pa.binary())
+            packed = [pa.array([c[i:j].tobytes() for i, j in zip(cuts, ends)], pa.binary()) for c in (who, n)]
+            return pa.RecordBatch.from_arrays([pa.array(shard[cuts], pa.int32()), none, none, none, none, *packed], [x.split()[0] for x in ROUTED.split(", ")])
+
+        for b in batches:
+            for bucket, context, value, is_count in zip(*(c.to_pylist() for c in b.columns)):
+                if bucket != last:
+                    if totals:
+                        yield out()
+                    last, totals, pairs = bucket, [], []
+                context = np.frombuffer(context, "<u4")
+                if is_count:
+                    totals.append((context, np.frombuffer(value, "<i8")))
+                else:
+                    pairs.append((np.frombuffer(value, "<u4").astype(np.uint64) << np.uint64(32)) | context)
+                    if len(pairs) > 1 and sum(map(len, pairs[1:])) > max(HELD_PAIRS, len(pairs[0])):
+                        pairs = [np.unique(np.concatenate(pairs))]
+        if totals:
+            yield out()
 
-    out = np.zeros(SKETCH, dtype=np.uint8)
-    for r in cells.mapInArrow(pack, "cell binary, code binary").toLocalIterator():
-        out[np.frombuffer(r["cell"], "<i4")] = np.frombuffer(r["code"], np.uint8)
-    return out
+    return counts.unionByName(seen).repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, ROUTED)
 
 
 SUMS = ["key", "tokens", "known", "base", "score"]
@@ -399,7 +472,6 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) of every row; ``learn``: rows to learn from."""
-    spark = docs.sparkSession
     # A row's key is a hash of id and text: equal rows share it, are scored once more and given back.
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     key = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), text)
@@ -416,7 +488,7 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
     hot = sorted((int(r["word"]) & 0xFFFFFFFFFFFFFFFF, int(r["n"])) for r in words.where(F.col("n") > most).collect())  # fewer than 4 a shard
     hot_word, hot_count = np.array([h for h, _ in hot], dtype=np.uint64), np.array([c for _, c in hot], dtype=np.int64)
     spread = np.minimum(shards, -(-hot_count * 4 * shards // max(n, 1)))
-    sketch = spark.sparkContext.broadcast(sketch_of(words))
+    contexts = counts_of_shards(count_contexts(words, shards), seen_contexts(rows.where("learn").select("text"), shards, hot_word, spread, shards), shards)
 
     buckets = max(1, int(taught["all"] or 0) // BUCKET_ROWS)
 
@@ -424,7 +496,7 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
         held: list[dict] = []
 
         def done() -> pa.RecordBatch:
-            got, tokens, seen, base, score = score_shard(held, n, v, hot_word, hot_count, sketch.value)
+            got, tokens, seen, base, score = score_shard(held, n, v, hot_word, hot_count)
             bucket = (got.view(np.uint64) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -442,7 +514,7 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
         if held:
             yield done()
 
-    dealt = route(rows, shards, hot_word, spread).repartition(shards, "shard").sortWithinPartitions("shard")
+    dealt = route(rows, shards, hot_word, spread).unionByName(contexts).repartition(shards, "shard").sortWithinPartitions("shard")
     parts = dealt.mapInArrow(run, "bucket int, " + ", ".join(f"{c} binary" for c in SUMS))
     sums = parts.repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_add_up, "key bigint, n_tokens bigint, n_known bigint, base double, score double")
     joined = ids.join(sums, "key")

@@ -497,6 +497,26 @@ def test_lm_with_many_shards(spark, sf, monkeypatch):
     assert all(math.isclose(one[i].base_score, many[i].base_score, rel_tol=1e-9) and one[i].n_known == many[i].n_known and abs(one[i].score - many[i].score) < 0.03 * one[i].n_tokens for i in one)
 
 
+def test_lm_counts_every_predecessor_by_itself(spark):
+    """A rare predecessor beside frequent ones, wherever their hashes fall: words that share 23 bits keep their counts."""
+    from pyspark.sql import functions as F
+
+    by = collections.defaultdict(list)
+    for i in range(20_000):
+        by[int(lm._context(np.array([xxhash.xxh64_intdigest(f"w{i}")], dtype=np.uint64))[0]) >> 9].append(f"w{i}")
+    pairs = [p[:2] for p in by.values() if len(p) > 1][:10]
+    assert len(pairs) == 10
+    texts = [f"{rare} t{n}" for n, (rare, _) in enumerate(pairs)] + [f"{often} x " * 400 for _, often in pairs]
+    got = {r.doc_id: r.score for r in lm.score_texts(docs_of(spark, texts), F.lit(True)).collect()}
+    tokens = [t.split() + [None] for t in texts]
+    c = collections.Counter(x for w in tokens for x in w)
+    n, v = sum(c.values()), len(c)
+    both = collections.Counter((a, b) for w in tokens for a, b in zip([None, *w], w))
+    p = lambda a, b: lm.LAMBDA * (c[b] + 1) / (n + v + 1) + (1 - lm.LAMBDA) * both[a, b] / c[a]
+    for i, w in enumerate(tokens):
+        assert abs(got[i] - sum(math.log10(p(a, b)) for a, b in zip([None, *w], w))) < 0.02 * len(w)
+
+
 def test_elias_fano():
     rng = np.random.default_rng(1)
     for n, universe in ((1, 10), (1000, 1001), (5000, 1 << 40), (3000, 3000 << 16)):
