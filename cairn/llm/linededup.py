@@ -1,26 +1,36 @@
 """Line dedup by a log-template tree.
 
 Lines become tokens (runs of what is not white space); tokens with a digit are variable fields and
-all alike.  The tree has a fixed depth: the number of tokens, then the DEPTH leading tokens lead to a
-leaf.  In a leaf lines are generalised further: in order of how many documents hold them, a
-line becomes the seed of a template, which takes in all lines of the leaf that agree with the seed in
-at least SAME of their tokens; where they differ is a variable field.  A template that is found in
-at least ``min_docs`` documents recurs: its lines go from all documents but the one with the smallest
-id.
-
-Tasks combine equal lines before they shuffle, and send 16 bits a token, not the text; leaves are
-independent of each other.  Texts shuffle once, to meet the numbers of the lines they lose.
-
-Defined results: lines of fewer than ``min_tokens`` tokens always stay; null texts stay null;
-empty texts stay empty; a text that loses all its lines becomes empty; repeated rows are
-treated alike and kept; rows with a null id count as documents, but come after all others when the
-first is chosen; an empty table gives no rows; other columns stay as they are."""
+all alike.  The tree has a fixed depth: the number of tokens, then the DEPTH leading tokens lead to
+a leaf.  In a leaf a template generalises further: the tokens after the leading ones are cut into
+blocks of a quarter of them (rounded down), and each template leaves one block open.  So lines meet in a
+template if they agree in at least three quarters of those tokens, and differ in one block only.
+Every node of the tree is named by a hash of its path, so that a line belongs to a handful of
+templates, whatever else its leaf holds: a leaf is never gathered, and counting is a sum a template.
+
+A line recurs, and goes from all documents but the one with the smallest id, if
+
+* the line itself is found in at least ``min_docs`` documents, being long: ``min_tokens`` tokens or LONG_CHARS code points; or
+* the line itself is found in at least ``short_docs`` documents, being of SHORT_CHARS code points at least; or
+* one of its templates is found in at least ``template_docs`` documents.  Templates need CONSTANTS
+  tokens that are no fields, and as many of these as of others.
+
+Documents are counted, not lines: however many lines of one text share a template, they count once.
+Tasks combine equal templates before they shuffle.  A filter of fixed size over the recurring ones (never larger
+than FILTER_WORDS 64-bit words) goes to the tasks; what passes it meets the exact table in a join.
+Templates are told apart by 62 bits of hash.  Texts shuffle once, to meet the numbers of the lines they lose.
+
+Defined results: lines shorter than all of these, or without a letter, always stay; null texts stay
+null; empty texts stay empty; a text that loses all its lines becomes empty; repeated rows count
+as documents and are kept; rows with a null id count as documents, but come after all others
+when the first is chosen; an empty table gives no rows; other columns stay as they are, but for one
+with the name of the new column, which it replaces."""
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,164 +40,182 @@ from pyspark.sql import functions as F
 
 from ._shared import table, written
 
-DEPTH, SAME = 3, 0.75
-MIN_DOCS, MIN_TOKENS = 2, 4
-PART_LINES = 20_000
-DIGIT = re.compile(rb"\d")
-FIELD = b"<*>"
+DEPTH, QUARTER = 3, 4
+MIN_DOCS, TEMPLATE_DOCS, SHORT_DOCS = 2, 3, 10
+MIN_TOKENS, LONG_CHARS, SHORT_CHARS, CONSTANTS = 4, 24, 12, 4
+#: The filter's 64-bit words (8 MB), and bytes of text taken apart at a time.
+FILTER_WORDS, PART_BYTES = 1 << 20, 1 << 21
+DIGIT, LETTER = re.compile(rb"[0-9]"), re.compile(rb"[A-Za-z\x80-\xff]")
+FIELD = np.uint64(xxhash.xxh64_intdigest(b" field "))  # no token has blanks
 LAST = np.iinfo(np.int64).max
+#: The two lowest bits of a key say what it stands for.
+LONG, SHORT, TEMPLATE = 0, 1, 2
 
 
-def parsed(line: bytes) -> tuple[int, int, bytes] | None:
-    """(leaf, hash of the line, 16 bits a token); None for a line without tokens."""
-    tokens = line.split()
-    if not tokens:
-        return None
-    if DIGIT.search(line):
-        tokens = [FIELD if DIGIT.search(t) else t for t in tokens]
-    leaf = xxhash.xxh64_intdigest(b"%d " % len(tokens) + b" ".join(tokens[:DEPTH]))
-    whole = xxhash.xxh64_intdigest(b" ".join(tokens))
-    return leaf, whole, np.fromiter(map(zlib.crc32, tokens), dtype=np.uint32, count=len(tokens)).astype("<u2").tobytes()
-
-
-def templates(size: np.ndarray, docs: np.ndarray, first: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    """Seed of each distinct line of a leaf; tokens: [line, token]."""
-    order = np.lexsort((size, first, -docs))
-    seed = np.full(len(order), -1, dtype=np.int64)
-    left = order
-    while len(left):
-        same = (tokens[left] == tokens[left[0]]).mean(axis=1) >= SAME
-        seed[left[same]] = left[0]
-        left = left[~same]
-    return seed
-
-
-def recurring(leaf: np.ndarray, line: np.ndarray, docs: np.ndarray, first: np.ndarray, token: list[bytes], min_docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """(line, first document) of the lines whose templates recur, of whole leaves sorted by leaf."""
-    order = np.lexsort((line, leaf))
-    leaf, line, docs, first = leaf[order], line[order], docs[order], first[order]
-    new = np.flatnonzero(np.r_[True, (leaf[1:] != leaf[:-1]) | (line[1:] != line[:-1])])
-    docs, first = np.add.reduceat(docs, new), np.minimum.reduceat(first, new)
-    leaf, line, example = leaf[new], line[new], order[new]
-    start = np.flatnonzero(np.r_[True, leaf[1:] != leaf[:-1]])
-    size = np.diff(np.r_[start, len(leaf)])
-    seed = np.arange(len(leaf))
-    for s, m in zip(start[size > 1].tolist(), size[size > 1].tolist()):
-        rows = [np.frombuffer(token[i], "<u2") for i in example[s : s + m].tolist()]
-        by_length: dict[int, list[int]] = {}
-        for i, r in enumerate(rows):  # all of one length, but for colliding hashes
-            by_length.setdefault(len(r), []).append(i)
-        for some in by_length.values():
-            at = s + np.array(some)
-            seed[at] = at[templates(line[at], docs[at], first[at], np.stack([rows[i] for i in some]))]
-    total = np.bincount(seed, docs, len(seed))
-    least = np.full(len(seed), LAST)
-    np.minimum.at(least, seed, first)
-    again = total[seed] >= min_docs
-    return line[again], least[seed][again]
-
-
-def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(line, first_id): hashes of lines of recurring templates and the smallest id that has one."""
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[tuple[int, int], list] = {}
-
-        def out() -> pa.RecordBatch:
-            keys = np.array(list(found), dtype=np.uint64).view(np.int64)
-            docs, first, token, *_ = zip(*found.values())
-            return pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(docs), pa.array(first), pa.array(token, pa.binary())], ["leaf", "line", "docs", "first", "token"])
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A splitmix finaliser."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-        for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary())):
-                if not t.is_valid:
+
+def _sums(x: np.ndarray) -> np.ndarray:
+    return np.r_[np.zeros(1, x.dtype), np.cumsum(x, dtype=x.dtype)]
+
+
+def keys_of(texts: list[bytes], min_tokens: int = MIN_TOKENS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, line, key): each line of each text with the keys of all it belongs to."""
+    owner, number, tokens, kind, numeric = [], [], [], [], []
+    for i, text in enumerate(texts):
+        for n, line in enumerate(text.split(b"\n")):
+            if len(line) < SHORT_CHARS or not LETTER.search(line):
+                continue
+            words = line.split()
+            k = LONG
+            if len(words) < min_tokens:
+                chars = len(line.strip().decode("utf-8", "replace"))
+                if chars < SHORT_CHARS:
                     continue
-                own = LAST if i is None else i
-                for text in set(t.as_buffer().to_pybytes().split(b"\n")):
-                    if text.count(b" ") + 1 < min_tokens and len(text.split()) < min_tokens:
-                        continue
-                    p = parsed(text)
-                    if p is None or len(p[2]) < 2 * min_tokens:
-                        continue
-                    have = found.get(p[:2])
-                    if have is None:
-                        found[p[:2]] = [1, own, p[2], i, t]
-                    else:
-                        have[0] += have[3] != i or have[4] is not t  # lines of one text that look alike count once
-                        have[1], have[3], have[4] = min(have[1], own), i, t
-                if len(found) > PART_LINES:
-                    yield out()
-                    found = {}
-        if found:
-            yield out()
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        rows = 0
-
-        def done(t: pa.Table) -> pa.RecordBatch:
-            cols = [t.column(c).to_numpy() for c in ("leaf", "line", "docs", "first")]
-            line, first = recurring(*cols, t.column("token").to_pylist(), min_docs)
-            return pa.RecordBatch.from_arrays([pa.array(line), pa.array(first)], ["line", "first_id"])
+                k = LONG if chars >= LONG_CHARS else SHORT
+            if DIGIT.search(line):
+                numeric.append(len(tokens))
+            owner.append(i)
+            number.append(n)
+            tokens.append(words)
+            kind.append(k)
+    owner, number, kind = np.array(owner, np.int64), np.array(number, np.int32), np.array(kind, np.uint64)
+    size = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    end = np.cumsum(size)
+    start = end - size
+    raw = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(tokens)), np.uint64, int(size.sum()))
+    field = np.zeros(len(raw), np.int64)
+    for i in numeric:
+        field[start[i] : end[i]] = [DIGIT.search(t) is not None for t in tokens[i]]
+    place = ((np.arange(len(raw)) - np.repeat(start, size)).astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    whole = _sums(_mixed(raw + place))
+    masked = _sums(_mixed(np.where(field == 1, FIELD, raw) + place))
+    fields = _sums(field)
+    seal = lambda total, salt: _mixed(_mixed(total + size_of) + salt) & ~np.uint64(3)
+
+    size_of = size.astype(np.uint64)
+    out = [(owner, number, seal(whole[end] - whole[start], np.uint64(0)) | kind)]
+
+    lost = fields[end] - fields[start]
+    some = np.flatnonzero((size >= min_tokens) & (lost > 0) & (size - lost >= CONSTANTS) & (2 * lost <= size))
+    size_of = size[some].astype(np.uint64)
+    out.append((owner[some], number[some], seal(masked[end[some]] - masked[start[some]], np.uint64(1)) | np.uint64(TEMPLATE)))
+
+    width = (size - DEPTH) // QUARTER
+    some = np.flatnonzero((width > 0) & (size >= min_tokens))
+    blocks = -(-(size[some] - DEPTH) // width[some])
+    at = np.repeat(some, blocks)
+    nth = np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    a = start[at] + DEPTH + nth * width[at]
+    b = np.minimum(a + width[at], end[at])
+    lost = fields[end[at]] - fields[start[at]] + (b - a) - (fields[b] - fields[a])  # fields, and tokens left open
+    good = (size[at] - lost >= CONSTANTS) & (2 * lost <= size[at])
+    at, nth, a, b = at[good], nth[good], a[good], b[good]
+    size_of = size[at].astype(np.uint64)
+    total = masked[end[at]] - masked[start[at]] - (masked[b] - masked[a])
+    out.append((owner[at], number[at], seal(total, nth.astype(np.uint64) + np.uint64(2)) | np.uint64(TEMPLATE)))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _parts(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, texts) of about PART_BYTES; null texts are empty, which have no lines to count."""
+    at, some, n = 0, [], 0
+    for t in column.cast(pa.binary()):
+        some.append(t.as_buffer().to_pybytes() if t.is_valid else b"")
+        n += len(some[-1])
+        if n > PART_BYTES:
+            yield at, some
+            at, some, n = at + len(some), [], 0
+    if some:
+        yield at, some
+
+
+def recurring_keys(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, template_docs: int = TEMPLATE_DOCS, short_docs: int = SHORT_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(key, first_id): lines and templates that recur and the smallest id that has one."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).fill_null(int(LAST)).to_numpy()
+            for at, texts in _parts(batch.column(1)):
+                owner, _, key = keys_of(texts, min_tokens)
+                order = np.lexsort((owner, key))
+                owner, key = owner[order], key[order]
+                once = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])]) if len(key) else order
+                owner, key = owner[once], key[once]
+                new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else order
+                first = np.minimum.reduceat(ids[at + owner], new) if len(key) else ids[:0]
+                n = np.diff(np.r_[new, len(key)])
+                yield pa.RecordBatch.from_arrays([pa.array(key[new].view(np.int64)), pa.array(n), pa.array(first)], ["key", "docs", "first_id"])
+
+    found = docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).mapInArrow(run, "key bigint, docs bigint, first_id bigint")
+    kind = F.col("key").bitwiseAND(F.lit(3))
+    least = F.when(kind == LONG, min_docs).when(kind == SHORT, short_docs).otherwise(template_docs)
+    return found.groupBy("key").agg(F.sum("docs").alias("docs"), F.min("first_id").alias("first_id")).where(F.col("docs") >= least).select("key", "first_id")
+
+
+def _probe(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word, bits) of each key in a blocked Bloom filter."""
+    h = _mixed(key.view(np.uint64))
+    one = np.uint64(1)
+    bits = (one << (h & np.uint64(63))) | (one << ((h >> np.uint64(6)) & np.uint64(63))) | (one << ((h >> np.uint64(12)) & np.uint64(63)))
+    return (h >> np.uint64(18)) % np.uint64(FILTER_WORDS), bits
+
+
+def _filter(keys: DataFrame) -> np.ndarray:
+    """The filter's words: tasks combine theirs, and at most FILTER_WORDS reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = np.zeros(FILTER_WORDS, np.uint64)
         for b in batches:
-            held.append(b)
-            rows += len(b)
-            if rows < 4 * PART_LINES:
-                continue
-            t = pa.Table.from_batches(held)
-            leaf = t.column("leaf").to_numpy()
-            cut = int(np.searchsorted(leaf, leaf[-1]))  # the last leaf may go on
-            if cut:
-                yield done(t.slice(0, cut))
-            held, rows = t.slice(cut).to_batches(), len(t) - cut
-        if rows:
-            yield done(pa.Table.from_batches(held))
-
-    lines = docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).mapInArrow(parse, "leaf bigint, line bigint, docs bigint, first bigint, token binary")
-    dealt = lines.repartition(F.col("leaf")).sortWithinPartitions("leaf")
-    found = dealt.mapInArrow(judge, "line bigint, first_id bigint")
-    # Lines that differ but hash alike in different leaves: the smaller first id holds for both.
-    return found.groupBy("line").agg(F.min("first_id").alias("first_id"))
-
-
-def line_numbers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text_key, n, line): the hash of each line that has tokens, and its number."""
+            np.bitwise_or.at(words, *_probe(b.column(0).to_numpy()))
+        some = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(words[some].view(np.int64))], ["word", "bits"])
+
+    got = keys.select("key").mapInArrow(run, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = np.zeros(FILTER_WORDS, np.uint64)
+    words[got.column(0).to_numpy()] = got.column(1).to_numpy().view(np.uint64)
+    return words
+
+
+def possible_lines(docs: DataFrame, words: np.ndarray, min_tokens: int = MIN_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text_key, n, key): lines with a key that passes the filter."""
     kind = docs.schema[id_col].dataType.simpleString()
+    sent = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, len(b), 1024):
-                part = b.slice(at, 1024)
-                owner, number, line = [], [], []
-                for i, t in enumerate(part.column(2).cast(pa.binary())):
-                    if t.is_valid:
-                        for n, text in enumerate(t.as_buffer().to_pybytes().split(b"\n")):
-                            tokens = text.split()
-                            if tokens:
-                                if DIGIT.search(text):
-                                    tokens = [FIELD if DIGIT.search(x) else x for x in tokens]
-                                owner.append(i)
-                                number.append(n)
-                                line.append(xxhash.xxh64_intdigest(b" ".join(tokens)))
-                take = pa.array(owner, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(number, pa.int32()), pa.array(np.array(line, dtype=np.uint64).view(np.int64))], ["id", "text_key", "n", "line"])
-
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, text_key bigint, n int, line bigint")
-
-
-def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, id_col: str = "doc_id", text_col: str = "text", dropped: str = "n_dropped") -> DataFrame:
+        held = sent.value
+        for batch in batches:
+            for at, texts in _parts(batch.column(2)):
+                owner, number, key = keys_of(texts, min_tokens)
+                word, bits = _probe(key)
+                hit = (held[word] & bits) == bits
+                take = pa.array(at + owner[hit])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(number[hit]), pa.array(key[hit].view(np.int64))], ["id", "text_key", "n", "key"])
+
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, text_key bigint, n int, key bigint")
+
+
+def drop_recurring(
+    docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, template_docs: int = TEMPLATE_DOCS, short_docs: int = SHORT_DOCS,
+    id_col: str = "doc_id", text_col: str = "text", dropped: str = "n_dropped",
+) -> DataFrame:
     """``docs`` with shortened texts and one more column, the number of lines that a text has lost."""
     # Written, so that the join below reads plain shuffles, which Spark can split where a line is frequent.
-    again = written(recurring_lines(docs, min_docs, min_tokens, id_col, text_col), "recurring")
-    hits = line_numbers(docs, id_col, text_col).join(again, "line").where(F.coalesce(F.col("id").cast("bigint"), F.lit(int(LAST))) != F.col("first_id"))
-    lost = hits.groupBy("id", "text_key").agg(F.collect_set("n").alias("_lost"))
-    key = F.xxhash64(text_col)
-    both = docs.withColumn("_key", key).join(lost.select(F.col("id").alias("_id"), F.col("text_key").alias("_text_key"), "_lost"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text_key")), "left")
-    kept = F.array_join(F.filter(F.split(text_col, "\n", -1), lambda _, i: ~F.array_contains("_lost", i)), "\n")
-    text = F.when(F.col("_lost").isNull(), F.col(text_col)).otherwise(kept)
-    columns = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return both.select(*columns, F.when(F.col("_lost").isNull(), 0).otherwise(F.size("_lost")).alias(dropped))
+    again = written(recurring_keys(docs, min_docs, min_tokens, template_docs, short_docs, id_col, text_col), "recurring")
+    hits = possible_lines(docs, _filter(again), min_tokens, id_col, text_col).join(again, "key").where(F.coalesce(F.col("id").cast("bigint"), F.lit(int(LAST))) != F.col("first_id"))
+    lost = hits.groupBy("id", "text_key").agg(F.collect_set("n").alias("lost"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("row_id"), F.xxhash64(text_col).alias("row_key"))
+    both = rows.join(lost, F.col("row_id").eqNullSafe(F.col("id")) & (F.col("row_key") == F.col("text_key")), "left")
+    own = F.col("row").getField(text_col)
+    lines = F.split(own, "\n", -1)
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "lost")
+    text = F.when(F.col("lost").isNull(), own).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+    columns = [text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns if c != dropped]
+    return both.select(*columns, F.when(F.col("lost").isNull(), 0).otherwise(F.size("lost")).alias(dropped))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

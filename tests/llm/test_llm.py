@@ -223,51 +223,75 @@ def test_long_lists_go_through_a_table(spark, monkeypatch):
 # 6
 
 
-def brute_lines(rows, min_docs=linededup.MIN_DOCS, min_tokens=linededup.MIN_TOKENS):
-    field = lambda t: "<*>" if re.search(r"[0-9]", t) else t
-    leaves = collections.defaultdict(lambda: collections.defaultdict(list))
-    for i, text in rows:
-        seen = set()
+def brute_keys(line):
+    """(needed documents, template) of all that a line belongs to, spelled out."""
+    toks = re.findall(r"[^\x20\x09-\x0D]+", line)
+    chars = len(line.strip(" \t\n\r\v\f"))
+    n, out = len(toks), []
+    if not re.search(r"[A-Za-z\x80-\U0010ffff]", line):
+        return out
+    if n >= linededup.MIN_TOKENS and len(line.encode()) >= linededup.SHORT_CHARS or chars >= linededup.LONG_CHARS:
+        out.append((linededup.MIN_DOCS, tuple(toks)))
+    elif chars >= linededup.SHORT_CHARS:
+        return [(linededup.SHORT_DOCS, tuple(toks))]
+    if n < linededup.MIN_TOKENS or not out:
+        return out
+    masked = ["<*>" if re.search("[0-9]", t) else t for t in toks]
+    open_blocks = [[]] if "<*>" in masked else []
+    width = (n - linededup.DEPTH) // 4
+    if width:
+        open_blocks += [range(a, min(a + width, n)) for a in range(linededup.DEPTH, n, width)]
+    for block in open_blocks:
+        shown = tuple("<?>" if i in block else t for i, t in enumerate(masked))
+        constant = sum(t not in ("<*>", "<?>") for t in shown)
+        if constant >= linededup.CONSTANTS and 2 * constant >= n:
+            out.append((linededup.TEMPLATE_DOCS, (tuple(block), shown)))
+    return out
+
+
+def brute_lines(rows):
+    owners = collections.defaultdict(set)
+    for at, (i, text) in enumerate(rows):
         for line in (text or "").split("\n"):
-            toks = tuple(field(t) for t in re.findall(r"[^\x20\x09-\x0D]+", line))
-            if len(toks) >= min_tokens and toks not in seen:
-                seen.add(toks)
-                leaves[len(toks), toks[:3]][toks].append(i)
-    first = {}
-    for lines in leaves.values():
-        key = lambda t: (-len(lines[t]), min(lines[t]), xxhash.xxh64_intdigest(" ".join(t).encode()))
-        key2 = lambda t: (*key(t)[:2], np.uint64(key(t)[2]).astype(np.int64))
-        left = sorted(lines, key=key2)
-        while left:
-            seed = left[0]
-            group = [t for t in left if sum(a == b for a, b in zip(t, seed)) >= linededup.SAME * len(seed)]
-            left = [t for t in left if t not in group]
-            owners = [i for t in group for i in lines[t]]
-            if len(owners) >= min_docs:
-                for t in group:
-                    first[t] = min(owners)
+            for k in brute_keys(line):
+                owners[k].add((i, at))
+    first = {k: min(o)[0] for k, o in owners.items() if len(o) >= k[0]}
     out = {}
     for i, text in rows:
-        keep = [line for line in (text or "").split("\n") if first.get(tuple(field(t) for t in re.findall(r"[^\x20\x09-\x0D]+", line)), i) == i]
-        out[i] = "\n".join(keep) if text is not None else None
+        kept = [line for line in (text or "").split("\n") if all(first.get(k, i) == i for k in brute_keys(line))]
+        out[i] = "\n".join(kept) if text is not None else None
     return out
 
 
+LINES = [
+    "Order 17 has been sent to you today.\nA line of its own stands here.", "Order 4711 has been sent to you today.", "Order 5 has been sent to us today.",
+    "One two three four five six seven eight\nOne two three four five six seven nine", "One two three four five six seven ten",
+    "Was erlytion that. Anea.", "Was erlytion that. Ansh.", "Was erlytion that. Bnsh.", "2019 12 3.5 7", "2020 11 3.6 8", "2021 10 3.7 9", "2019 12 3.5 7",
+    "这是一个没有空格的句子它在许多文档中重复出现所以应当删除", "这是一个没有空格的句子它在许多文档中重复出现所以应当删除", *["Kept for all.\nYes"] * 11,
+]
+
+
 def test_lines_equal_brute_force(spark, sf, documents):
-    rows = [(r[0], r[1]) for r in documents] + [(9000, "Order 17 has been sent to you today.\nA line of its own stands here."), (9001, "Order 4711 has been sent to you today."), (9002, "Order 5 has been sent to us today.")]
+    rows = [(r[0], r[1]) for r in documents] + [(9000 + n, t) for n, t in enumerate(LINES)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = {r.doc_id: r.text for r in linededup.drop_recurring(df).collect()}
     want = brute_lines(rows)
     assert {i for i in want if got[i] != want[i]} == set()
-    assert got[9000] == rows[-3][1] and got[9001] == "" and got[9002] == ""
+    assert got[9000] == LINES[0] and got[9001] == "" and got[9002] == ""
+    assert [got[9000 + n] for n in range(3, 12)] == LINES[3:12], "two documents, though three lines; too few constant tokens; only numbers"
+    assert got[9012] == LINES[12] and got[9013] == "" and got[9014] == LINES[14] and got[9015] == "Yes"
 
 
-def test_lines_of_odd_rows(odd, none):
+def test_lines_of_odd_rows(spark, odd, none):
     rows = linededup.drop_recurring(odd).collect()
     assert len(rows) == len(ODD) + 3
     got = {r.doc_id: r.text for r in rows}
     assert got[0] is None and got[1] == "" and got[6] == ODD[6] and got[7] == "" and got[10] == "\n\n\n" and got[8] == ODD[8]
     assert linededup.drop_recurring(none).count() == 0
+    clash = spark.createDataFrame([(1, "the same line once more", "k", 7, "l"), (2, "the same line once more", "k", 7, "l")], "doc_id bigint, text string, _key string, n_dropped int, lost string")
+    out = linededup.drop_recurring(clash)
+    assert out.columns == ["doc_id", "text", "_key", "lost", "n_dropped"]
+    assert sorted(map(tuple, out.collect())) == [(1, "the same line once more", "k", "l", 0), (2, "", "k", "l", 1)]
 
 
 # 7
