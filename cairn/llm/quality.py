@@ -5,16 +5,17 @@ each chunk of CHUNK windows (chunks overlap, and together cover the whole text)
 response of every filter.  The largest and the mean of these over a text's chunks go into one
 logistic unit: the probability of label 1.
 
-It learns on the driver from a bounded sample of labelled texts: at most ``sample`` of each label,
-those with the smallest hash of their id, and of each text at most PIECES pieces of PIECE bytes
-spread over the whole (all of it if shorter).  Losses are weighted by how often each label occurs
-among all labelled rows, so scores are probabilities under the true shares.  Scoring reads every
-whole text.
+It learns on the driver from whole texts of a bounded sample of labelled rows: at most ``sample`` of
+each label, those with the smallest hash of their id.  Losses are weighted by how often each label
+occurs among all labelled rows, so scores are probabilities under the true shares.  Learning and
+scoring walk a long text in segments of SEGMENT chunks, and keep the largest and the sum as they
+go: memory does not grow with a text beyond its bytes, and the results are those of the whole.
 
 Defined results: null texts count as empty, and an empty text gets the score of a text of zero
 bytes; repeated rows are kept; without labelled rows of both kinds, the score of all is the smoothed
 share of label 1 (0.5 without any); a doc_id labelled twice has the smaller label; null
-labels are ignored; an empty table gives no rows; other columns are ignored."""
+labels are ignored; an empty table gives no rows; other columns are ignored, and kept by
+:func:`with_score`, but for one with the name of the new column, which it replaces; a null id is not held out."""
 
 from __future__ import annotations
 
@@ -32,8 +33,10 @@ from ._shared import id_bucket, table
 DIM, STEP, WIDTH, FILTERS = 4, 4, 8, 16
 #: Windows in a chunk and from one chunk to the next: 1024 bytes, 128 of them shared.
 CHUNK, CHUNK_STEP = 256, 224
-#: The sample's bounds: texts of each label, pieces of a text, bytes of a piece.
-SAMPLE, PIECES, PIECE = 700, 8, 1024
+#: Chunks of a segment: about a megabyte.
+SEGMENT = 1024
+#: The sample's bound: rows of each label.
+SAMPLE = 700
 EPOCHS, BATCH, RATE = 24, 64, 0.02
 BATCH_BYTES = 1 << 20
 THRESHOLD = 0.3
@@ -58,11 +61,35 @@ def new_net(seed: int = 7) -> Net:
     return Net(f(256, DIM) * 4, f(STEP * DIM, FILTERS), f(STEP * DIM, FILTERS), np.zeros(FILTERS, np.float32), f(2 * FILTERS), np.zeros(1, np.float32))
 
 
-def _layout(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, chunk starts, chunk ends, chunks of each text); each text padded to whole windows."""
-    size = np.array([len(t) for t in texts])
-    blocks = np.maximum(2, -(-size // STEP) + 1)
-    data = b"".join(t.ljust(int(n) * STEP, b"\0") for t, n in zip(texts, blocks))
+def _segments(text: bytes) -> Iterator[tuple[bytes, int]]:
+    """(bytes, blocks of STEP bytes) of a text's chunks, SEGMENT at a time; the last is to be padded."""
+    windows = max(1, -(-len(text) // STEP))
+    chunks = max(1, -(-(windows - CHUNK) // CHUNK_STEP) + 1)
+    for at in range(0, chunks, SEGMENT):
+        first = at * CHUNK_STEP
+        last = windows if at + SEGMENT >= chunks else (at + SEGMENT - 1) * CHUNK_STEP + CHUNK
+        yield text[first * STEP : (last + 1) * STEP], last + 1 - first
+
+
+def _batches(texts: list[bytes]) -> Iterator[tuple[list[int], list[tuple[bytes, int]]]]:
+    """(text of each segment, segments), a megabyte or two at a time."""
+    owner, some, n = [], [], 0
+    for i, t in enumerate(texts):
+        for seg in _segments(t):
+            owner.append(i)
+            some.append(seg)
+            n += len(seg[0])
+            if n > BATCH_BYTES:
+                yield owner, some
+                owner, some, n = [], [], 0
+    if some:
+        yield owner, some
+
+
+def _layout(segments: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, chunk starts, chunk ends, chunks of each segment); each segment padded to whole windows."""
+    blocks = np.array([n for _, n in segments])
+    data = b"".join(t.ljust(n * STEP, b"\0") for t, n in segments)
     start = np.cumsum(blocks) - blocks
     windows = blocks - 1
     chunks = np.maximum(1, -(-(windows - CHUNK) // CHUNK_STEP) + 1)
@@ -88,45 +115,61 @@ def _pool(y: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return np.maximum.reduceat(y, at, axis=0)[::2]
 
 
-def _features(pooled: np.ndarray, chunks: np.ndarray) -> np.ndarray:
-    at = np.cumsum(chunks) - chunks
-    return np.concatenate([np.maximum.reduceat(pooled, at, axis=0), np.add.reduceat(pooled, at, axis=0) / chunks[:, None]], axis=1)
+def _features(net: Net, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(features, chunks) of each whole text: the largest and the mean of its chunks' maxima."""
+    top, total, count = np.zeros((len(texts), FILTERS), np.float32), np.zeros((len(texts), FILTERS)), np.zeros(len(texts), np.int64)
+    for owner, segments in _batches(texts):
+        data, lo, hi, chunks = _layout(segments)
+        pooled = _pool(_responses(net, data), lo, hi)
+        at = np.cumsum(chunks) - chunks
+        np.maximum.at(top, owner, np.maximum.reduceat(pooled, at, axis=0))
+        np.add.at(total, owner, np.add.reduceat(pooled, at, axis=0, dtype=np.float64))
+        np.add.at(count, owner, chunks)
+    return np.concatenate([top, (total / np.maximum(count, 1)[:, None]).astype(np.float32)], axis=1), count
 
 
 def score(net: Net, texts: list[bytes]) -> np.ndarray:
     """Probability of label 1 of each whole text."""
     if not texts:
         return np.zeros(0)
-    data, lo, hi, chunks = _layout(texts)
-    z = _features(_pool(_responses(net, data), lo, hi), chunks) @ net.out + net.base
+    z = _features(net, texts)[0] @ net.out + net.base
     return 1 / (1 + np.exp(-z.astype(np.float64)))
 
 
 def _gradients(net: Net, texts: list[bytes], label: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
-    data, lo, hi, chunks = _layout(texts)
-    y = _responses(net, data)
-    pooled = _pool(y, lo, hi)
-    feats = _features(pooled, chunks)
+    """Of the sum of weighted log losses, by each of the net's parameters."""
+    feats, count = _features(net, texts)
     z = feats @ net.out + net.base
     dz = ((1 / (1 + np.exp(-z)) - label) * weight).astype(np.float32)
-    doc = np.repeat(np.arange(len(texts)), chunks)
-    top = pooled >= feats[doc, :FILTERS]
-    dpool = dz[doc, None] * (top * net.out[:FILTERS] + net.out[FILTERS:] / chunks[doc, None])
-    dpool = np.where(pooled > 0, dpool, 0).astype(np.float32)
-    # The window that gave each chunk's maximum, for each filter.
-    offset = np.minimum(lo[:, None] + np.arange(CHUNK), hi[:, None] - 1)
-    win = np.take_along_axis(offset, y[offset].argmax(axis=1), axis=1)
-    cells = data.reshape(-1, STEP)
-    grads_first, grads_second = np.zeros_like(net.first), np.zeros_like(net.second)
-    grad_embed = np.zeros_like(net.embed)
-    for half, grad, shift in ((net.first, grads_first, 0), (net.second, grads_second, 1)):
-        seen = cells[win + shift]  # [chunk, filter, STEP]
-        x = net.embed[seen].reshape(*win.shape, STEP * DIM)
-        grad += np.einsum("cf,cfd->df", dpool, x)
-        dx = (dpool[:, :, None] * half.T[None]).reshape(*win.shape, STEP, DIM)
-        for d in range(DIM):
-            grad_embed[:, d] += np.bincount(seen.ravel(), dx[..., d].ravel(), 256).astype(np.float32)
-    return [grad_embed, grads_first, grads_second, dpool.sum(axis=0), dz @ feats, dz.sum(keepdims=True)]
+    grads = [np.zeros_like(net.embed), np.zeros_like(net.first), np.zeros_like(net.second), np.zeros_like(net.bias)]
+    left = np.ones((len(texts), FILTERS), bool)  # a maximum's share goes to the first chunk that has it
+    for owner, segments in _batches(texts):
+        data, lo, hi, chunks = _layout(segments)
+        y = _responses(net, data)
+        pooled = _pool(y, lo, hi)
+        doc = np.repeat(owner, chunks)
+        top = pooled >= feats[doc, :FILTERS]
+        at, f = np.nonzero(top)
+        first = np.unique(doc[at] * FILTERS + f, return_index=True)[1]
+        first = first[left[doc[at[first]], f[first]]]
+        top[:] = False
+        top[at[first], f[first]] = True
+        left[doc[at[first]], f[first]] = False
+        dpool = dz[doc, None] * (top * net.out[:FILTERS] + net.out[FILTERS:] / count[doc, None])
+        dpool = np.where(pooled > 0, dpool, 0).astype(np.float32)
+        # The window that gave each chunk's maximum, for each filter.
+        offset = np.minimum(lo[:, None] + np.arange(CHUNK), hi[:, None] - 1)
+        win = np.take_along_axis(offset, y[offset].argmax(axis=1), axis=1)
+        cells = data.reshape(-1, STEP)
+        for half, grad, shift in ((net.first, grads[1], 0), (net.second, grads[2], 1)):
+            seen = cells[win + shift]  # [chunk, filter, STEP]
+            x = net.embed[seen].reshape(*win.shape, STEP * DIM)
+            grad += np.einsum("cf,cfd->df", dpool, x)
+            dx = (dpool[:, :, None] * half.T[None]).reshape(*win.shape, STEP, DIM)
+            for d in range(DIM):
+                grads[0][:, d] += np.bincount(seen.ravel(), dx[..., d].ravel(), 256).astype(np.float32)
+        grads[3] += dpool.sum(axis=0)
+    return [*grads, dz @ feats, dz.sum(keepdims=True)]
 
 
 def train(texts: list[bytes], labels: np.ndarray, share: float, seed: int = 7) -> Net:
@@ -153,14 +196,6 @@ def train(texts: list[bytes], labels: np.ndarray, share: float, seed: int = 7) -
     return net
 
 
-def _pieces(text):
-    """At most PIECES * PIECE bytes of a text, spread over the whole."""
-    data = F.coalesce(text, F.lit("")).cast("binary")
-    n = F.octet_length(data)
-    cut = [F.substring(data, F.lit(1) + F.floor((n - PIECE) * i / (PIECES - 1)).cast("int"), F.lit(PIECE)) for i in range(PIECES)]
-    return F.when(n <= PIECES * PIECE, data).otherwise(F.concat(*cut))
-
-
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", usable=None) -> Net | float:
     """A net, or the share of label 1 where there are not both labels.  usable: which label rows may be learnt from."""
     rows = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
@@ -175,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     spark = docs.sparkSession
     chosen = spark.createDataFrame(ids, rows.schema)
     own = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
-    found = own.join(F.broadcast(chosen), id_col).select(id_col, "_label", _pieces(F.col("_text")).alias("_data"))
+    found = own.join(F.broadcast(chosen), id_col).select(id_col, "_label", F.coalesce("_text", F.lit("")).cast("binary").alias("_data"))
     got = found.groupBy(id_col, "_label").agg(F.min("_data").alias("_data")).collect()
     got.sort(key=lambda r: r[id_col])
     label = np.array([r["_label"] for r in got])
@@ -184,32 +219,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     return train([bytes(r["_data"]) for r in got], label, share)
 
 
-def _batches(texts: list[bytes]) -> Iterator[list[bytes]]:
-    some, n = [], 0
-    for t in texts:
-        some.append(t)
-        n += len(t)
-        if n > BATCH_BYTES:
-            yield some
-            some, n = [], 0
-    if some:
-        yield some
-
-
 def with_score(docs: DataFrame, model: Net | float, text_col: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with one more column: the probability of label 1 of each whole text."""
+    if name == text_col:
+        raise ValueError("the score needs a name of its own")
+    docs = docs.drop(name)
     if isinstance(model, float):
         return docs.withColumn(name, F.lit(model))
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row = 0
             texts = b.column(at).cast(pa.binary())
-            for some in _batches([t.as_buffer().to_pybytes() if t.is_valid else b"" for t in texts]):
-                part = b.slice(row, len(some))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score(model, some))], [*part.schema.names, name])
-                row += len(some)
+            for row in range(0, len(b), 1024):
+                part = b.slice(row, 1024)
+                got = score(model, [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in texts[row : row + 1024]])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got)], [*part.schema.names, name])
 
     out = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
     return docs.mapInArrow(run, out)
@@ -219,4 +244,4 @@ def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, table(spark, sf_dir, "labels"), usable=id_bucket("doc_id", 5) != 0)
     scored = with_score(docs, model)
-    return scored.select("doc_id", (id_bucket("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(id_bucket("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
