@@ -16,8 +16,8 @@ A line recurs, and goes from all documents but the one with the smallest id, if
   tokens that are no fields, and as many of these as of others.
 
 Documents are counted, not lines: however many lines of one text share a template, they count once.
-Tasks combine equal templates before they shuffle.  A filter of fixed size over the recurring ones (never larger
-than FILTER_WORDS 64-bit words) goes to the tasks; what passes it meets the exact table in a join.
+Tasks combine equal templates before they shuffle.  A filter of fixed size over the recurring ones goes to
+the tasks; what passes it meets the exact table in a join.
 Templates are told apart by 62 bits of hash.  Texts shuffle once, to meet the numbers of the lines they lose.
 
 Defined results: lines shorter than all of these, or without a letter, always stay; null texts stay
@@ -35,16 +35,17 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import table, written
+from ._shared import filter_of, mixed, passes, table, written
 
 DEPTH, QUARTER = 3, 4
 MIN_DOCS, TEMPLATE_DOCS, SHORT_DOCS = 2, 3, 10
 MIN_TOKENS, LONG_CHARS, SHORT_CHARS, CONSTANTS = 4, 24, 12, 4
-#: The filter's 64-bit words (8 MB), and bytes of text taken apart at a time.
-FILTER_WORDS, PART_BYTES = 1 << 20, 1 << 21
+#: Bytes of text taken apart at a time.
+PART_BYTES = 1 << 21
 DIGIT, LETTER = re.compile(rb"[0-9]"), re.compile(rb"[A-Za-z\x80-\xff]")
 FIELD = np.uint64(xxhash.xxh64_intdigest(b" field "))  # no token has blanks
 LAST = np.iinfo(np.int64).max
@@ -52,13 +53,6 @@ LAST = np.iinfo(np.int64).max
 LONG, SHORT, TEMPLATE = 0, 1, 2
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """A splitmix finaliser."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def _sums(x: np.ndarray) -> np.ndarray:
     return np.r_[np.zeros(1, x.dtype), np.cumsum(x, dtype=x.dtype)]
 
@@ -92,10 +86,10 @@ def keys_of(texts: list[bytes], min_tokens: int = MIN_TOKENS) -> tuple[np.ndarra
     for i in numeric:
         field[start[i] : end[i]] = [DIGIT.search(t) is not None for t in tokens[i]]
     place = ((np.arange(len(raw)) - np.repeat(start, size)).astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    whole = _sums(_mixed(raw + place))
-    masked = _sums(_mixed(np.where(field == 1, FIELD, raw) + place))
+    whole = _sums(mixed(raw + place))
+    masked = _sums(mixed(np.where(field == 1, FIELD, raw) + place))
     fields = _sums(field)
-    seal = lambda total, salt: _mixed(_mixed(total + size_of) + salt) & ~np.uint64(3)
+    seal = lambda total, salt: mixed(mixed(total + size_of) + salt) & ~np.uint64(3)
 
     size_of = size.astype(np.uint64)
     out = [(owner, number, seal(whole[end] - whole[start], np.uint64(0)) | kind)]
@@ -157,42 +151,15 @@ def recurring_keys(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int =
     return found.groupBy("key").agg(F.sum("docs").alias("docs"), F.min("first_id").alias("first_id")).where(F.col("docs") >= least).select("key", "first_id")
 
 
-def _probe(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(word, bits) of each key in a blocked Bloom filter."""
-    h = _mixed(key.view(np.uint64))
-    one = np.uint64(1)
-    bits = (one << (h & np.uint64(63))) | (one << ((h >> np.uint64(6)) & np.uint64(63))) | (one << ((h >> np.uint64(12)) & np.uint64(63)))
-    return (h >> np.uint64(18)) % np.uint64(FILTER_WORDS), bits
-
-
-def _filter(keys: DataFrame) -> np.ndarray:
-    """The filter's words: tasks combine theirs, and at most FILTER_WORDS reach the driver."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = np.zeros(FILTER_WORDS, np.uint64)
-        for b in batches:
-            np.bitwise_or.at(words, *_probe(b.column(0).to_numpy()))
-        some = np.flatnonzero(words)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(words[some].view(np.int64))], ["word", "bits"])
-
-    got = keys.select("key").mapInArrow(run, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    words = np.zeros(FILTER_WORDS, np.uint64)
-    words[got.column(0).to_numpy()] = got.column(1).to_numpy().view(np.uint64)
-    return words
-
-
-def possible_lines(docs: DataFrame, words: np.ndarray, min_tokens: int = MIN_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def possible_lines(docs: DataFrame, held: Broadcast, min_tokens: int = MIN_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text_key, n, key): lines with a key that passes the filter."""
     kind = docs.schema[id_col].dataType.simpleString()
-    sent = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = sent.value
         for batch in batches:
             for at, texts in _parts(batch.column(2)):
                 owner, number, key = keys_of(texts, min_tokens)
-                word, bits = _probe(key)
-                hit = (held[word] & bits) == bits
+                hit = passes(held.value, key)
                 take = pa.array(at + owner[hit])
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(number[hit]), pa.array(key[hit].view(np.int64))], ["id", "text_key", "n", "key"])
 
@@ -206,7 +173,7 @@ def drop_recurring(
     """``docs`` with shortened texts and one more column, the number of lines that a text has lost."""
     # Written, so that the join below reads plain shuffles, which Spark can split where a line is frequent.
     again = written(recurring_keys(docs, min_docs, min_tokens, template_docs, short_docs, id_col, text_col), "recurring")
-    hits = possible_lines(docs, _filter(again), min_tokens, id_col, text_col).join(again, "key").where(F.coalesce(F.col("id").cast("bigint"), F.lit(int(LAST))) != F.col("first_id"))
+    hits = possible_lines(docs, filter_of(again, "key"), min_tokens, id_col, text_col).join(again, "key").where(F.coalesce(F.col("id").cast("bigint"), F.lit(int(LAST))) != F.col("first_id"))
     lost = hits.groupBy("id", "text_key").agg(F.collect_set("n").alias("lost"))
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("row_id"), F.xxhash64(text_col).alias("row_key"))
     both = rows.join(lost, F.col("row_id").eqNullSafe(F.col("id")) & (F.col("row_key") == F.col("text_key")), "left")

@@ -21,11 +21,10 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ._shared import table, written
 
-ROUNDS, FACTOR_ROUNDS, MAX_CELLS = 12, 10, 1 << 18
+ROUNDS, FACTOR_ROUNDS, MAX_CELLS = 24, 10, 1 << 18
 NONE = "(none)"
 DIMS = ["source", "lang", "topic"]
 #: Of the query: temperatures, and the share of all tokens to keep.
@@ -57,7 +56,8 @@ def unit(id_: Column) -> Column:
 def targets_of(cells: DataFrame, dim: str, temperature: float) -> DataFrame:
     """(value, target): tokens to the power of the temperature, as shares of all."""
     by = cells.groupBy(F.col(dim).alias("value")).agg(F.sum("tokens").alias("tokens")).where("tokens > 0").withColumn("t", F.pow("tokens", F.lit(temperature)))
-    return by.select("value", (F.col("t") / F.sum("t").over(Window.partitionBy())).alias("target"))
+    total = by.agg(F.sum("t")).first()[0] or 1.0
+    return by.select("value", (F.col("t") / total).alias("target"))
 
 
 def _raked(cells, targets: dict, keep: float):
@@ -105,35 +105,49 @@ def _raked_frame(cells: DataFrame, targets: dict[str, DataFrame], keep: float) -
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], keep: float, max_cells: int = MAX_CELLS) -> DataFrame:
-    """Cells (source, lang, topic, tokens) with their weight and sampling probability."""
-    cells = written(cells, "cells")
+    """Cells (source, lang, topic, tokens) with their weight and sampling probability.
+
+    The cells are read several times: pass a table."""
     if cells.count() > max_cells:
         return _raked_frame(cells, targets, keep)
-    at = {d: {r["value"]: r["target"] for r in targets[d].collect()} for d in DIMS}
+    # Only the targets of values that there are: at most max_cells.
+    at = {d: {r["value"]: r["target"] for r in targets[d].join(cells.select(F.col(d).alias("value")), "value", "left_semi").collect()} for d in DIMS}
     pdf = cells.toPandas().sort_values(DIMS, ignore_index=True)
     schema = "source string, lang string, topic string, tokens double, weight double, probability double"
     return F.broadcast(cells.sparkSession.createDataFrame(_raked(pdf, at, keep), schema))  # max_cells rows at most
 
 
-def mix(docs: DataFrame, temperatures: dict[str, float] | None = None, keep: float = KEEP, targets: dict[str, DataFrame] | None = None, id_col: str = "doc_id", text_col: str = "text", topic_of: Column | None = None) -> DataFrame:
-    """(id, source, lang, topic, n_tokens, weight, probability, kept) of each row.
-
-    targets: by dimension, frames (value, target share); else made by ``temperatures``."""
+def _drawn(docs: DataFrame, temperatures: dict[str, float] | None, keep: float, targets: dict[str, DataFrame] | None, id_col: str, text_col: str, topic_of: Column | None, more: list[Column]) -> DataFrame:
+    """(_id, source, lang, topic, n_tokens, weight, probability, kept) of each row, and ``more``."""
     text = F.col(text_col)
-    rows = docs.select(
+    own = [
         F.col(id_col).alias("_id"),
         F.coalesce(F.col("source").cast("string"), F.lit(NONE)).alias("source"),
         F.coalesce(F.col("lang").cast("string"), F.lit(NONE)).alias("lang"),
         F.coalesce(topic(text) if topic_of is None else topic_of, F.lit(NONE)).alias("topic"),
         n_tokens(text).alias("n_tokens"),
-    )
-    cells = written(rows.groupBy(*DIMS).agg(F.sum("n_tokens").cast("double").alias("tokens")), "cells")
+    ]
+    cells = written(docs.select(*own).groupBy(*DIMS).agg(F.sum("n_tokens").cast("double").alias("tokens")), "cells")
     temperatures = temperatures or TEMPERATURES
     targets = {d: (targets or {}).get(d) or targets_of(cells, d, temperatures[d]) for d in DIMS}
     raked = rake(cells, targets, keep).drop("tokens")
-    out = rows.join(raked, DIMS)
+    out = docs.select(*own, *more).join(raked, DIMS)
     probability = F.round("probability", 6)
-    return out.select(F.col("_id").alias(id_col), *DIMS, "n_tokens", F.round("weight", 6).alias("weight"), probability.alias("probability"), (unit(F.col("_id")) < probability).alias("kept"))
+    return out.withColumns({"weight": F.round("weight", 6), "probability": probability, "kept": unit(F.col("_id")) < probability})
+
+
+def mix(docs: DataFrame, temperatures: dict[str, float] | None = None, keep: float = KEEP, targets: dict[str, DataFrame] | None = None, id_col: str = "doc_id", text_col: str = "text", topic_of: Column | None = None) -> DataFrame:
+    """(id, source, lang, topic, n_tokens, weight, probability, kept) of each row.
+
+    targets: by dimension, frames (value, target share); else made by ``temperatures``."""
+    out = _drawn(docs, temperatures, keep, targets, id_col, text_col, topic_of, [])
+    return out.select(F.col("_id").alias(id_col), *DIMS, "n_tokens", "weight", "probability", "kept")
+
+
+def sample(docs: DataFrame, temperatures: dict[str, float] | None = None, keep: float = KEEP, targets: dict[str, DataFrame] | None = None, id_col: str = "doc_id", text_col: str = "text", topic_of: Column | None = None) -> DataFrame:
+    """The rows of ``docs`` that :func:`mix` keeps, with all their columns; each row is decided by itself."""
+    out = _drawn(docs, temperatures, keep, targets, id_col, text_col, topic_of, [F.struct(*docs.columns).alias("_row")])
+    return out.where("kept").select("_row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

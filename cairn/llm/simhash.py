@@ -7,7 +7,7 @@ values.  Two fingerprints link if they differ in at most ``radius`` bits.
 Equal fingerprints become one node first, whatever their number.  Each node is then listed under
 its key in several *tables*; a key is the fingerprint under the table's bit mask.  With
 ``exact_masks`` every link within the radius shares a key in some table (pigeonhole), so none is
-lost; ``sampled_masks`` serve radii that are too wide for that.  Rows are dealt by key and sorted,
+lost.  Rows are dealt by key and sorted,
 and inside each key the fingerprints are compared in bit-sliced form: bit planes are stored
 vertically, eight fingerprints a byte, the planes' differences are added up by carry-save
 counters that overflow beyond the radius, and a block of lanes is abandoned once all have
@@ -52,16 +52,6 @@ def exact_masks(radius: int, shared: int) -> np.ndarray:
     return np.array([[sum(c)] for c in combinations(blocks, shared)], dtype=np.uint64)
 
 
-def sampled_masks(words: int, tables: int, bits: int, seed: int = 5) -> np.ndarray:
-    """Masks of ``bits`` random positions each."""
-    rng = np.random.default_rng(seed)
-    out = np.zeros((tables, words), dtype=np.uint64)
-    for row in out:
-        for at in rng.choice(64 * words, bits, replace=False):
-            row[at // 64] |= np.uint64(1) << np.uint64(at % 64)
-    return out
-
-
 @dataclass(frozen=True)
 class Scheme:
     """shingle: words in a shingle; words: 64-bit words in a fingerprint; radius: most bits that linked ones differ in."""
@@ -74,8 +64,6 @@ class Scheme:
 
 #: The query's contract: 3 words, 64 bits, 3 bits apart, no link lost.
 CONTRACT = Scheme()
-#: 5 words and similarity 0.8: two such texts differ in 39 of 256 bits on average (standard deviation 6).
-NEAR = Scheme(shingle=5, words=4, radius=46, masks=sampled_masks(4, 48, 16))
 
 
 def _mixed(h: np.ndarray, step: int) -> np.ndarray:
