@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, linededup, mixing, quality, simhash
+from cairn.llm import bpe, linededup, mixing, near, quality
 from cairn.llm._shared import id_bucket, table, written
 
 #: Tokens that the mixing stage keeps, of all, and how far it evens out each marginal (1: as found).
@@ -32,19 +32,15 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that with the smallest id.
 
     If ids repeat or are null, rows are numbered first, and the smallest number of a group stays."""
-    odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL")
-    key = "doc_id"
-    if not odd.isEmpty():
-        docs, key = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered"), "_row"
-    groups = simhash.near_duplicates(docs.select(key, "text"), simhash.NEAR, id_col=key)
-    others = groups.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_gone"))
-    return docs.join(others, F.col(key) == F.col("_gone"), "left_anti").drop("_row")
+    columns = docs.columns
+    docs, key = near.numbered(docs)
+    others = near.near_copies(docs, key).where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_gone"))
+    return docs.join(others, F.col(key) == F.col("_gone"), "left_anti").select(*columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample of documents, raked to source, language and topic."""
-    decided = mixing.mix(docs, TEMPERATURES, KEEP).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(decided, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(*docs.columns)
+    """A sample of documents, raked to source, language and topic; each row is kept or not by its own probability."""
+    return mixing.sample(docs, TEMPERATURES, KEEP)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
