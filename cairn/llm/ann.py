@@ -3,17 +3,18 @@
 Equal vectors become one node first (however many they are), named by their smallest id; of its
 members the search needs only the ``top`` + 1 with the smallest ids.  The graph starts from
 brute force inside small cells: each node goes to the cells of its nearest pivots, a bounded
-sample of nodes, and large cells are split by a hash of node and cell, so that nodes that part in one
-cell may meet in another.  NN-descent then improves it, until a round changes few edges: in each round
-every node gathers its nearest neighbours and some of the nodes that it is a neighbour of, compares them with
+sample of nodes, and a cell that is too large is cut again by pivots of its own, as often as it takes.
+NN-descent then improves the graph, until a round changes few edges: in each round every node gathers
+its nearest neighbours and some of the nodes that it is a neighbour of, compares them with
 each other, and tells each about the nearest of the others: neighbours of neighbours.  Every row is
-indexed; distances while building are taken on half-precision copies, in search and results on the
+indexed.  While the graph is built, vectors are 32-bit copies, moved to the middle of the pivots and scaled to the
+largest component, compared in double precision: neither large nor small nor mixed magnitudes are lost.  Search and results use the
 original vectors in double precision.
 
 A query starts at its own node (if it has one) and at the nearest pivots.  In each round the nearest
 nodes of its beam that were not expanded yet are joined with the graph, and the distances to the
 new nodes computed; it ends when the beam's nodes are all expanded.  A query that reaches fewer
-nodes than it should return is answered by an exact scan in blocks.
+nodes than it should return is answered by an exact scan in blocks of queries.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part,
 neither do those whose length is not the commonest (ties: the longest); a query has no row for
@@ -27,21 +28,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._shared import table, written
+from ._shared import forget, table, written
 
 TOP = 10
 #: Neighbours of a node, others it is compared with that name it, how many it is told in a round, and the fewest rounds.
-NEIGHBOURS, REVERSE, TOLD, ROUNDS = 20, 14, 8, 3
+NEIGHBOURS, REVERSE, TOLD, ROUNDS = 24, 18, 8, 3
 #: Rounds go on while at least this share of the edges is new.
-CHANGED = 0.05
-#: Pivots (bounded), cells of each node, nodes of a cell that are compared at once.
-PIVOTS, CELLS, CELL = 8192, 10, 1200
-#: Beam of a query, nodes expanded in a round, most rounds.
-BEAM, EXPANDED, STEPS, ENTRIES = 128, 32, 30, 4
+CHANGED = 0.03
+#: Pivots (bounded in number and bytes), cells of each node, nodes of a cell that are compared at once, and most pivots of a large cell.
+PIVOTS, PIVOT_BYTES, CELLS, CELL, AGAIN = 8192, 1 << 25, 10, 1200, 64
+#: Nodes of a large cell that one task deals to its pivots.
+DEALT = 100_000
+#: Beam of a query, nodes expanded in a round, pivots that it starts from.
+BEAM, EXPANDED, ENTRIES = 160, 40, 4
 QUERY_BLOCK = 4096
 
 
@@ -55,17 +58,28 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     return rows.where(F.size("vec") == F.lit(size["n"] if size else 0)).groupBy("id").agg(F.min("vec").alias("vec"))
 
 
-def distance(a: Column, b: Column) -> Column:
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+def _rows(vec: pa.Array, n: int) -> np.ndarray:
+    return vec.flatten().to_numpy().reshape(n, -1)
 
 
-def _half(vec: pa.Array, n: int) -> np.ndarray:
-    return vec.flatten().to_numpy().astype(np.float16).reshape(n, -1)
+def _packed(vec: pa.Array, n: int) -> np.ndarray:
+    return np.frombuffer(b"".join(vec.to_pylist()), np.float32).reshape(n, -1).astype(np.float64)
+
+
+def distances(pairs: DataFrame) -> DataFrame:
+    """(q, node, d): Euclidean distances of (q, node, q_vec, node_vec)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if len(b):
+                d = np.sqrt(((_rows(b.column(2), len(b)) - _rows(b.column(3), len(b))) ** 2).sum(axis=1))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(d)], ["q", "node", "d"])
+
+    return pairs.select("q", "node", "q_vec", "node_vec").mapInArrow(run, "q bigint, node bigint, d double")
 
 
 def _nearest(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(place, squared distance) of the k nearest others of each row of x."""
-    x = x.astype(np.float32)
     norm = (x * x).sum(axis=1)
     d = norm[:, None] + norm - 2 * (x @ x.T)
     np.fill_diagonal(d, np.inf)
@@ -95,10 +109,10 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 def _edges(a: np.ndarray, place: np.ndarray, d: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
     keep = np.isfinite(d).ravel()
     a = np.repeat(a, place.shape[1])[keep]
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(ids[place.ravel()[keep]]), pa.array(d.ravel()[keep].astype(np.float32))], ["a", "b", "d"])
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(ids[place.ravel()[keep]]), pa.array(d.ravel()[keep])], ["a", "b", "d"])
 
 
-EDGES = "a bigint, b bigint, d float"
+EDGES = "a bigint, b bigint, d double"
 
 
 def _in_groups(rows: DataFrame, key: str, told: int) -> DataFrame:
@@ -110,11 +124,7 @@ def _in_groups(rows: DataFrame, key: str, told: int) -> DataFrame:
                 continue
             t = t.combine_chunks()
             ids = t.column(1).to_numpy()
-            x = np.frombuffer(b"".join(t.column(2).to_pylist()), np.float16).reshape(len(ids), -1)
-            for at in range(0, len(ids), 2 * CELL):  # a group is at most a little larger than CELL
-                part = slice(at, at + 2 * CELL)
-                if len(ids[part]) > 1:
-                    yield _edges(ids[part], *_nearest(x[part], told), ids[part])
+            yield _edges(ids, *_nearest(_packed(t.column(2), len(ids)), told), ids)
 
     return rows.select(key, "id", "vec").repartition(F.col(key)).sortWithinPartitions(key, "id").mapInArrow(run, EDGES)
 
@@ -128,75 +138,164 @@ def _best(edges: DataFrame) -> DataFrame:
 
 def _pivots(nodes: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(ids, vectors) of a sample of at most PIVOTS nodes, those with the smallest hash of their id."""
-    most = min(PIVOTS, max(1, int(2 * n**0.5)))
+    first = nodes.select(F.size("vec").alias("n")).first()
+    dim = first["n"] if first else 1
+    most = min(PIVOTS, max(1, PIVOT_BYTES // (8 * dim)), max(1, int(2 * n**0.5)))
     got = nodes.orderBy(F.xxhash64("id"), "id").limit(most).select("id", "vec").toArrow()
-    dim = len(got.column("vec")[0]) if len(got) else 1
-    vec = np.array(got.column("vec").to_pylist(), dtype=np.float32).reshape(-1, dim)
-    return got.column("id").to_numpy(), vec
+    return got.column("id").to_numpy(), np.array(got.column("vec").to_pylist(), dtype=np.float64).reshape(-1, dim)
 
 
-def build_graph(nodes: DataFrame, pivots: np.ndarray, n: int) -> DataFrame:
-    """(a, b, d): the neighbours of every node of (id, vec)."""
+def _packed_nodes(nodes: DataFrame, centre: np.ndarray, scale: float) -> DataFrame:
+    """(id, vec): 32-bit copies of the vectors, moved and scaled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if len(b):
+                x = ((_rows(b.column(1), len(b)) - centre) / scale).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "vec"])
 
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        norm = (pivots * pivots).sum(axis=1)
+    return nodes.select("id", "vec").mapInArrow(run, "id bigint, vec binary")
+
+
+def _hashed(cell: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Numbers for the parts of cells."""
+    z = cell.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + part.astype(np.uint64) + np.uint64(1)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (z ^ (z >> np.uint64(31))).view(np.int64)
+
+
+def _first_cells(packed: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """(cell, id): the cells of each node's nearest pivots."""
+    norm = (pivots * pivots).sum(axis=1)
+    k = min(CELLS, len(pivots))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, len(whole), 1024):
                 b = whole.slice(at, 1024)
-                x = _half(b.column(1), len(b))
-                d = norm - 2 * (x.astype(np.float32) @ pivots.T)
-                k = min(CELLS, len(pivots))
-                near = np.argpartition(d, k - 1, axis=1)[:, :k]
-                half = pa.array([r.tobytes() for r in x], pa.binary())
-                for j in range(k):
-                    yield pa.RecordBatch.from_arrays([pa.array(near[:, j].astype(np.int64)), b.column(0), half], ["cell", "id", "vec"])
-
-    placed = nodes.select("id", "vec").mapInArrow(cells, "cell bigint, id bigint, vec binary")
-    sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("size"))  # at most PIVOTS rows
-    split = placed.join(F.broadcast(sizes), "cell").withColumn("cell", F.xxhash64("cell", F.pmod(F.xxhash64("id", "cell"), F.ceil(F.col("size") / CELL))))
-    graph = written(_best(_in_groups(split, "cell", NEIGHBOURS)), "graph")
-    half = written(nodes.select("id", "vec").mapInArrow(_to_half, "id bigint, vec binary"), "half")
+                d = norm - 2 * (_packed(b.column(1), len(b)) @ pivots.T)
+                near = np.argpartition(d, k - 1, axis=1)[:, :k] if k < len(pivots) else np.tile(np.arange(k), (len(b), 1))
+                yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), k))], ["cell", "id"])
+
+    return packed.mapInArrow(run, "cell bigint, id bigint")
+
+
+def _cut(placed: DataFrame, big: DataFrame, packed: DataFrame) -> DataFrame:
+    """(cell, id) of the large cells (cell, size), each cut by pivots of its own.
+
+    A cell's nodes are dealt to as many tasks as its size asks for; each of them gets the cell's pivots
+    (at most AGAIN).  Nodes as near to several go to one of these by a hash, so that a cell always shrinks."""
+    rows = written(placed.join(big, "cell"), "large")
+    w = Window.partitionBy("cell").orderBy(F.xxhash64("id", "cell"), "id")
+    chosen = rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= AGAIN).where(F.col("_n") <= F.ceil(2 * F.col("size") / CELL))
+    salts = F.ceil(F.col("size") / DEALT)
+    chosen = chosen.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1))).select("cell", "salt", F.lit(0).alias("kind"), "id")
+    others = rows.select("cell", F.pmod(F.xxhash64("id"), salts).alias("salt"), F.lit(1).alias("kind"), "id")
+    both = chosen.unionByName(others).join(packed, "id").select(F.xxhash64("cell", "salt").alias("part"), "cell", "kind", "id", "vec")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, heads, pivots, norm = None, [], None, None
+        for b in batches:
+            if not len(b):
+                continue
+            part, cell, kind, ids = (b.column(c).to_numpy() for c in range(4))
+            x = _packed(b.column(4), len(b))
+            cuts = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (kind[1:] != kind[:-1])])
+            for a, e in zip(cuts, np.r_[cuts[1:], len(b)]):
+                if part[a] != last:
+                    last, heads, pivots = part[a], [], None
+                if kind[a] == 0:
+                    heads.append(x[a:e])
+                    continue
+                if pivots is None:
+                    pivots = np.concatenate(heads)
+                    norm = (pivots * pivots).sum(axis=1)
+                y = x[a:e]
+                d = norm - 2 * (y @ pivots.T)
+                tie = d <= d.min(axis=1, keepdims=True) + 1e-12 * ((y * y).sum(axis=1, keepdims=True) + norm.max())
+                nth = (_hashed(ids[a:e], cell[a:e]).view(np.uint64) % tie.sum(axis=1).astype(np.uint64)).astype(np.int64)
+                near = (np.cumsum(tie, axis=1) == nth[:, None] + 1).argmax(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(_hashed(cell[a:e], near)), pa.array(ids[a:e])], ["cell", "id"])
+
+    return both.repartition(F.col("part")).sortWithinPartitions("part", "cell", "kind", "id").mapInArrow(run, "cell bigint, id bigint")
+
+
+def _cells(packed: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """(cell, id): no cell has more than CELL nodes."""
+    placed = written(_first_cells(packed, pivots), "cells")
+    small = None
+    while True:
+        sizes = written(placed.groupBy("cell").agg(F.count(F.lit(1)).alias("size")), "sizes")
+        fits = placed.join(sizes.where(F.col("size") <= CELL), "cell", "left_semi")
+        small = fits if small is None else small.unionByName(fits)
+        big = sizes.where(F.col("size") > CELL)
+        if big.isEmpty():
+            return small
+        placed = written(_cut(placed, big, packed), "cells")
+
+
+def _reverse(graph: DataFrame) -> DataFrame:
+    """(a, b): the REVERSE nearest of the nodes that have a among their neighbours."""
+    w = Window.partitionBy("a").orderBy("d", "b")
+    back = graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")
+    return back.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= REVERSE).select("a", "b")
+
+
+def build_graph(nodes: DataFrame, pivots: np.ndarray, n: int) -> DataFrame:
+    """(a, b, d): the neighbours of every node of (id, vec); pivots: vectors of some of them."""
+    centre = np.median(pivots, axis=0)
+    far = F.greatest(*[F.abs(f("vec")) for f in (F.array_max, F.array_min)])
+    scale = 2 * max(float(nodes.agg(F.max(far)).first()[0] or 1.0), float(np.abs(centre).max()))
+    packed = written(_packed_nodes(nodes, centre, scale), "packed")
+    placed = _cells(packed, ((pivots - centre) / scale).astype(np.float32).astype(np.float64))
+    graph = written(_best(_in_groups(placed.join(packed, "id"), "cell", NEIGHBOURS)), "graph")
+    own = packed.select(F.col("id").alias("a"), F.col("id").alias("b"))
     for done in range(1, ROUNDS + n.bit_length() + 1):
-        back = graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")
-        w = Window.partitionBy("a").orderBy("d", "b")
-        back = back.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= REVERSE)
-        own = nodes.select(F.col("id").alias("a"), F.col("id").alias("b"))
-        around = graph.select("a", "b").unionByName(back.select("a", "b")).unionByName(own).distinct()
-        met = around.join(half.withColumnRenamed("id", "b"), "b").select("a", F.col("b").alias("id"), "vec")
+        around = graph.select("a", "b").unionByName(_reverse(graph)).unionByName(own).distinct()
+        met = around.join(packed.withColumnRenamed("id", "b"), "b").select("a", F.col("b").alias("id"), "vec")
         before, graph = graph, written(_best(graph.unionByName(_in_groups(met, "a", TOLD))), "graph")
-        if done >= ROUNDS and graph.join(before, ["a", "b"], "left_anti").count() < CHANGED * graph.count():
+        settled = done >= ROUNDS and graph.join(before, ["a", "b"], "left_anti").count() < CHANGED * graph.count()
+        forget(before)
+        if settled:
             break
+    forget(packed)
     return graph
 
 
-def _to_half(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in _half(b.column(1), len(b))], pa.binary())], ["id", "vec"])
-
-
 def exact(queries: DataFrame, rows: DataFrame, top: int = TOP) -> DataFrame:
-    """(query_id, id, d) by a scan of all rows (id, vec), QUERY_BLOCK queries (id, vec) at a time."""
-    out = None
-    some = queries.toArrow()  # called with the few queries that the graph leaves short
-    for at in range(0, len(some), QUERY_BLOCK):
-        block = some.slice(at, QUERY_BLOCK)
-        ids, q = block.column("id").to_numpy(), np.array(block.column("vec").to_pylist(), dtype=np.float64)
-
-        def scan(batches: Iterator[pa.RecordBatch], ids=ids, q=q) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for a in range(0, len(whole), 512):
-                    b = whole.slice(a, 512)
-                    x, own = b.column(1).flatten().to_numpy().reshape(len(b), -1), b.column(0).to_numpy()
-                    for i in range(len(ids)):
-                        d = np.sqrt(((x - q[i]) ** 2).sum(axis=1))
-                        d[own == ids[i]] = np.inf
-                        near = np.lexsort((own, d))[:top]
-                        near = near[np.isfinite(d[near])]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), ids[i])), pa.array(own[near]), pa.array(d[near])], ["query_id", "id", "d"])
-
-        found = rows.select("id", "vec").mapInArrow(scan, "query_id bigint, id bigint, d double")
-        out = found if out is None else out.unionByName(found)
-    return out
+    """(query_id, id, d): candidates from a scan of all rows (id, vec), among them the ``top`` nearest of each query (id, vec).
+
+    Queries come to the driver QUERY_BLOCK at a time and go to all tasks; each task keeps its nearest of each."""
+    out = rows.sparkSession.createDataFrame([], "query_id bigint, id bigint, d double")
+
+    def scanned(block: list) -> DataFrame:
+        ids, q = np.array([r["id"] for r in block], np.int64), np.array([r["vec"] for r in block], np.float64)
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best_d, best_id = np.full((len(ids), top), np.inf), np.full((len(ids), top), np.iinfo(np.int64).max)
+            for b in batches:
+                if not len(b):
+                    continue
+                x, own = _rows(b.column(1), len(b)), b.column(0).to_numpy()
+                for i in range(len(ids)):
+                    d = np.sqrt(((x - q[i]) ** 2).sum(axis=1))
+                    d[own == ids[i]] = np.inf
+                    some = np.flatnonzero(d <= best_d[i, -1])
+                    d, who = np.r_[best_d[i], d[some]], np.r_[best_id[i], own[some]]
+                    near = np.lexsort((who, d))[:top]
+                    best_d[i], best_id[i] = d[near], who[near]
+            found = np.isfinite(best_d)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, top)[found.ravel()]), pa.array(best_id[found]), pa.array(best_d[found])], ["query_id", "id", "d"])
+
+        return written(rows.select("id", "vec").mapInArrow(scan, "query_id bigint, id bigint, d double"), "scanned")
+
+    block: list = []
+    for r in queries.select("id", "vec").toLocalIterator():
+        block.append(r)
+        if len(block) == QUERY_BLOCK:
+            out, block = out.unionByName(scanned(block)), []
+    return out.unionByName(scanned(block)) if block else out
 
 
 def search(queries: DataFrame, vectors: DataFrame, top: int = TOP, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -213,18 +312,19 @@ def search(queries: DataFrame, vectors: DataFrame, top: int = TOP, id_col: str =
         return rows.sparkSession.createDataFrame([], empty).withColumnRenamed("id", id_col)
     pivot_ids, pivots = _pivots(nodes, n)
     graph = build_graph(nodes, pivots, n)
-    w = Window.partitionBy("a").orderBy("d", "b")
-    back = graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "d").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= REVERSE)
-    links = written(graph.select("a", "b").unionByName(back.select("a", "b")).distinct(), "links")
+    links = written(graph.select("a", "b").unionByName(_reverse(graph)).distinct(), "links")
+    forget(graph)
+    middle = pivots.mean(axis=0)
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        norm = (pivots * pivots).sum(axis=1)
+        moved = pivots - middle
+        norm = (moved * moved).sum(axis=1)
         for whole in batches:
             for at in range(0, len(whole), 1024):
                 b = whole.slice(at, 1024)
-                x = b.column(1).flatten().to_numpy().astype(np.float32).reshape(len(b), -1)
+                x = _rows(b.column(1), len(b)) - middle
                 k = min(ENTRIES, len(pivots))
-                near = np.argpartition(norm - 2 * (x @ pivots.T), k - 1, axis=1)[:, :k]
+                near = np.argpartition(norm - 2 * (x @ moved.T), k - 1, axis=1)[:, :k]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), k)), pa.array(pivot_ids[near.ravel()])], ["q", "node"])
 
     q = queries.select(F.col("id").alias("q"), F.col("vec").alias("q_vec"))
@@ -233,18 +333,20 @@ def search(queries: DataFrame, vectors: DataFrame, top: int = TOP, id_col: str =
     start = queries.select("id", "vec").mapInArrow(enter, "q bigint, node bigint").unionByName(own).distinct()
 
     def measured(pairs: DataFrame) -> DataFrame:
-        return pairs.join(v, "node").join(q, "q").select("q", "node", distance(F.col("q_vec"), F.col("node_vec")).alias("d"), F.lit(False).alias("done"))
+        return distances(pairs.join(v, "node").join(q, "q")).withColumn("done", F.lit(False))
 
     state = written(measured(start), "beam")
     by_d = Window.partitionBy("q").orderBy("d", "node")
-    for _ in range(STEPS):
+    while True:  # each round expands nodes that were not: it ends
         beam = state.withColumn("_n", F.row_number().over(by_d)).where((F.col("_n") <= BEAM) & ~F.col("done"))
         front = written(beam.withColumn("_k", F.row_number().over(by_d)).where(F.col("_k") <= EXPANDED).select("q", "node"), "front")
         if front.isEmpty():
             break
         fresh = front.join(links, F.col("node") == F.col("a")).select("q", F.col("b").alias("node")).distinct().join(state.select("q", "node"), ["q", "node"], "left_anti")
         marked = state.join(front.withColumn("_now", F.lit(True)), ["q", "node"], "left").select("q", "node", "d", (F.col("done") | F.coalesce("_now", F.lit(False))).alias("done"))
-        state = written(marked.unionByName(measured(fresh)), "beam")
+        before, state = state, written(marked.unionByName(measured(fresh)), "beam")
+        forget(before)
+        forget(front)
 
     near = state.withColumn("_n", F.row_number().over(by_d)).where(F.col("_n") <= top + 1).select("q", "node", "d")
     first = Window.partitionBy("node").orderBy("id")

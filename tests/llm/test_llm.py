@@ -60,7 +60,8 @@ def test_mixing_meets_targets_and_keeps_odd_rows(spark, odd, none, sf):
     assert mixing.mix(none).count() == 0
 
 
-def test_many_cells_are_raked_alike(spark, sf):
+def test_many_cells_are_raked_alike(spark, sf, monkeypatch):
+    monkeypatch.setattr(mixing, "ROUNDS", 4)
     rows = [(f"s{i % 7}", f"l{i % 3}", f"t{i % 2}", float(i * i % 50)) for i in range(42)]
     cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens double")
     targets = {d: mixing.targets_of(cells, d, 0.5) for d in mixing.DIMS}
@@ -240,6 +241,39 @@ def test_split_cells_do_not_part_the_graph(spark, monkeypatch):
     assert hits >= 0.9 * 10 * len(x)
 
 
+@pytest.mark.parametrize("kind", ["large", "small", "mixed", "offset"])
+def test_ann_of_any_magnitude(spark, kind):
+    x = np.random.default_rng(7).normal(size=(900, 8))
+    if kind == "large":
+        x *= 1e5
+    elif kind == "small":
+        x *= 1e-10
+    elif kind == "mixed":
+        x[::20] *= 1e5
+        x[1::20] *= 1e-10
+    else:
+        x += 1e5
+    x = x.astype(np.float32).astype(np.float64)
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id bigint, embedding array<float>")
+    got = ann.search(ann.usable(v).where("id % 20 < 2 AND id % 3 = 0"), v).toPandas().sort_values(["query_id", "rank"])
+    hits = 0
+    for q, g in got.groupby("query_id"):
+        want = brute(x, np.arange(900), q)
+        hits += len({i for i, _ in want} & set(g.vec_id))
+        assert np.allclose(g.score, np.sqrt(((x[g.vec_id] - x[q]) ** 2).sum(axis=1)), rtol=1e-12)
+    assert got.query_id.nunique() == 30 and len(got) == 300 and hits >= 0.9 * len(got)
+
+
+def test_exact_scan_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 7)
+    x = np.random.default_rng(8).integers(0, 3, size=(200, 3)).astype(float) + 1
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, vec array<double>").repartition(3)
+    found = collections.defaultdict(list)
+    for r in ann.exact(rows.where("id % 10 = 0"), rows, 5).collect():
+        found[r.query_id].append((r.d, r.id))
+    assert {q: [i for _, i in sorted(f)[:5]] for q, f in found.items()} == {q: [i for i, _ in brute(x, np.arange(200), q, 5)] for q in range(0, 200, 10)}
+
+
 # 5
 
 
