@@ -1,11 +1,13 @@
 """Language-model scoring: a bigram model in Elias-Fano tries, one for each shard of words.
 
 Tokens are the A-Z lower-cased runs of what is not ASCII white space, then one end a text.  The
-model is P(w | v) = LAMBDA P1(w) + (1 - LAMBDA) c(v, w) / c(v), with P1(w) = (c(w) + 1) / (N + V + 1).
+model is P(w | v) = (1 - m) P1(w) + m c(v, w) / c(v), with P1(w) = (c(w) + 1) / (N + V + 1) and the
+share m of the predecessor's own counts growing with their number (:func:`share`; 0 for an unknown one).
 
 A first pass counts all words of the texts that may be learnt from, combined in each task before
-the shuffle.  Another finds which predecessors each shard will see, meets them with those counts by
-ranges of the predecessor's 32 bits, and sends every shard the counts of its own.  A last pass sends every token, with its predecessor, to the shard of its word:
+the shuffle.  A second finds which predecessors each shard will see, and how often the frequent words follow each other; it meets
+the predecessors with their counts by ranges of the predecessor's 32 bits, and sends every shard the counts of its own.
+A last pass sends every token, with its predecessor, to the shard of its word:
 texts to learn from and texts to score travel together, packed by word, about six bytes a token.
 A shard counts its bigrams and builds its trie.  Level 1 holds the words' hashes, level 2 for each
 word its predecessors; monotone pointers lead from one to the other.  All three sequences are
@@ -15,19 +17,27 @@ successor search from the high bits reads one or two entries.  Probabilities are
 bigrams) and 16 bits (of words).  All levels lie in one memory map, and the token's probability is
 found by successor search in it.  What leaves a shard is a sum for each text that has tokens there (at most one a token), packed.
 
-Nothing is broadcast that grows with the corpus: words so frequent that they would fill a shard
-(at most 4 times the number of shards) are spread over several by predecessor, with their counts;
-the counts of predecessors are exact and shuffled like the tokens.  Words are told apart by 64-bit
+:func:`fit` keeps the tries instead: a table with a row a shard in the shared folder, since workers share no local
+files.  :func:`score` scores any other table by them: its tokens travel to the shards, each of which maps its row into memory.
+
+Nothing is broadcast that grows with the corpus but the words so frequent that they would fill a shard
+(at most 4 times the number of shards), which are spread over several by predecessor, and the pairs so
+frequent (as many at most), which are spread by text; both with their counts.
+The counts of predecessors are exact and shuffled like the tokens.  Words are told apart by 64-bit
 hashes, predecessors by 32 bits: those of one value (V / 2^32 of V words) count as one everywhere.
+Level 2 keeps 24 of these bits beside the word's own place, or all 32 where two of a word's would meet: a pair that was
+not seen is taken for one that was with a probability of 2^-24 at most for each predecessor of the word.
 
 Defined results: null texts count as empty, whose only token is the end; an empty table gives no
 rows; if nothing may be learnt, N = V = 0 and every token has P1 = 1; repeated rows are kept;
-other columns are ignored."""
+rows whose id and text have the same 64-bit hash share a score; a null id is not held out; other columns are ignored."""
 
 from __future__ import annotations
 
 import mmap
+import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
@@ -38,16 +48,33 @@ from pyspark.sql import functions as F
 
 from ._shared import id_bucket, table, written
 
-LAMBDA = 0.7
+#: The share of a predecessor's own counts: of one that occurs once, more for each doubling, and at most.
+SHARE, DOUBLING, MOST = 0.28, 0.025, 0.8
 #: Tokens of a shard; bytes of text packed at a time; predecessors of shards that a task holds before it sends them.
 SHARD_TOKENS, PART_BYTES, HELD_PAIRS = 2_500_000, 1 << 22, 2_000_000
 #: Texts whose sums are added up at a time.
 BUCKET_ROWS = 20_000
-SPREAD_BITS = 16
+SPREAD_BITS = 24
 #: Words contain no blank, so these are nobody's hash but by chance.
 END, START = np.uint64(xxhash.xxh64_intdigest(b" end ")), np.uint64(xxhash.xxh64_intdigest(b" start "))
 
 
+def share(count: np.ndarray) -> np.ndarray:
+    """How much of P(w | v) comes from c(v, w) / c(v), by c(v)."""
+    return np.where(count > 0, np.minimum(MOST, SHARE + DOUBLING * np.log2(np.maximum(count, 1))), 0.0)
+
+
+@dataclass(frozen=True)
+class Hot:
+    """Frequent words (ascending hashes) with their counts and over how many shards they are spread, and frequent pairs with theirs."""
+
+    word: np.ndarray
+    count: np.ndarray
+    spread: np.ndarray
+    pair: np.ndarray
+    pair_count: np.ndarray
+
+
 def tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every token, tokens of each text)."""
     words = [t.lower().split() for t in texts]
@@ -182,71 +209,94 @@ def _quantised(x: np.ndarray, levels: int) -> tuple[np.ndarray, float, float]:
 class Trie:
     """word -> predecessors, with quantised log10 probabilities; one memory map holds all levels."""
 
-    def __init__(self, words: np.ndarray, log_p: np.ndarray, owner: np.ndarray, context: np.ndarray, log_bigram: np.ndarray):
+    HEAD = struct.Struct("<15q4d")
+
+    def __init__(self, data: bytes | memoryview):
+        """data: of :meth:`build`."""
+        self.map = mmap.mmap(-1, max(8, len(data)))
+        self.map[: len(data)] = data
+        n, m, self.spread, l1, l2, l3, *sizes, self.w_lo, self.w_step, self.b_lo, self.b_step = self.HEAD.unpack_from(self.map)
+        at, held = self.HEAD.size, []
+        for size in [*sizes, 2 * n, m]:
+            held.append(np.frombuffer(self.map, dtype=np.uint8, count=size, offset=at))
+            at += -(-size // 8) * 8
+        part = lambda k: [held[k], held[k + 1], held[k + 2]]
+        self.level1, self.pointers, self.level2 = EliasFano(n, l1, part(0)), EliasFano(n + 1, l2, part(3)), EliasFano(m, l3, part(6))
+        self.word_code, self.bigram_code = held[9].view("<u2"), held[10]
+
+    @classmethod
+    def build(cls, words: np.ndarray, log_p: np.ndarray, owner: np.ndarray, context: np.ndarray, log_bigram: np.ndarray) -> bytes:
         """words: ascending hashes; owner, context (32 bits): of each bigram, ascending."""
         n, m = len(words), len(owner)
-        count = np.bincount(owner, minlength=n).astype(np.uint64)
-        pointer = np.r_[np.uint64(0), np.cumsum(count)]
-        relative = self._relative(pointer, owner, context)
-        keep = np.r_[True, relative[1:] != relative[:-1]] if m else np.zeros(0, bool)  # the scaled values of two may meet
-        if not keep.all():
-            owner, context, log_bigram = owner[keep], context[keep], log_bigram[keep]
-            # Scaled by the pointers as they were: they need not be the exact numbers.
-            relative = relative[keep]
-        hashes = words >> np.uint64(8)
-        code, self.w_lo, self.w_step = _quantised(log_p, 1 << 16)
-        code2, self.b_lo, self.b_step = _quantised(log_bigram, 1 << 8)
-        l1, a1 = EliasFano.parts(hashes, 1 << 56)
-        l2, a2 = EliasFano.parts(pointer, int(pointer[-1]) + 1)
-        l3, a3 = EliasFano.parts(relative, (int(pointer[-1]) << SPREAD_BITS) + 1)
-        arrays = [*a1, *a2, *a3, code.astype("<u2").view(np.uint8), code2.astype(np.uint8)]
-        sizes = [-(-len(a) // 8) * 8 for a in arrays]
-        self.map = mmap.mmap(-1, max(8, sum(sizes)))
-        held, at = [], 0
-        for a, size in zip(arrays, sizes):
-            view = np.frombuffer(self.map, dtype=np.uint8, count=len(a), offset=at)
-            whole = np.frombuffer(self.map, dtype=np.uint8, count=size, offset=at)
-            whole[: len(a)] = a
-            held.append(view)
-            at += size
-        self.nbytes = at
-        self.level1, self.pointers, self.level2 = EliasFano(n, l1, held[:3]), EliasFano(n + 1, l2, held[3:6]), EliasFano(len(relative), l3, held[6:9])
-        self.word_code, self.bigram_code = held[9].view("<u2"), held[10]
+        pointer = np.r_[np.uint64(0), np.cumsum(np.bincount(owner, minlength=n).astype(np.uint64))]
+        for spread in (SPREAD_BITS, 32):
+            relative = cls._relative(pointer[owner], pointer[owner + 1] - pointer[owner], context, spread)
+            if m < 2 or (relative[1:] > relative[:-1]).all():
+                break
+        code, w_lo, w_step = _quantised(log_p, 1 << 16)
+        code2, b_lo, b_step = _quantised(log_bigram, 1 << 8)
+        l1, a1 = EliasFano.parts(words >> np.uint64(8), 1 << 56)
+        l2, a2 = EliasFano.parts(pointer, m + 1)
+        l3, a3 = EliasFano.parts(relative, (m << spread) + 1)
+        levels = [*a1, *a2, *a3]
+        head = cls.HEAD.pack(n, m, spread, l1, l2, l3, *map(len, levels), w_lo, w_step, b_lo, b_step)
+        parts = [x.tobytes() for x in (*levels, code.astype("<u2"), code2.astype(np.uint8))]
+        return head + b"".join(x.ljust(-(-len(x) // 8) * 8, b"\0") for x in parts)
 
     @staticmethod
-    def _relative(pointer: np.ndarray, owner: np.ndarray, context: np.ndarray) -> np.ndarray:
+    def _relative(first: np.ndarray, size: np.ndarray, context: np.ndarray, spread: int) -> np.ndarray:
         """A predecessor's 32 bits scaled to its word's share of the level."""
-        first, size = pointer[owner], pointer[owner + 1] - pointer[owner]
-        return (first << np.uint64(SPREAD_BITS)) + ((context.astype(np.uint64) * size) >> np.uint64(32 - SPREAD_BITS))
+        return (first << np.uint64(spread)) + ((context.astype(np.uint64) * size) >> np.uint64(32 - spread))
 
-    def log10(self, word: np.ndarray, context: np.ndarray, unknown: float) -> np.ndarray:
-        """log10 P(word | context) of each pair; ``unknown``: log10 P1 of a word that was not seen."""
+    def log10(self, word: np.ndarray, context: np.ndarray, own: np.ndarray, unknown: float) -> np.ndarray:
+        """log10 P(word | context) of each pair; own: the share of the predecessor's counts; ``unknown``: log10 P1 of a word that was not seen."""
         at, known = self.level1.successor(word >> np.uint64(8))
-        out = np.full(len(word), unknown + np.log10(LAMBDA))
+        out = unknown + np.log10(1 - own)
         some = np.flatnonzero(known)
-        own = at[some]
-        out[some] = self.word_code[own] * self.w_step + self.w_lo + np.log10(LAMBDA)
-        first, end = self.pointers.get(own), self.pointers.get(own + 1)
+        word = at[some]
+        out[some] = self.word_code[word] * self.w_step + self.w_lo + np.log10(1 - own[some])
+        first, end = self.pointers.get(word), self.pointers.get(word + 1)
         has = end > first
         some, first, size = some[has], first[has], (end - first)[has]
-        relative = (first << np.uint64(SPREAD_BITS)) + ((context[some].astype(np.uint64) * size) >> np.uint64(32 - SPREAD_BITS))
-        place, seen = self.level2.successor(relative)
+        place, seen = self.level2.successor(self._relative(first, size, context[some], self.spread))
         out[some[seen]] = self.bigram_code[place[seen]] * self.b_step + self.b_lo
         return out
 
+    def word_log10(self, word: np.ndarray, unknown: float) -> tuple[np.ndarray, np.ndarray]:
+        """(log10 P1 as kept, whether the word was seen)."""
+        at, known = self.level1.successor(word >> np.uint64(8))
+        out = np.full(len(word), unknown)
+        out[known] = self.word_code[at[known]] * self.w_step + self.w_lo
+        return out, known
+
 
 def _context(h: np.ndarray) -> np.ndarray:
     """The 32 bits that stand for a predecessor."""
     return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 
 
-def _shards(word: np.ndarray, context: np.ndarray, shards: int, hot: np.ndarray, spread: np.ndarray) -> np.ndarray:
-    """Words by the range of their hash; frequent ones over several shards by predecessor."""
+def _pair(word: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """64 bits that stand for a pair."""
+    return word * np.uint64(0xD6E8FEB86659FD93) + context.astype(np.uint64)
+
+
+def _found(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, whether it is there) of each key."""
+    if not len(sorted_keys):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return at, sorted_keys[at] == keys
+
+
+def _shards(word: np.ndarray, context: np.ndarray, shards: int, hot: Hot, text: np.ndarray | None = None) -> np.ndarray:
+    """Words by the range of their hash; frequent ones over several shards by predecessor, frequent pairs by text."""
     out = ((word >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
-    if len(hot):
-        at = np.minimum(np.searchsorted(hot, word), len(hot) - 1)
-        is_hot = hot[at] == word
-        part = (context[is_hot].astype(np.uint64) * spread[at[is_hot]].astype(np.uint64)) >> np.uint64(32)
+    at, is_hot = _found(hot.word, word)
+    if is_hot.any():
+        part = context[is_hot].astype(np.uint64) % hot.spread[at[is_hot]].astype(np.uint64)
+        if text is not None and len(hot.pair):
+            _, often = _found(hot.pair, _pair(word[is_hot], context[is_hot]))
+            part[often] = text[is_hot][often] % np.uint64(shards)
         out[is_hot] = (out[is_hot] + part) % np.uint64(shards)
     return out.astype(np.int64)
 
@@ -254,7 +304,7 @@ def _shards(word: np.ndarray, context: np.ndarray, shards: int, hot: np.ndarray,
 ROUTED = "shard int, doc binary, learn binary, word binary, run binary, context binary, owner binary"
 
 
-def route(docs: DataFrame, shards: int, hot: np.ndarray, spread: np.ndarray) -> DataFrame:
+def route(docs: DataFrame, shards: int, hot: Hot) -> DataFrame:
     """Tokens of (key, learn, text) packed by shard: ids of the texts, whether they teach, the
     distinct words, tokens of each, predecessors and the text's place among the ids."""
 
@@ -270,8 +320,8 @@ def route(docs: DataFrame, shards: int, hot: np.ndarray, spread: np.ndarray) ->
                     before[np.cumsum(size) - size] = START
                     context = _context(before)
                     owner = np.repeat(np.arange(len(texts)), size).astype("<u2")
-                    shard = _shards(word, context, shards, hot, spread)
-                    order = np.lexsort((word, shard)) if len(hot) else np.argsort(word, kind="stable")
+                    shard = _shards(word, context, shards, hot, keys[rows].view(np.uint64)[owner])
+                    order = np.lexsort((word, shard)) if len(hot.word) else np.argsort(word, kind="stable")
                     word, context, owner, shard = word[order], context[order], owner[order], shard[order]
                     ids = np.diff(keys[rows], prepend=0).astype("<i8").tobytes()
                     flags = np.packbits(learn[rows]).tobytes()
@@ -290,54 +340,92 @@ def route(docs: DataFrame, shards: int, hot: np.ndarray, spread: np.ndarray) ->
     return docs.mapInArrow(run, ROUTED)
 
 
-def score_shard(rows: list[dict], n: int, v: int, hot: np.ndarray, hot_count: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(key, tokens, known tokens, base, score) of each text with tokens in this shard.
-
-    Rows without texts hold predecessors and their counts."""
-    counts = [r for r in rows if r["doc"] is None]
-    rows = [r for r in rows if r["doc"] is not None]
-    before = np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(r["context"], "<u4") for r in counts)])
-    times = np.concatenate([np.zeros(0, "<i8"), *(np.frombuffer(r["owner"], "<i8") for r in counts)])
-    order = np.argsort(before)
+def _context_counts(rows: list[dict], hot: Hot) -> tuple[np.ndarray, np.ndarray]:
+    """(predecessors, how often each occurs) that a shard was sent, and the frequent words'."""
+    frequent = np.where(hot.word == END, START, hot.word)  # an end follows each text, and each text has a start
+    before = np.concatenate([_context(frequent), *(np.frombuffer(r["context"], "<u4") for r in rows)])
+    times = np.concatenate([hot.count, *(np.frombuffer(r["owner"], "<i8") for r in rows)])
+    order = np.lexsort((-times, before))
     before, times = before[order], times[order]
-    u8 = lambda name, kind: [np.frombuffer(r[name], dtype=kind) for r in rows]
-    docs = [np.cumsum(d) for d in u8("doc", "<i8")]
-    learn = np.concatenate([np.unpackbits(f, count=len(d)).astype(bool) for f, d in zip(u8("learn", np.uint8), docs)])
+    first = np.flatnonzero(np.r_[True, before[1:] != before[:-1]]) if len(before) else order
+    return before[first], times[first]
+
+
+def _counts_at(before: np.ndarray, times: np.ndarray, context: np.ndarray) -> np.ndarray:
+    at, there = _found(before, context)
+    return np.where(there, times[at], 0) if len(times) else np.zeros(len(context), np.int64)
+
+
+def _tokens_in(rows: list[dict]) -> tuple[np.ndarray, ...]:
+    """(key of each text, whether it teaches, distinct words, word, predecessor and text of each token)."""
+    cols = lambda name, kind: [np.frombuffer(r[name], dtype=kind) for r in rows]
+    docs = [np.cumsum(d) for d in cols("doc", "<i8")]
+    learn = np.concatenate([np.unpackbits(f, count=len(d)).astype(bool) for f, d in zip(cols("learn", np.uint8), docs)])
     offset = np.cumsum([0, *(len(d) for d in docs[:-1])])
-    owner = np.concatenate([o.astype(np.int32) + at for o, at in zip(u8("owner", "<u2"), offset.astype(np.int32))])
-    context = np.concatenate(u8("context", "<u4"))
-    words, at = np.unique(np.concatenate(u8("word", "<u8")), return_inverse=True)
-    which = np.repeat(at.astype(np.int32), np.concatenate(u8("run", "<u4")))
+    owner = np.concatenate([o.astype(np.int32) + at for o, at in zip(cols("owner", "<u2"), offset.astype(np.int32))])
+    words, at = np.unique(np.concatenate(cols("word", "<u8")), return_inverse=True)
+    which = np.repeat(at.astype(np.int32), np.concatenate(cols("run", "<u4")))
+    return np.concatenate(docs), learn, words, which, np.concatenate(cols("context", "<u4")), owner
+
+
+def trie_of(tokens: tuple[np.ndarray, ...], before: np.ndarray, times: np.ndarray, n: int, v: int, hot: Hot) -> tuple[bytes, np.ndarray]:
+    """(a shard's trie, count of each of its distinct words)."""
+    _, learn, words, which, context, owner = tokens
     teaches = learn[owner]
     count = np.bincount(which[teaches], minlength=len(words))
-    if len(hot):  # theirs are spread over shards
-        place = np.minimum(np.searchsorted(hot, words), len(hot) - 1)
-        count = np.where(hot[place] == words, hot_count[place], count)
-    log_total = np.log10(n + v + 1)
-    log_p = np.log10(count + 1.0) - log_total
-
+    place, often = _found(hot.word, words)  # theirs are spread over shards
+    count[often] = hot.count[place[often]]
+    log_p = np.log10(count + 1.0) - np.log10(n + v + 1)
     known = np.flatnonzero(count > 0)
     rank = np.cumsum(count > 0) - 1
     pair = (rank[which[teaches]].astype(np.uint64) << np.uint64(32)) | context[teaches]
+    some = np.flatnonzero(often[which])
+    shared = some[_found(hot.pair, _pair(words[which[some]], context[some]))[1]]  # frequent pairs, whoever has them here
+    pair = np.concatenate([pair, np.unique((rank[which[shared]].astype(np.uint64) << np.uint64(32)) | context[shared])])
     pair.sort()
     first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]]) if len(pair) else np.zeros(0, dtype=np.int64)
     together = np.diff(np.r_[first, len(pair)])
     pair = pair[first]
     who, ctx = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    of_context = times[np.searchsorted(before, ctx)]
-    p = LAMBDA * 10 ** log_p[known[who]] + (1 - LAMBDA) * together / of_context
-    trie = Trie(words[known], log_p[known], who, ctx, np.log10(p))
-    del pair, first, together, of_context, p, who, ctx
+    place, same = _found(hot.pair, _pair(words[known[who]], ctx))
+    together[same] = hot.pair_count[place[same]]
+    of_context = _counts_at(before, times, ctx)
+    own = share(of_context)
+    p = (1 - own) * 10 ** log_p[known[who]] + own * together / np.maximum(of_context, 1)
+    return Trie.build(words[known], log_p[known], who, ctx, np.log10(p)), count
 
-    size = int(offset[-1] + len(docs[-1]))
-    tokens, seen = np.bincount(owner, minlength=size), np.bincount(owner, count[which] > 0, size)
+
+def score_shard(rows: list[dict], n: int, v: int, hot: Hot) -> tuple[np.ndarray, ...]:
+    """(key, tokens, known tokens, base, score) of each text with tokens in this shard.
+
+    Rows without texts hold predecessors and their counts, or (rows with a word) the trie of a model that is at hand."""
+    texts = [r for r in rows if r["doc"] is not None]
+    model = [r["word"] for r in rows if r["doc"] is None and r["word"] is not None]
+    before, times = _context_counts([r for r in rows if r["doc"] is None and r["word"] is None], hot)
+    tokens = _tokens_in(texts)
+    keys, _, words, which, context, owner = tokens
+    log_total = np.log10(n + v + 1)
+    if model:
+        trie = Trie(model[0])
+        log_p, known = trie.word_log10(words, -log_total)
+    elif any(r["learn"] and np.frombuffer(r["learn"], np.uint8).any() for r in texts) or len(hot.word):
+        data, count = trie_of(tokens, before, times, n, v, hot)
+        trie, known = Trie(data), count > 0
+        log_p = np.log10(count + 1.0) - log_total
+        del data
+    else:
+        trie, known, log_p = None, np.zeros(len(words), bool), np.full(len(words), -log_total)
+    size = len(keys)
+    counted, seen = np.bincount(owner, minlength=size), np.bincount(owner, known[which], size)
     base = np.bincount(owner, log_p[which], size)
     score = np.zeros(size)
     for a in range(0, len(which), 1 << 19):
         part = slice(a, a + (1 << 19))
-        score += np.bincount(owner[part], trie.log10(words[which[part]], context[part], -log_total), size)
-    some = tokens > 0
-    return tuple(x[some] for x in (np.concatenate(docs), tokens, seen.astype(np.int64), base, score))
+        own = share(_counts_at(before, times, context[part]))
+        got = trie.log10(words[which[part]], context[part], own, -log_total) if trie else np.log10(1 - own) - log_total
+        score += np.bincount(owner[part], got, size)
+    some = counted > 0
+    return tuple(x[some] for x in (keys, counted, seen.astype(np.int64), base, score))
 
 
 PAIRS = "bucket int, context binary, value binary, counts boolean"
@@ -382,32 +470,64 @@ def count_contexts(words: DataFrame, buckets: int) -> DataFrame:
     return words.select("word", "n").mapInArrow(run, PAIRS)
 
 
-def seen_contexts(docs: DataFrame, shards: int, hot: np.ndarray, spread: np.ndarray, buckets: int) -> DataFrame:
-    """Which shards need the count of a predecessor, of the texts (text) to learn from, packed by range."""
+def seen_contexts(docs: DataFrame, shards: int, hot: Hot, buckets: int) -> DataFrame:
+    """Which shards need the count of a predecessor, of the texts (learn, text), packed by range.
+
+    Rows of bucket -1 hold pairs of frequent words with their counts in the texts to learn from."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(0, dtype=np.uint64)
+        pairs, times = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        names = [x.split()[0] for x in PAIRS.split(", ")]
+        frequent = np.sort(np.r_[hot.word, START])
 
         def out() -> pa.RecordBatch:
             return _by_bucket((held >> np.uint64(32)).astype("<u4"), (held & np.uint64(0xFFFFFFFF)).astype("<u4"), buckets, False)
 
+        def often() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([pairs.tobytes()], pa.binary()), pa.array([times.tobytes()], pa.binary()), pa.array([True])], names)
+
         for b in batches:
-            for some in _parts(_bytes_of(b.column(0))):
+            learn, at = b.column(0).to_numpy(zero_copy_only=False), 0
+            for some in _parts(_bytes_of(b.column(1))):
                 word, size = tokens_of(some)
                 before = np.r_[START, word[:-1]]
                 before[np.cumsum(size) - size] = START
                 context = _context(before)
-                new = (context.astype(np.uint64) << np.uint64(32)) | _shards(word, context, shards, hot, spread).astype(np.uint64)
+                new = (context.astype(np.uint64) << np.uint64(32)) | _shards(word, context, shards, hot).astype(np.uint64)
                 held = np.unique(np.concatenate([held, np.unique(new)]))
+                teaches = np.repeat(learn[at : at + len(some)], size)
+                both = np.flatnonzero(_found(hot.word, word)[1] & teaches) if len(hot.word) else np.zeros(0, np.int64)
+                both = both[_found(frequent, before[both])[1]]
+                pairs, times = _sums(np.r_[pairs, _pair(word[both], context[both])], np.r_[times, np.ones(len(both), np.int64)])
+                at += len(some)
                 if len(held) > HELD_PAIRS:
                     yield out()
                     held = held[:0]
+                if len(pairs) > HELD_PAIRS:
+                    yield often()
+                    pairs, times = pairs[:0], times[:0]
         if len(held):
             yield out()
+        if len(pairs):
+            yield often()
 
     return docs.mapInArrow(run, PAIRS)
 
 
+def frequent_pairs(seen: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs, counts) of the pairs that occur more than ``most`` times; there are at most N / most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for pair, n in zip(b.column(0), b.column(1)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(pair.as_buffer(), "<i8")), pa.array(np.frombuffer(n.as_buffer(), "<i8"))], ["pair", "n"])
+
+    found = seen.where("bucket = -1").select("context", "value").mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") > most)
+    got = sorted((int(r["pair"]) & 0xFFFFFFFFFFFFFFFF, int(r["n"])) for r in found.collect())
+    return np.array([p for p, _ in got], dtype=np.uint64), np.array([n for _, n in got], dtype=np.int64)
+
+
 def counts_of_shards(counts: DataFrame, seen: DataFrame, buckets: int) -> DataFrame:
     """Rows as ROUTED without texts: for each shard its predecessors (context) and how often each occurs (owner)."""
 
@@ -417,6 +537,7 @@ def counts_of_shards(counts: DataFrame, seen: DataFrame, buckets: int) -> DataFr
         def out() -> pa.RecordBatch:
             context, n = _sums(*(np.concatenate(x) for x in zip(*totals)))
             need = np.unique(np.concatenate([np.zeros(0, np.uint64), *pairs]))
+            need = need[_found(context, (need & np.uint64(0xFFFFFFFF)).astype("<u4"))[1]]  # others are unknown
             shard, who = (need >> np.uint64(32)).astype(np.int32), (need & np.uint64(0xFFFFFFFF)).astype("<u4")
             n = n[np.searchsorted(context, who)].astype("<i8")
             cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(shard) else np.zeros(0, dtype=np.int64)
@@ -441,7 +562,7 @@ def counts_of_shards(counts: DataFrame, seen: DataFrame, buckets: int) -> DataFr
         if totals:
             yield out()
 
-    return counts.unionByName(seen).repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, ROUTED)
+    return counts.unionByName(seen.where("bucket >= 0")).repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, ROUTED)
 
 
 SUMS = ["key", "tokens", "known", "base", "score"]
@@ -470,66 +591,139 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, n_known, train_tokens, base_score, score) of every row; ``learn``: rows to learn from."""
-    # A row's key is a hash of id and text: equal rows share it, are scored once more and given back.
+@dataclass(frozen=True)
+class Plan:
+    """What all passes over a corpus share: N, V, its words (word, n), the number of shards and the frequent ones."""
+
+    n: int
+    v: int
+    words: DataFrame
+    shards: int
+    hot: Hot
+
+
+@dataclass(frozen=True)
+class Model:
+    """A plan and its tries: a table (shard, trie) in the shared folder."""
+
+    plan: Plan
+    tries: DataFrame
+
+
+def _keyed(docs: DataFrame, learn: Column, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(texts (key, learn, text), their ids (key, learn, id, copies)): a row's key is a hash of id and text, which equal rows share."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     key = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), text)
-    rows = docs.select(key.alias("key"), F.coalesce(learn, F.lit(False)).alias("learn"), text.alias("text"))
+    teaches = F.coalesce(learn, F.lit(False))
+    rows = docs.select(key.alias("key"), teaches.alias("learn"), text.alias("text"))
+    ids = docs.select(F.col(id_col).alias("id"), key.alias("key"), teaches.alias("learn")).groupBy("key", "learn", "id").agg(F.count(F.lit(1)).alias("copies"))
+    return rows, written(ids, "ids")
+
+
+def _plan(rows: DataFrame, ids: DataFrame) -> tuple[Plan, DataFrame]:
+    """(plan, counts of predecessors for the shards) of texts (key, learn, text)."""
     words = written(count_words(rows.where("learn").select("text")), "words")
     total = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = int(total["n"] or 0), int(total["v"])
-    ids = docs.select(F.col(id_col), key.alias("key"), F.coalesce(learn, F.lit(False)).alias("learn")).groupBy("key", "learn").agg(F.first(id_col).alias(id_col), F.count(F.lit(1)).alias("copies"))
-    ids = written(ids, "ids")
     taught = ids.agg(F.sum(F.col("learn").cast("int") * F.col("copies")).alias("t"), F.sum("copies").alias("all")).first()
     every = n * (taught["all"] or 0) / max(taught["t"] or 0, 1) if n else 50_000_000
     shards = max(1, int(every // SHARD_TOKENS) + 1)
     most = max(1, n // (4 * shards))
-    hot = sorted((int(r["word"]) & 0xFFFFFFFFFFFFFFFF, int(r["n"])) for r in words.where(F.col("n") > most).collect())  # fewer than 4 a shard
-    hot_word, hot_count = np.array([h for h, _ in hot], dtype=np.uint64), np.array([c for _, c in hot], dtype=np.int64)
-    spread = np.minimum(shards, -(-hot_count * 4 * shards // max(n, 1)))
-    contexts = counts_of_shards(count_contexts(words, shards), seen_contexts(rows.where("learn").select("text"), shards, hot_word, spread, shards), shards)
+    found = sorted((int(r["word"]) & 0xFFFFFFFFFFFFFFFF, int(r["n"])) for r in words.where(F.col("n") > most).collect())  # fewer than 4 a shard
+    word, count = np.array([h for h, _ in found], dtype=np.uint64), np.array([c for _, c in found], dtype=np.int64)
+    spread = np.minimum(shards, -(-count * 4 * shards // max(n, 1)))
+    hot = Hot(word, count, spread, word[:0], count[:0])
+    seen = written(seen_contexts(rows.select("learn", "text"), shards, hot, shards), "seen")
+    hot = Hot(word, count, spread, *frequent_pairs(seen, most))
+    return Plan(n, v, words, shards, hot), counts_of_shards(count_contexts(words, shards), seen, shards)
 
-    buckets = max(1, int(taught["all"] or 0) // BUCKET_ROWS)
+
+def _by_shard(dealt: DataFrame, shards: int, done, schema: str) -> DataFrame:
+    """``done`` (rows of a shard -> record batch or None) for each shard: one task each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
-
-        def done() -> pa.RecordBatch:
-            got, tokens, seen, base, score = score_shard(held, n, v, hot_word, hot_count)
-            bucket = (got.view(np.uint64) % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            cols = [c[order] for c in (got, tokens.astype(np.int64), seen, base, score)]
-            some = [i for i in range(buckets) if ends[i] < ends[i + 1]]
-            packed = [pa.array([c[ends[i] : ends[i + 1]].tobytes() for i in some], pa.binary()) for c in cols]
-            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *packed], ["bucket", *SUMS])
-
         for b in batches:
             for r in b.to_pylist():
                 if held and held[0]["shard"] != r["shard"]:
-                    yield done()
+                    if (out := done(held)) is not None:
+                        yield out
                     held = []
                 held.append(r)
-        if held:
-            yield done()
-
-    dealt = route(rows, shards, hot_word, spread).unionByName(contexts).repartition(shards, "shard").sortWithinPartitions("shard")
-    parts = dealt.mapInArrow(run, "bucket int, " + ", ".join(f"{c} binary" for c in SUMS))
-    sums = parts.repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_add_up, "key bigint, n_tokens bigint, n_known bigint, base double, score double")
-    joined = ids.join(sums, "key")
-    again = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))
-    return joined.withColumn("_copy", again).select(
-        id_col,
-        (F.col("n_tokens") / F.col("copies")).cast("bigint").alias("n_tokens"),
-        (F.col("n_known") / F.col("copies")).cast("bigint").alias("n_known"),
-        F.lit(n).cast("bigint").alias("train_tokens"),
-        (F.col("base") / F.col("copies")).alias("base_score"),
-        (F.col("score") / F.col("copies")).alias("score"),
-    )
+        if held and (out := done(held)) is not None:
+            yield out
+
+    return dealt.repartitionById(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, schema)
+
+
+def _sums_of_texts(dealt: DataFrame, plan: Plan, rows: int) -> DataFrame:
+    """(key, n_tokens, n_known, base, score): sums over each key's texts."""
+    n, v, hot, buckets = plan.n, plan.v, plan.hot, max(1, rows // BUCKET_ROWS)
+
+    def done(held: list[dict]) -> pa.RecordBatch | None:
+        if all(r["doc"] is None for r in held):
+            return None
+        got, tokens, seen, base, score = score_shard(held, n, v, hot)
+        bucket = (got.view(np.uint64) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        cols = [c[order] for c in (got, tokens.astype(np.int64), seen, base, score)]
+        some = [i for i in range(buckets) if ends[i] < ends[i + 1]]
+        packed = [pa.array([c[ends[i] : ends[i + 1]].tobytes() for i in some], pa.binary()) for c in cols]
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *packed], ["bucket", *SUMS])
+
+    parts = _by_shard(dealt, plan.shards, done, "bucket int, " + ", ".join(f"{c} binary" for c in SUMS))
+    return parts.repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_add_up, "key bigint, n_tokens bigint, n_known bigint, base double, score double")
+
+
+def _given_back(ids: DataFrame, sums: DataFrame, n: int, id_col: str) -> DataFrame:
+    """A row for each row of the table, from the sums over equal rows."""
+    copies = ids.join(ids.groupBy("key").agg(F.sum("copies").alias("of_key")), "key")
+    joined = copies.join(sums, "key").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
+    each = lambda c: F.col(c) / F.col("of_key")
+    return joined.select(
+        F.col("id").alias(id_col), each("n_tokens").cast("bigint").alias("n_tokens"), each("n_known").cast("bigint").alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"),
+        each("base").alias("base_score"), each("score").alias("score"),
+    )
+
+
+def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_tokens, n_known, train_tokens, base_score, score) of every row; ``learn``: rows to learn from."""
+    rows, ids = _keyed(docs, learn, id_col, text_col)
+    plan, contexts = _plan(rows, ids)
+    dealt = route(rows, plan.shards, plan.hot).unionByName(contexts)
+    return _given_back(ids, _sums_of_texts(dealt, plan, ids.count()), plan.n, id_col)
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """The model of all rows, as a table that later jobs can score other tables by."""
+    rows, ids = _keyed(docs, F.lit(True), id_col, text_col)
+    plan, contexts = _plan(rows, ids)
+    n, v, hot = plan.n, plan.v, plan.hot
+
+    def done(held: list[dict]) -> pa.RecordBatch | None:
+        texts = [r for r in held if r["doc"] is not None]
+        if not texts:
+            return None
+        data, _ = trie_of(_tokens_in(texts), *_context_counts([r for r in held if r["doc"] is None], hot), n, v, hot)
+        return pa.RecordBatch.from_arrays([pa.array([held[0]["shard"]], pa.int32()), pa.array([data], pa.binary())], ["shard", "trie"])
+
+    dealt = route(rows, plan.shards, hot).unionByName(contexts)
+    return Model(plan, written(_by_shard(dealt, plan.shards, done, "shard int, trie binary"), "tries"))
+
+
+def score(model: Model, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows as of :func:`score_texts` for another table; base scores are as exact as the model's 16 bits."""
+    plan = model.plan
+    rows, ids = _keyed(docs, F.lit(False), id_col, text_col)
+    contexts = counts_of_shards(count_contexts(plan.words, plan.shards), seen_contexts(rows.select("learn", "text"), plan.shards, plan.hot, plan.shards), plan.shards)
+    null = F.lit(None).cast("binary")
+    tries = model.tries.select("shard", null.alias("doc"), null.alias("learn"), F.col("trie").alias("word"), null.alias("run"), null.alias("context"), null.alias("owner"))
+    dealt = route(rows, plan.shards, plan.hot).unionByName(contexts).unionByName(tries)
+    return _given_back(ids, _sums_of_texts(dealt, plan, ids.count()), plan.n, id_col)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    held = id_bucket("doc_id", 7) == 2
+    held = F.coalesce(id_bucket("doc_id", 7) == 2, F.lit(False))
     out = score_texts(table(spark, sf_dir, "documents"), ~held)
     return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

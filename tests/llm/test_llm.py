@@ -591,7 +591,8 @@ def test_lm_base_equals_brute_force(spark, sf, documents):
     # The model itself, but for the rounding of its tables.
     pairs = collections.Counter((b, a) for w, k in zip(tokens, learns) if k for a, b in zip([b" start ", *w], w))
     follow = collections.Counter(a for w, k in zip(tokens, learns) if k for a in [b" start ", *w[:-1]])
-    exact = lambda a, b: lm.LAMBDA * (c[b] + 1) / (n + v + 1) + (1 - lm.LAMBDA) * pairs[b, a] / max(follow[a], 1)
+    own = lambda a: float(lm.share(np.array([follow[a]]))[0])
+    exact = lambda a, b: (1 - own(a)) * (c[b] + 1) / (n + v + 1) + own(a) * pairs[b, a] / max(follow[a], 1)
     off = [abs(got[i].score - sum(math.log10(exact(a, b)) for a, b in zip([b" start ", *w], w))) / len(w) for (i, *_), w in zip(documents, tokens)]
     assert np.mean(off) < 0.03
     held = [got[i] for (i, *_), k in zip(documents, learns) if not k]
@@ -622,11 +623,49 @@ def test_lm_counts_every_predecessor_by_itself(spark):
     c = collections.Counter(x for w in tokens for x in w)
     n, v = sum(c.values()), len(c)
     both = collections.Counter((a, b) for w in tokens for a, b in zip([None, *w], w))
-    p = lambda a, b: lm.LAMBDA * (c[b] + 1) / (n + v + 1) + (1 - lm.LAMBDA) * both[a, b] / c[a]
+    own = lambda a: float(lm.share(np.array([c[a]]))[0])
+    p = lambda a, b: (1 - own(a)) * (c[b] + 1) / (n + v + 1) + own(a) * both[a, b] / c[a]
     for i, w in enumerate(tokens):
         assert abs(got[i] - sum(math.log10(p(a, b)) for a, b in zip([None, *w], w))) < 0.02 * len(w)
 
 
+def test_lm_frequent_pairs_are_spread_and_models_last(spark, monkeypatch):
+    """Empty texts and one repeated word fill pairs of their own; a kept model scores another table as the one pass does."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(9)
+    texts = [""] * 300 + ["a a a a a a"] * 200 + [" ".join(rng.choice("b c d e f g h i".split()) for _ in range(20)) for _ in range(60)]
+    docs = docs_of(spark, texts)
+    one = {r.doc_id: r for r in lm.score_texts(docs, F.col("doc_id") % 2 == 0).collect()}
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 300)
+    many = {r.doc_id: r for r in lm.score_texts(docs, F.col("doc_id") % 2 == 0).collect()}
+    assert len(many) == len(texts)
+    for i, r in one.items():
+        assert math.isclose(r.base_score, many[i].base_score, rel_tol=1e-9) and abs(r.score - many[i].score) < 0.02 * r.n_tokens and r.n_known == many[i].n_known
+    rows, ids = lm._keyed(docs, F.lit(True), "doc_id", "text")
+    plan, _ = lm._plan(rows, ids)
+    assert plan.shards > 3 and len(plan.hot.pair) >= 2
+    empty = np.full(300, lm.END)
+    at = lm._shards(empty, lm._context(np.full(300, lm.START)), plan.shards, plan.hot, np.arange(300, dtype=np.uint64))
+    assert len(set(at.tolist())) == plan.shards
+    model = lm.fit(docs.where("doc_id % 2 = 0"))
+    kept = {r.doc_id: r for r in lm.score(model, docs.where("doc_id % 3 = 0")).collect()}
+    assert len(kept) == sum(i % 3 == 0 for i in one)
+    for i, r in kept.items():
+        assert abs(r.score - one[i].score) < 0.02 * r.n_tokens and r.n_known == one[i].n_known and abs(r.base_score - one[i].base_score) < 0.01 * r.n_tokens
+
+
+def test_trie_keeps_pairs_apart():
+    """More pairs than 24 bits can tell apart: all 32 are kept."""
+    words = np.array([1 << 60], dtype=np.uint64)
+    for contexts in (np.arange(5000, dtype=np.uint32), np.arange(0, 2**32, 2**20, dtype=np.uint64).astype(np.uint32)):
+        log_p = np.linspace(-3, -1, len(contexts))
+        trie = lm.Trie(lm.Trie.build(words, np.array([-5.0]), np.zeros(len(contexts), np.int64), contexts, log_p))
+        got = trie.log10(np.full(len(contexts), words[0]), contexts, np.zeros(len(contexts)), -9.0)
+        assert np.abs(got - log_p).max() < 0.01
+        assert trie.log10(words, np.array([contexts[7] + 1 if len(contexts) < 5000 else 9999], np.uint32), np.array([0.5]), -9.0)[0] == pytest.approx(-5 + math.log10(0.5), abs=1e-3)
+
+
 def test_elias_fano():
     rng = np.random.default_rng(1)
     for n, universe in ((1, 10), (1000, 1001), (5000, 1 << 40), (3000, 3000 << 16)):
