@@ -400,6 +400,10 @@ def test_fingerprints_equal_brute_force(spark, sf, documents):
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
         assert r.fingerprint[:16] == wide(t) and r.edited_fingerprint[:16] == wide(edited)
         assert r.near_edited == (canonical(t) == canonical(edited)) and r.near_next == (canonical(t) == canonical(after))
+    first = {}
+    for (i, *_), t in zip(documents, texts):
+        first.setdefault(canonical(t), i)
+    assert all(got[i].group_id == first[canonical(t)] for (i, *_), t in zip(documents, texts)) and len(first) < len(texts)
 
 
 def test_fingerprints_of_odd_rows(spark, odd, none):
@@ -422,6 +426,30 @@ def test_exact_groups(spark, odd):
     assert fingerprint.exact_groups(odd).count() == len(ODD) + 3
 
 
+def test_unequal_texts_of_one_fingerprint(spark, monkeypatch):
+    """The comparison of bytes holds where digests say nothing."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(fingerprint, "digest", lambda canon: F.concat(F.lit("0"), F.substring(canon, 1, 1)))
+    docs = docs_of(spark, ["ab", "ac", "AB", "b", "B ", "ab", "x"])
+    assert {r.doc_id: r.group_id for r in fingerprint.exact_groups(docs).collect()} == {0: 0, 1: 1, 2: 0, 3: 3, 4: 3, 5: 0, 6: 6}
+    assert [r.near_next for r in fingerprint.edit_and_compare(docs).orderBy("doc_id").collect()] == [0, 0, 0, 1, 0, 0, 0]
+
+
+def test_neighbours_of_one_id_or_none(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "ROWS_PER_PART", 40)
+    rows = [(None, f"n{i}") for i in range(500)] + [(77, f"s{i}") for i in range(900)] + [(i, f"t{i}") for i in range(300) if i != 77]
+    got = collections.Counter((r.text, r.next_text) for r in fingerprint.with_next(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", ["text"]).collect())
+    after = dict(got.keys())
+    assert len(after) == len(rows) and set(after.values()) == {t for _, t in rows} and max(got.values()) == 1
+    order, at = [], "t299"
+    for _ in rows:
+        at = after[at]
+        order.append(at)
+    kinds = [t[0] if t[0] != "t" else int(t[1:]) for t in order]
+    assert kinds == ["n"] * 500 + list(range(77)) + ["s"] * 900 + list(range(78, 300))
+
+
 def test_neighbours_over_many_ranges(spark):
     ids = [7 * i * i % 100_003 for i in range(3000)]
     df = spark.createDataFrame([(i, f"t{i}") for i in set(ids)] + [(10**15, "far")], "doc_id bigint, text string")
