@@ -14,7 +14,7 @@ all its others, by joins; links that hold merge nodes into components.  A leader
 leaves its key, and a key is closed once all left in it are of one component: no link in it can
 join anything more.  The first round has one leader a key, which settles groups of copies; later
 rounds take leaders outside a key's largest component, LEADERS of them, then four times as many
-in each round.  So no link is lost among texts that share a key, nor are all pairs of a group listed.
+in each round; a pair is compared in the first key that it shares, and not again.  So no link is lost among texts that share a key, nor are all pairs of a group listed.
 
 Defined results: null texts count as empty; texts without words form one group; repeated rows are
 kept; an empty table gives no rows; other columns are ignored.  Ids must be unique and not null
@@ -163,7 +163,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = written(shingle_sets(texts, nodes.select("node", "fp").join(rows.select("node").distinct(), "node", "left_semi"), words), "near-sets")
     rest = rows.where("node <> leader")
     links = _confirmed(rest.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), sets, least)
-    leaders = LEADERS
+    leaders, keys = LEADERS, nodes.select("node", "keys")
     while True:
         comps = written(connected_components(links).select("node", F.col("component").alias("comp")), "near-components")
         rest = rest.select("key", "node").join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
@@ -173,8 +173,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         largest = rest.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("base"))
         w = Window.partitionBy("key").orderBy("node")
         chosen = rest.join(written(largest, "near-largest"), "key").where("comp <> base").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= leaders)
-        chosen = written(chosen.select("key", F.col("node").alias("head"), F.col("comp").alias("head_comp")), "near-leaders")
-        pairs = rest.join(chosen, "key").where("comp <> head_comp").select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).distinct()
+        chosen = chosen.join(keys, "node").select("key", F.col("node").alias("head"), F.col("comp").alias("head_comp"), F.col("keys").alias("head_keys"))
+        chosen = written(chosen, "near-leaders")
+        # A pair is met in the first of the keys that it shares: in the others it would be the same again.
+        first = F.get("keys", F.array_position(F.zip_with("keys", "head_keys", lambda x, y: x == y), True) - 1)
+        met = rest.join(keys, "node").join(chosen, "key").where((F.col("comp") != F.col("head_comp")) & (first == F.col("key")))
+        pairs = met.select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).distinct()
         links = links.unionByName(_confirmed(pairs, sets, least))
         rest = rest.join(chosen.select("key", F.col("head").alias("node")), ["key", "node"], "left_anti")
         leaders *= 4
