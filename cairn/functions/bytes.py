@@ -46,6 +46,11 @@ def block_aad(prefix: str, index: Column, id_: Column) -> Column:
     return F.concat(F.lit(prefix.encode()), write_le(index), F.unhex(id_))
 
 
+def chunk_aad(id_: Column, domain: str = "cairn-chunk-v1") -> Column:
+    """What binds an encrypted block to its chunk."""
+    return F.concat(F.lit(domain.encode()), F.unhex(id_))
+
+
 def hmac_sha512(key: bytes, message: Column) -> Column:
     """HMAC-SHA512 by two hashes; the pads are made on the driver and stand in the plan, as the key would."""
     import hashlib
@@ -60,3 +65,8 @@ def majority(a: Column, b: Column, c: Column) -> Column:
     at = F.sequence(F.lit(1), F.octet_length(a))
     voted = F.transform(at, lambda i: F.when(F.substring(b, i, F.lit(1)) == F.substring(c, i, F.lit(1)), F.hex(F.substring(b, i, F.lit(1)))).otherwise(F.hex(F.substring(a, i, F.lit(1)))))
     return F.when(F.octet_length(a) > 0, F.unhex(F.array_join(voted, ""))).otherwise(a)
+
+
+def joined(data: str, order: str) -> Column:
+    """An aggregate: binary values put together in order, as they are; null if there are none.  Nulls among them are left out: count them."""
+    return F.expr(f"listagg({data}) WITHIN GROUP (ORDER BY {order})")

@@ -36,7 +36,7 @@ def is_descendant(path: Column, above: Column) -> Column:
 
 def remap(path: Column, old: str, new: str) -> Column:
     """A path at or under ``old``, moved to ``new``."""
-    return F.concat(F.lit(new), F.substring(path, len(old) + 1, 1 << 20))
+    return F.concat(F.lit(new), F.substr(path, F.lit(len(old) + 1)))
 
 
 def is_valid(path: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from cairn.functions import paths
 from cairn.functions.numbers import long
 from cairn.model import MAX_ENTRIES, PREFIX, ArchiveError, Conflict, InvalidPath, NotFound
+from cairn.scratch import written
 
 
 def directories(entries: DataFrame) -> DataFrame:
@@ -62,29 +63,31 @@ def summary(entries: DataFrame, entry_chunks: DataFrame) -> DataFrame:
 SPREAD, SAMPLED = 256, 1 << 14
 
 
-def running(rows: DataFrame, order: str, value: str, name: str) -> DataFrame:
-    """Adds the sum of ``value`` over all rows with a smaller ``order`` (distinct whole numbers or text).
+def running(rows: DataFrame, order: str, sums: dict[str, str]) -> DataFrame:
+    """Adds, for each name in ``sums``, the sum of that column over all rows with a smaller ``order`` (distinct whole numbers or text).
 
-    Quantiles of the order cut the rows into SPREAD ranges; sums of the ranges, one row
-    each, are added up first, and then each range by itself."""
+    The rows are written once, as the steps that follow read them several times.  Quantiles of the order cut them into
+    SPREAD ranges; sums of the ranges, one row each, are added up first, and then each range by itself."""
+    rows = written(rows, "running")
     kind = rows.schema[order].dataType.simpleString()
     if kind in ("bigint", "int"):
-        cuts = rows.agg(F.percentile_approx(order, [i / SPREAD for i in range(1, SPREAD)], 10_000)).first()[0] or []
-        bounds = sorted(set(cuts))
-        at = F.size(F.filter(F.lit(bounds), lambda b: b < F.col(order))) if bounds else F.lit(0)
+        found = rows.agg(F.percentile_approx(order, [i / SPREAD for i in range(1, SPREAD)], 10_000)).first()[0] or []
+        bounds = sorted(set(found))
     else:
         sample = sorted(r[0] for r in rows.select(order).orderBy(F.xxhash64(order)).limit(SAMPLED).collect())
-        cuts = sample[:: max(1, len(sample) // SPREAD)]
-        at = F.size(F.filter(F.lit(cuts), lambda b: b < F.col(order))) if cuts else F.lit(0)
+        bounds = sorted(set(sample[:: max(1, len(sample) // SPREAD)]))
+    at = F.size(F.filter(F.lit(bounds), lambda b: b < F.col(order))) if bounds else F.lit(0)
     placed = rows.withColumn("_range", at)
-    sums = placed.groupBy("_range").agg(F.sum(value).alias("_sum"))
-    before = Window.partitionBy().orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select("_range", F.coalesce(F.sum("_sum").over(before), long(0)).alias("_base"))
+    totals = placed.groupBy("_range").agg(*[F.sum(v).alias(f"_sum_{n}") for n, v in sums.items()])
+    before = Window.partitionBy().orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # SPREAD + 1 rows at most
+    base = totals.select("_range", *[F.coalesce(F.sum(f"_sum_{n}").over(before), long(0)).alias(f"_base_{n}") for n in sums])
     inside = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return placed.join(F.broadcast(base), "_range").withColumn(name, F.col("_base") + F.coalesce(F.sum(value).over(inside), long(0))).drop("_range", "_base")
+    out = placed.join(F.broadcast(base), "_range")
+    added = {n: F.col(f"_base_{n}") + F.coalesce(F.sum(v).over(inside), long(0)) for n, v in sums.items()}
+    return out.select(*rows.columns, *[c.alias(n) for n, c in added.items()])
 
 
-def chunk_index(entry_chunks: DataFrame, order: list[str] | None = None) -> DataFrame:
+def chunk_index(entry_chunks: DataFrame) -> DataFrame:
     """(id, plaintext_len, first_path, first_pos, block_index, data_offset): each distinct chunk once.
 
     The first occurrence by (path, pos) gives the chunk its place; blocks follow each other, each
@@ -92,8 +95,7 @@ def chunk_index(entry_chunks: DataFrame, order: list[str] | None = None) -> Data
     first = entry_chunks.groupBy("chunk_id").agg(F.min(F.struct("path", "pos")).alias("at"), F.max("len").alias("plaintext_len"))
     rows = first.select(F.col("chunk_id").alias("id"), "plaintext_len", F.col("at.path").alias("first_path"), F.col("at.pos").alias("first_pos"))
     rows = rows.withColumn("_order", F.concat("first_path", F.lit("\0"), F.lpad(F.col("first_pos").cast("string"), 10, "0"))).withColumn("_one", long(1)).withColumn("_block", F.col("plaintext_len") + PREFIX)
-    rows = running(running(rows, "_order", "_one", "block_index"), "_order", "_block", "data_offset")
-    return rows.drop("_order", "_one", "_block")
+    return running(rows, "_order", {"block_index": "_one", "data_offset": "_block"}).drop("_order", "_one", "_block")
 
 
 def next_block_index(chunks: DataFrame) -> DataFrame:
@@ -103,7 +105,7 @@ def next_block_index(chunks: DataFrame) -> DataFrame:
 def reoffset(chunks: DataFrame) -> DataFrame:
     """Chunks with data_offset anew, in order of the block_index that they keep."""
     rows = chunks.drop("data_offset").withColumn("_block", F.col("block_len") + PREFIX)
-    return running(rows, "block_index", "_block", "data_offset").drop("_block")
+    return running(rows, "block_index", {"data_offset": "_block"}).drop("_block")
 
 
 def fresh_chunks(new: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -199,11 +201,23 @@ def move(entries: DataFrame, old: str, new: str) -> DataFrame:
     return rest.unionByName(relocate(entries, old, new))
 
 
-def rename(entries: DataFrame, old: str, name: str) -> DataFrame:
+def relocated_chunks(entry_chunks: DataFrame, old: str, new: str) -> DataFrame:
+    """Chunk lists after a move: those at or under ``old`` under ``new``, the others as they are."""
+    p = F.col("path")
+    inside = (p == old) | paths.is_descendant(p, F.lit(old))
+    return entry_chunks.withColumn("path", F.when(inside, paths.remap(p, old, new)).otherwise(p))
+
+
+def renamed(old: str, name: str) -> str:
+    """The path of ``old`` under another name in its directory."""
     if "/" in name or ".." in name:
         raise InvalidPath(name)
     above = old.rpartition("/")[0]
-    return move(entries, old, f"{above}/{name}" if above else name)
+    return f"{above}/{name}" if above else name
+
+
+def rename(entries: DataFrame, old: str, name: str) -> DataFrame:
+    return move(entries, old, renamed(old, name))
 
 
 def copy(entries: DataFrame, old: str, new: str) -> DataFrame:

@@ -24,23 +24,25 @@ SEED = b"cairn-gear-v1"
 MASK = (1 << 64) - 1
 
 
-def fixed_chunks(content: Column, size: int) -> Column:
+def fixed_chunks(content: Column, size: int, data: bool = False) -> Column:
     """Array of (pos, start, len, id) of chunks of ``size`` bytes, the last one shorter; none for no bytes.
 
-    Ids are made before anything is exploded, so no row carries its file's bytes along."""
+    Ids are made before anything is exploded, so no row carries its file's bytes along; with ``data`` each carries its own."""
     n = F.octet_length(content).cast("bigint")
 
     def one(i: Column) -> Column:
         part = F.substring(content, (i * size + 1).cast("int"), F.lit(size))
-        return F.struct(i.cast("int").alias("pos"), (i * size).alias("start"), F.least(long(size), n - i * size).alias("len"), chunk_id(part).alias("id"))
+        own = [part.alias("data")] if data else []
+        return F.struct(i.cast("int").alias("pos"), (i * size).alias("start"), F.least(long(size), n - i * size).alias("len"), chunk_id(part).alias("id"), *own)
 
     return F.when(n > 0, F.transform(F.sequence(long(0), ceil_div(n, size) - 1), one))
 
 
-def entry_chunks(files: DataFrame, size: int, carried: list[str] | None = None) -> DataFrame:
-    """(path, pos, start, len, chunk_id): a row for each chunk of each file (path, content)."""
-    rows = files.select("path", *(carried or []), F.explode(fixed_chunks(F.col("content"), size)).alias("c"))
-    return rows.select("path", *(carried or []), "c.pos", "c.start", F.col("c.len").alias("len"), F.col("c.id").alias("chunk_id"))
+def entry_chunks(files: DataFrame, size: int, carried: list[str] | None = None, data: bool = False) -> DataFrame:
+    """(path, pos, start, len, chunk_id), and data if asked for: a row for each chunk of each file (path, content)."""
+    rows = files.select("path", *(carried or []), F.explode(fixed_chunks(F.col("content"), size, data)).alias("c"))
+    own = ["c.data"] if data else []
+    return rows.select("path", *(carried or []), "c.pos", "c.start", F.col("c.len").alias("len"), F.col("c.id").alias("chunk_id"), *own)
 
 
 @cache
@@ -103,19 +105,18 @@ def cuts(data: bytes, bounds: Bounds) -> list[tuple[int, int]]:
     return out
 
 
-def gear_chunks(files: DataFrame, bounds: Bounds) -> DataFrame:
-    """(path, pos, start, len, chunk_id) by content; a file is cut in one task, files in parallel."""
+def gear_chunks(files: DataFrame, bounds: Bounds, data: bool = False) -> DataFrame:
+    """(path, pos, start, len, chunk_id), and data if asked for, by content; a file is cut in one task, files in parallel."""
     bounds.checked()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path, data in zip(b.column(0).to_pylist(), b.column(1)):
-                raw = data.as_buffer().to_pybytes() if data.is_valid else b""
+            for path, cell in zip(b.column(0).to_pylist(), b.column(1)):
+                raw = cell.as_buffer().to_pybytes() if cell.is_valid else b""
                 at = cuts(raw, bounds)
                 ids = [hashlib.sha256(raw[s:e]).hexdigest()[:32] for s, e in at]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([path] * len(at), pa.string()), pa.array(range(len(at)), pa.int32()), pa.array([s for s, _ in at], pa.int64()), pa.array([e - s for s, e in at], pa.int64()), pa.array(ids, pa.string())],
-                    ["path", "pos", "start", "len", "chunk_id"],
-                )
+                cols = [pa.array([path] * len(at), pa.string()), pa.array(range(len(at)), pa.int32()), pa.array([s for s, _ in at], pa.int64()), pa.array([e - s for s, e in at], pa.int64()), pa.array(ids, pa.string())]
+                own = [pa.array([raw[s:e] for s, e in at], pa.binary())] if data else []
+                yield pa.RecordBatch.from_arrays(cols + own, ["path", "pos", "start", "len", "chunk_id", "data"][: 5 + len(own)])
 
-    return files.select("path", "content").mapInArrow(run, "path string, pos int, start bigint, len bigint, chunk_id string")
+    return files.select("path", "content").mapInArrow(run, "path string, pos int, start bigint, len bigint, chunk_id string" + (", data binary" if data else ""))

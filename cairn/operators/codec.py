@@ -15,19 +15,14 @@ PROBE_LEVEL, PROBE_PCT, PROBE_WHOLE, PROBE_PARTS, PROBE_PART = 3, 97, MIB, 16, 6
 
 
 def _zstd():
-    """(compress(data, level), decompress(data, most)) of what is installed."""
-    try:
-        import zstandard
-
-        def unpack(data: bytes, most: int) -> bytes:
-            with zstandard.ZstdDecompressor().stream_reader(data) as r:
-                return r.read(most + 1)
+    """(compress(data, level), decompress(data, most)); an error where zstandard is missing, since no other codec could be told apart later."""
+    import zstandard
 
-        return lambda data, level: zstandard.ZstdCompressor(level=level).compress(data), unpack
-    except ImportError:
-        import zlib
+    def unpack(data: bytes, most: int) -> bytes:
+        with zstandard.ZstdDecompressor().stream_reader(data) as r:
+            return r.read(most + 1)
 
-        return lambda data, level: zlib.compress(data, min(level, 9)), lambda data, most: zlib.decompressobj().decompress(data, most + 1)
+    return lambda data, level: zstandard.ZstdCompressor(level=level).compress(data), unpack
 
 
 def sample(chunk: bytes) -> bytes:
@@ -68,19 +63,25 @@ def compressed(chunks: DataFrame, level: int = 3) -> DataFrame:
 
 
 def decompressed(blocks: DataFrame) -> DataFrame:
-    """(id, data): blocks unpacked, never beyond their recorded length; data is null if it is wrong."""
+    """(id, data): blocks unpacked, never beyond their recorded length; data is null if the block is missing or wrong."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
         unpack = _zstd()[1]
-        for b in batches:
-            out = []
-            for cell, n, raw in zip(b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist()):
-                data = cell.as_buffer().to_pybytes()
-                if n > MAX_BLOCK:
-                    out.append(None)
-                    continue
+
+        def one(cell: pa.Scalar, n: int | None, raw: bool | None) -> bytes | None:
+            if not cell.is_valid or n is None or n > MAX_BLOCK:
+                return None
+            data = cell.as_buffer().to_pybytes()
+            try:
                 got = data if raw else unpack(data, n)
-                out.append(got if len(got) == n else None)
+            except zstandard.ZstdError:
+                return None
+            return got if len(got) == n else None
+
+        for b in batches:
+            out = [one(*row) for row in zip(b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["id", "data"])
 
     return blocks.select("id", "block", "plaintext_len", "stored_raw").mapInArrow(run, "id string, data binary")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cairn.functions.bytes import joined
 from cairn.model import PACK_TARGET, SMALL
 
 
@@ -54,8 +55,7 @@ def assemble(files: DataFrame, target: int = PACK_TARGET, lane: Column | None =
 def pack_contents(members: DataFrame, files: DataFrame) -> DataFrame:
     """(lane, pack, content): the bytes of each pack, of its members in order."""
     rows = members.select("lane", "pack", "start", "path").join(files.select("path", "content"), "path")
-    parts = rows.groupBy("lane", "pack").agg(F.array_sort(F.collect_list(F.struct("start", "path", "content"))).alias("parts"))
-    return parts.select("lane", "pack", F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["content"])), "")).alias("content"))
+    return rows.groupBy("lane", "pack").agg(joined("content", "start, path").alias("content"))
 
 
 def covering(members: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions import numbers
+from cairn.functions.bytes import joined
 from cairn.functions.numbers import ceil_div, long
 from cairn.model import WINDOW
 
@@ -119,17 +120,33 @@ def layout(files: DataFrame, pct: int, window: int = WINDOW) -> DataFrame:
 def data_shards(files: DataFrame, pct: int, window: int = WINDOW) -> DataFrame:
     """(path, win, grp, slot, cksum, len): data shards of (path, content, size) by expressions alone.
 
-    Bytes beyond a window's end count as zeros in the checksum."""
-    rows = layout(files, pct, window).where("window_len > 0").join(files.select("path", "content"), "path")
-    i = F.col("i")
-    shards = rows.select("*", F.explode(F.sequence(long(0), F.col("shards") - 1)).alias("i"))
-    size = F.least(F.col("shard"), F.col("window_len") - i * F.col("shard"))
-    data = F.substring(F.col("content"), (F.col("window_offset") + i * F.col("shard") + 1).cast("int"), size.cast("int"))
-    padded = F.rpad(data, F.col("shard").cast("int"), F.lit(b"\0"))
-    return shards.select(
-        "path", F.col("idx").alias("win"), numbers.div(i, F.col("k")).alias("grp"), (i % F.col("k")).alias("slot"),
-        F.substring(F.sha2(padded, 256), 1, CHECK_DIGITS).alias("cksum"), size.alias("len"),
-    )
+    All is cut inside arrays before anything is exploded, so no row carries its file's bytes along.  Bytes beyond a
+    window's end count as zeros in the checksum."""
+    k, _ = numbers.grid(long(pct))
+    content = F.col("content")
+
+    def shards_of(w: Column) -> Column:
+        g = numbers.geometry(w["window_len"], k)
+
+        def one(i: Column) -> Column:
+            size = F.least(g["shard"], w["window_len"] - i * g["shard"])
+            data = F.substring(content, (w["window_offset"] + i * g["shard"] + 1).cast("int"), size.cast("int"))
+            padded = F.rpad(data, g["shard"].cast("int"), F.lit(b"\0"))
+            return F.struct(w["idx"].alias("win"), numbers.div(i, k).alias("grp"), (i % k).alias("slot"), F.substring(F.sha2(padded, 256), 1, CHECK_DIGITS).alias("cksum"), size.alias("len"))
+
+        return F.transform(F.sequence(long(0), g["shards"] - 1), one)
+
+    full = F.filter(numbers.windows(F.col("size"), window), lambda w: w["window_len"] > 0)
+    return files.select("path", F.explode(F.flatten(F.transform(full, shards_of))).alias("s")).select("path", "s.*")
+
+
+def cut_windows(files: DataFrame, window: int) -> DataFrame:
+    """(path, win, data): the windows of (path, content), cut before they are exploded."""
+    parts = F.transform(
+        numbers.windows(F.octet_length("content").cast("bigint"), window),
+        lambda w: F.struct(w["idx"].alias("win"), F.substring(F.col("content"), (w["window_offset"] + 1).cast("int"), w["window_len"].cast("int")).alias("data")),
+    )
+    return files.select("path", F.explode(parts).alias("w")).select("path", "w.win", "w.data")
 
 
 def _window_shards(data: bytes, k: int) -> np.ndarray:
@@ -154,8 +171,7 @@ def protect(files: DataFrame, pct: int, window: int = WINDOW) -> DataFrame:
 
     Windows are cut in the plan, so a task's work is a window, not a file."""
     k, p = grid_of(pct)
-    rows = files.select("path", F.explode(numbers.windows(F.octet_length("content").cast("bigint"), window)).alias("w"), "content")
-    parts = rows.select("path", F.col("w.idx").alias("win"), F.substring(F.col("content"), (F.col("w.window_offset") + 1).cast("int"), F.col("w.window_len").cast("int")).alias("data"))
+    parts = cut_windows(files, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -201,21 +217,24 @@ def health(files: DataFrame, shards: DataFrame, pct: int, window: int = WINDOW)
 
 
 def repair(files: DataFrame, shards: DataFrame, expected: DataFrame, pct: int, window: int = WINDOW) -> DataFrame:
-    """(path, content, status) of (path, content), all or nothing a file.
+    """(path, content, status, rebuilt) of (path, content), all or nothing a file.
 
     expected: (path, sha256).  status: ``clean`` if the content has that hash already, ``repaired``
-    if it has it after repair, else ``unrecoverable``, and then the content is what it was."""
+    if it has it after repair, else ``unrecoverable``, and then the content is what it was.  rebuilt: data shards that were
+    computed from the others, in all windows."""
     k, p = grid_of(pct)
     known = files.join(expected, "path").withColumn("_ok", F.sha2("content", 256) == F.col("sha256"))
     broken = known.where(~F.col("_ok"))
-    wins = broken.select("path", F.explode(numbers.windows(F.octet_length("content").cast("bigint"), window)).alias("w"), "content")
-    wins = wins.select("path", F.col("w.idx").alias("win"), F.substring(F.col("content"), (F.col("w.window_offset") + 1).cast("int"), F.col("w.window_len").cast("int")).alias("data"))
+    wins = cut_windows(broken, window)
     have = shards.groupBy("path", "win").agg(F.collect_list(F.struct("grp", "slot", "is_parity", "cksum", "bytes")).alias("shards"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
                 data = row["data"]
+                if not data:
+                    yield pa.RecordBatch.from_arrays([pa.array([row["path"]]), pa.array([row["win"]]), pa.array([b""], pa.binary()), pa.array([0])], ["path", "win", "data", "rebuilt"])
+                    continue
                 cells = _window_shards(data, k)
                 groups: dict[int, list] = {}
                 sums = {}
@@ -232,21 +251,22 @@ def repair(files: DataFrame, shards: DataFrame, expected: DataFrame, pct: int, w
                         else:
                             fine = want is not None and checksum(want["bytes"]) == want["cksum"] and len(want["bytes"]) == cells.shape[1]
                             groups[g].append(np.frombuffer(want["bytes"], np.uint8) if fine else None)
-                out = []
+                out, rebuilt = [], 0
                 for g, own in groups.items():
                     solved = solve_group(own, k, p)
                     out += solved if solved is not None else list(cells[g * k : (g + 1) * k])  # beyond repair: as it was
+                    rebuilt += sum(x is None for x in own[:k]) if solved is not None else 0
                 fixed = b"".join(x.tobytes() for x in out)[: len(data)]
-                yield pa.RecordBatch.from_arrays([pa.array([row["path"]]), pa.array([row["win"]]), pa.array([fixed], pa.binary())], ["path", "win", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array([row["path"]]), pa.array([row["win"]]), pa.array([fixed], pa.binary()), pa.array([rebuilt])], ["path", "win", "data", "rebuilt"])
 
-    fixed = wins.join(have, ["path", "win"]).mapInArrow(run, "path string, win bigint, data binary")
-    whole = fixed.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("win", "data"))).alias("parts"))
-    whole = whole.select("path", F.unhex(F.array_join(F.transform("parts", lambda x: F.hex(x["data"])), "")).alias("_fixed"))
+    fixed = wins.join(have, ["path", "win"]).mapInArrow(run, "path string, win bigint, data binary, rebuilt bigint")
+    whole = fixed.groupBy("path").agg(joined("data", "win").alias("_fixed"), F.sum("rebuilt").alias("_rebuilt"))
     done = known.join(whole, "path", "left").withColumn("_good", F.coalesce(F.sha2("_fixed", 256) == F.col("sha256"), F.lit(False)))
     return done.select(
         "path",
         F.when(F.col("_good") & ~F.col("_ok"), F.col("_fixed")).otherwise(F.col("content")).alias("content"),
         F.when(F.col("_ok"), "clean").when(F.col("_good"), "repaired").otherwise("unrecoverable").alias("status"),
+        F.coalesce("_rebuilt", long(0)).alias("rebuilt"),
     )
 
 

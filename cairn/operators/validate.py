@@ -43,17 +43,23 @@ def bad_extensions(rows: DataFrame, payload_len: int) -> DataFrame:
     return critical.unionByName(twice).unionByName(outside)
 
 
-def bad_wrappers(rows: DataFrame) -> DataFrame:
-    """(slot, rule) of a stack of (slot, algorithm_id, algorithm_version): all slots, known algorithms, version 1."""
-    known = rows.sparkSession.createDataFrame([(s, ALGORITHMS[s]) for s in WRAPPERS], "slot string, wanted string")
-    both = known.join(rows, "slot", "full_outer")
+def bad_wrappers(rows: DataFrame, archives: DataFrame | None = None) -> DataFrame:
+    """(slot, rule) of a stack of (slot, algorithm_id, algorithm_version): all slots, known algorithms, version 1.
+
+    With ``archives`` (archive), of many stacks at once: (archive, slot, rule) of rows that have an archive each."""
+    many = archives is not None
+    owners = archives if many else rows.sparkSession.range(1).select(F.lit(0).alias("archive"))
+    rows = rows if many else rows.withColumn("archive", F.lit(0))
+    slots = F.array(*[F.struct(F.lit(s).alias("slot"), F.lit(ALGORITHMS[s]).alias("wanted")) for s in WRAPPERS])
+    known = owners.select("archive", F.inline(slots))
+    both = known.join(rows, ["archive", "slot"], "full_outer")
     rule = (
         F.when(F.col("wanted").isNull(), "unknown slot")
         .when(F.col("algorithm_id").isNull(), "missing")
         .when((F.col("algorithm_id") != F.col("wanted")) & ~((F.col("slot") == "crypt") & (F.col("algorithm_id") == "aes-256-gcm")), "algorithm")
         .when(F.col("algorithm_version") != 1, "version")
     )
-    return both.select("slot", rule.alias("rule")).where("rule IS NOT NULL")
+    return both.select(*(["archive"] if many else []), "slot", rule.alias("rule")).where("rule IS NOT NULL")
 
 
 def bad_chunks(chunks: DataFrame) -> DataFrame:
@@ -87,3 +93,26 @@ def bad_tiling(windows: DataFrame) -> DataFrame:
     gap = rows.where("window_offset <> _due").select("file", "idx", F.lit("gap").alias("rule"))
     short = rows.where(F.col("_last") & (F.col("window_offset") + F.col("window_len") != F.col("total"))).select("file", "idx", F.lit("end").alias("rule"))
     return gap.unionByName(short)
+
+
+def bad_payload_lengths(rows: DataFrame) -> DataFrame:
+    """Rows of (window_len, payload_len) whose payload is longer than parity at the highest overhead."""
+    from cairn.functions import numbers
+
+    k, p = numbers.grid(long(numbers.MOST_PCT))
+    return rows.where(~F.coalesce((F.col("payload_len") >= 0) & (F.col("payload_len") <= numbers.payload_len(F.col("window_len"), k, p)), F.lit(False)))
+
+
+def section(content: Column, offset: Column, length: Column, cap: int = MAX_BLOCK) -> Column:
+    """A range of bytes; null if it does not lie inside the content, or is longer than ``cap``."""
+    o, n = offset.cast(WIDE), length.cast(WIDE)
+    inside = (o >= 0) & (n >= 0) & (n <= cap) & (o + n <= F.octet_length(content))
+    return F.when(inside, F.substring(content, (offset + 1).cast("int"), length.cast("int")))
+
+
+def prefixed(content: Column, offset: Column, cap: int = MAX_BLOCK) -> Column:
+    """What follows a length of four bytes at an offset; null if it is cut off, or longer than ``cap``."""
+    from cairn.functions.bytes import read_le
+
+    at = section(content, offset, long(4))
+    return section(content, offset + 4, read_le(at, 0, 4).cast("bigint"), cap)

@@ -52,5 +52,5 @@ def corrupted(files: DataFrame, at: int, flip: int = 0x5A) -> DataFrame:
     """Files with one byte changed, for drills; those too short stay as they are."""
     c = F.col("content")
     byte = F.conv(F.hex(F.substring(c, at + 1, 1)), 16, 10).cast("int")
-    changed = F.concat(F.substring(c, 1, at), F.unhex(F.lpad(F.hex(byte.bitwiseXOR(F.lit(flip)).cast("bigint")), 2, "0")), F.substring(c, at + 2, 1 << 30))
+    changed = F.concat(F.substring(c, 1, at), F.unhex(F.lpad(F.hex(byte.bitwiseXOR(F.lit(flip)).cast("bigint")), 2, "0")), F.substr(c, F.lit(at + 2)))
     return files.withColumn("content", F.when(F.octet_length(c) > at, changed).otherwise(c))

@@ -86,12 +86,21 @@ def implied_directories(spark, sf):
     return catalog.directories(_entries(_files(spark, sf)))
 
 
-@query("""WITH asked AS (SELECT unnest(['docs', 'docs/en', 'docs/none', 'docs/en/src1', 'x', 'docs/e']) AS path),
-dirs AS (SELECT DISTINCT unnest(['docs', 'docs/' || lang, 'docs/' || lang || '/' || source]) AS path FROM documents)
-SELECT path, CASE WHEN path IN (SELECT path FROM dirs) THEN 'implicit' ELSE 'none' END AS kind FROM asked""")
+ASKED = """asked AS (SELECT DISTINCT CASE doc_id % 5 WHEN 0 THEN 'docs/' || lang || '/' || source || '/' || doc_id || '.txt' WHEN 1 THEN 'docs/' || lang WHEN 2 THEN 'docs/' || lang || '/' || source || '/' || doc_id
+  WHEN 3 THEN 'made/' || lang WHEN 4 THEN 'made' END AS path FROM documents)"""
+
+
+@query(f"""WITH {FILES}, {ASKED}, dirs AS (SELECT DISTINCT unnest(['docs', 'docs/' || lang, 'docs/' || lang || '/' || source]) AS path FROM documents)
+SELECT path, CASE WHEN path IN (SELECT path FROM files) THEN 'file' WHEN starts_with(path, 'made') THEN 'directory' WHEN path IN (SELECT path FROM dirs) THEN 'implicit' ELSE 'none' END AS kind FROM asked WHERE path IS NOT NULL""")
 def entry_kinds(spark, sf):
-    asked = spark.createDataFrame([(p,) for p in ("docs", "docs/en", "docs/none", "docs/en/src1", "x", "docs/e")], "path string")
-    return catalog.kinds(_entries(_files(spark, sf)), asked)
+    """Paths of files, of directories with and without rows of their own, and of nothing."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    k, folder = F.col("doc_id") % 5, F.concat(F.lit("docs/"), "lang")
+    file = F.concat(folder, F.lit("/"), "source", F.lit("/"), "doc_id")
+    asked = F.when(k == 0, F.concat(file, F.lit(".txt"))).when(k == 1, folder).when(k == 2, file).when(k == 3, F.concat(F.lit("made/"), "lang")).otherwise("made")
+    made = docs.select(F.explode(F.array(F.lit("made"), F.concat(F.lit("made/"), "lang"))).alias("path")).where("path IS NOT NULL").distinct()
+    entries = _entries(_files(spark, sf)).unionByName(made.select("path", long(0).alias("size"), F.lit(True).alias("is_dir")))
+    return catalog.kinds(entries, docs.select(asked.alias("path")).where("path IS NOT NULL").distinct())
 
 
 @query(f"""WITH {FILES} SELECT count(*)::BIGINT AS files, (SELECT count(DISTINCT d) FROM (SELECT unnest(['docs', 'docs/' || lang, 'docs/' || lang || '/' || source]) AS d FROM documents))::BIGINT AS dirs,
@@ -112,10 +121,11 @@ def next_block_index(spark, sf):
     return catalog.next_block_index(catalog.chunk_index(chunking.entry_chunks(_files(spark, sf), CHUNK)))
 
 
-@query(f"WITH {FILES} SELECT path, sha256(content) AS sha256, 0::BIGINT AS missing FROM files WHERE size > 0")
+@query(f"WITH {FILES} SELECT path, sha256(content) AS sha256, 0::BIGINT AS missing FROM files")
 def restore_files(spark, sf):
+    """All files from their chunks, empty ones too."""
     files = _files(spark, sf)
-    got = restore.restored(chunking.entry_chunks(files, CHUNK), _blocks(files))
+    got = restore.restored(chunking.entry_chunks(files, CHUNK), _blocks(files), _entries(files))
     return got.select("path", F.sha2("content", 256).alias("sha256"), "missing")
 
 
@@ -242,10 +252,13 @@ def check_paths(spark, sf):
     return rows.select("page_id", "raw", paths.is_valid(F.col("raw")).alias("valid"), paths.normalized(F.col("raw")).alias("normal"))
 
 
-@query("SELECT path, rule FROM (VALUES ('a//b', 'not canonical'), ('/c', 'not canonical'), ('x/y', 'duplicate')) t(path, rule)")
+@query("""WITH p AS (SELECT CASE page_id % 4 WHEN 0 THEN 'a//' || page_id WHEN 1 THEN '/c/' || page_id WHEN 2 THEN 'x/' || (page_id // 8) ELSE 'y/' || page_id END AS path FROM pages)
+SELECT path, CASE WHEN path LIKE 'a//%' OR path LIKE '/%' THEN 'not canonical' ELSE 'duplicate' END AS rule FROM p GROUP BY path HAVING path LIKE 'a//%' OR path LIKE '/%' OR count(*) > 1""")
 def duplicate_paths(spark, sf):
-    rows = spark.createDataFrame([("a//b",), ("/c",), ("x/y",), ("x/y",), ("x/z",)], "path string")
-    return validate.bad_paths(rows)
+    """Paths of which some are not canonical, and some come twice."""
+    k = F.col("page_id")
+    path = F.when(k % 4 == 0, F.concat(F.lit("a//"), k)).when(k % 4 == 1, F.concat(F.lit("/c/"), k)).when(k % 4 == 2, F.concat(F.lit("x/"), F.floor(k / 8))).otherwise(F.concat(F.lit("y/"), k))
+    return validate.bad_paths(spark.read.parquet(f"{sf}/pages.parquet").select(path.alias("path")))
 
 
 @query("""SELECT s_suppkey, s AS smallest, a AS average, m AS largest FROM (SELECT s_suppkey, (s_suppkey % 4) * 2048 AS s, 1024 * (s_suppkey % 9)::BIGINT AS a, 8192::BIGINT * (s_suppkey % 3) AS m FROM supplier)
@@ -256,23 +269,42 @@ def check_bounds(spark, sf):
     return validate.bad_bounds(rows)
 
 
-@query("""SELECT o_orderkey, offs, n FROM (SELECT o_orderkey, ((o_orderkey % 7 - 1) * 4611686018427387904)::BIGINT AS offs, o_custkey AS n FROM orders WHERE o_orderkey % 7 < 3)
+@query("""SELECT o_orderkey, offs, n FROM (SELECT o_orderkey, ((o_orderkey % 3 - 1) * 4611686018427387904)::BIGINT AS offs, o_custkey AS n FROM orders)
 WHERE offs < 0 OR offs::HUGEINT + n > 4611686018427387999""")
 def check_ranges(spark, sf):
-    rows = spark.read.parquet(f"{sf}/orders.parquet").where("o_orderkey % 7 < 3").select("o_orderkey", ((F.col("o_orderkey") % 7 - 1) * long(1 << 62)).alias("offs"), F.col("o_custkey").alias("n"))
+    rows = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", ((F.col("o_orderkey") % 3 - 1) * long(1 << 62)).alias("offs"), F.col("o_custkey").alias("n"))
     return validate.bad_ranges(rows, "offs", "n", F.lit(4611686018427387999))
 
 
-@query("SELECT extension_id, rule FROM (VALUES ('e1', 'critical'), ('e2', 'duplicate'), ('e3', 'range'), ('e4', 'range')) t(extension_id, rule)")
+@query("""WITH x AS (SELECT 'e' || (CASE p_partkey % 5 WHEN 1 THEN p_partkey - 1 ELSE p_partkey END) AS extension_id, p_partkey % 5 = 2 AS critical, CASE p_partkey % 5 WHEN 3 THEN 95 WHEN 4 THEN 9223372036854775807 ELSE p_partkey % 50 END AS o, (p_partkey % 50)::BIGINT AS n FROM part)
+SELECT extension_id, 'critical' AS rule FROM x WHERE critical UNION ALL SELECT extension_id, 'range' FROM x WHERE o::HUGEINT + n > 100 UNION ALL SELECT extension_id, 'duplicate' FROM x GROUP BY 1 HAVING count(*) > 1""")
 def check_extensions(spark, sf):
-    rows = spark.createDataFrame([("e1", True, 0, 10), ("e2", False, 10, 10), ("e2", False, 20, 10), ("e3", False, 95, 10), ("e4", False, (1 << 63) - 1, 2), ("e5", False, 0, 100)], "extension_id string, critical boolean, offset bigint, length bigint")
+    """Extensions of which some are critical, reach beyond the payload, overflow, or share their id."""
+    k = F.col("p_partkey")
+    offset = F.when(k % 5 == 3, long(95)).when(k % 5 == 4, long((1 << 63) - 1)).otherwise(k % 50)
+    rows = spark.read.parquet(f"{sf}/part.parquet").select(F.concat(F.lit("e"), F.when(k % 5 == 1, k - 1).otherwise(k)).alias("extension_id"), (k % 5 == 2).alias("critical"), offset.alias("offset"), (k % 50).alias("length"))
     return validate.bad_extensions(rows, 100)
 
 
-@query("SELECT slot, rule FROM (VALUES ('compress', 'version'), ('extra', 'unknown slot'), ('id', 'algorithm'), ('index', 'missing')) t(slot, rule)")
+WRAPPER_SLOTS = ["pack", "chunk", "id", "compress", "crypt", "index", "extra"]
+
+
+@query("""WITH s(slot, ok) AS (VALUES ('pack', 'greedy-pack'), ('chunk', 'gear-cdc'), ('id', 'sha256-128'), ('compress', 'zstd'), ('crypt', 'none'), ('index', 'json'), ('extra', 'x')),
+w AS (SELECT n_nationkey AS k, slot, ok, row_number() OVER (PARTITION BY n_nationkey ORDER BY CASE slot WHEN 'pack' THEN 0 WHEN 'chunk' THEN 1 WHEN 'id' THEN 2 WHEN 'compress' THEN 3 WHEN 'crypt' THEN 4 WHEN 'index' THEN 5 ELSE 6 END) - 1 AS i FROM nation, s)
+SELECT k AS archive, slot, CASE WHEN slot = 'extra' AND k % 2 = 0 THEN 'unknown slot' WHEN i = k % 7 THEN 'missing' WHEN i = (k + 2) % 7 THEN 'version' WHEN i = (k + 4) % 7 THEN 'algorithm' END AS rule FROM w
+WHERE (slot = 'extra' AND k % 2 = 0) OR (slot <> 'extra' AND i IN (k % 7, (k + 2) % 7, (k + 4) % 7))""")
 def check_wrappers(spark, sf):
-    rows = [("pack", "greedy-pack", 1), ("chunk", "gear-cdc", 1), ("id", "md5", 1), ("compress", "zstd", 2), ("crypt", "aes-256-gcm", 1), ("extra", "x", 1)]
-    return validate.bad_wrappers(spark.createDataFrame(rows, "slot string, algorithm_id string, algorithm_version int"))
+    """The wrappers of an archive for each nation; some lack one, some have one of another version or algorithm, some have one too many."""
+    from cairn.model import ALGORITHMS
+
+    rows = spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_nationkey").alias("archive"), F.posexplode(F.lit(WRAPPER_SLOTS)).alias("i", "slot"))
+    k, i = F.col("archive"), F.col("i")
+    rows = rows.where(F.when(F.col("slot") == "extra", k % 2 == 0).otherwise(i != k % 7))
+    known = F.create_map(*[x for pair in ALGORITHMS.items() for x in map(F.lit, pair)])
+    usual = F.coalesce(F.try_element_at(known, F.col("slot")), F.lit("x"))
+    rows = rows.select("archive", "slot", F.when(i == (k + 4) % 7, "other").otherwise(usual).alias("algorithm_id"), F.when(i == (k + 2) % 7, 2).otherwise(1).alias("algorithm_version"))
+    archives = spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_nationkey").alias("archive"))
+    return validate.bad_wrappers(rows, archives)
 
 
 @query(f"""WITH {INDEX} SELECT id, 'offset' AS rule FROM idx WHERE block_index % 5 = 3 UNION ALL SELECT id, 'raw length' FROM idx WHERE block_index % 11 = 1""")
@@ -372,16 +404,20 @@ def majority_vote(spark, sf):
     return spark.read.parquet(f"{sf}/nation.parquet").select("n_name", F.hex(b.majority(*copies)).alias("voted"))
 
 
-@query("SELECT level, pct FROM (VALUES ('low', '7'), (' Medium ', '15'), ('quartile', '25'), ('HIGH', '30'), ('12%', '12'), ('3', '5'), ('99 ', '50'), ('x', NULL)) t(level, pct)")
+@query("""SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'low' WHEN 1 THEN ' Medium ' WHEN 2 THEN 'quartile' WHEN 3 THEN 'HIGH' WHEN 4 THEN (p_partkey % 90) || '%' WHEN 5 THEN (p_partkey % 90) || ' ' ELSE 'x' || p_partkey END AS level,
+  (CASE p_partkey % 7 WHEN 0 THEN 7 WHEN 1 THEN 15 WHEN 2 THEN 25 WHEN 3 THEN 30 WHEN 4 THEN least(greatest(p_partkey % 90, 5), 50) WHEN 5 THEN least(greatest(p_partkey % 90, 5), 50) END)::VARCHAR AS pct FROM part""")
 def parity_levels(spark, sf):
-    rows = spark.createDataFrame([(x,) for x in ("low", " Medium ", "quartile", "HIGH", "12%", "3", "99 ", "x")], "level string")
-    return rows.select("level", numbers.level_pct(F.col("level")).cast("string").alias("pct"))
+    k = F.col("p_partkey")
+    named = F.when(k % 7 == 0, "low").when(k % 7 == 1, " Medium ").when(k % 7 == 2, "quartile").when(k % 7 == 3, "HIGH")
+    level = named.when(k % 7 == 4, F.concat(k % 90, F.lit("%"))).when(k % 7 == 5, F.concat(k % 90, F.lit(" "))).otherwise(F.concat(F.lit("x"), k))
+    rows = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", level.alias("level"))
+    return rows.select("p_partkey", "level", numbers.level_pct(F.col("level")).cast("string").alias("pct"))
 
 
-@query("SELECT doc_id, lower(hex(encode(source))) AS aad, replace(replace(rtrim(to_base64(encode(substr(text, 1, 20))), '='), '+', '-'), '/', '_') AS token, doc_id AS back FROM documents")
+@query("SELECT doc_id, lower(hex(encode('cairn'))) || printf('%02x', (doc_id >> 0) & 255) || printf('%02x', (doc_id >> 8) & 255) || printf('%02x', (doc_id >> 16) & 255) || printf('%02x', (doc_id >> 24) & 255) || printf('%02x', (doc_id >> 32) & 255) || printf('%02x', (doc_id >> 40) & 255) || printf('%02x', (doc_id >> 48) & 255) || printf('%02x', (doc_id >> 56) & 255) || md5(text) AS aad, replace(replace(rtrim(to_base64(encode(substr(text, 1, 20))), '='), '+', '-'), '/', '_') AS token, doc_id AS back FROM documents")
 def byte_codecs(spark, sf):
     rows = spark.read.parquet(f"{sf}/documents.parquet")
-    return rows.select("doc_id", F.lower(F.hex(F.encode("source", "UTF-8"))).alias("aad"), b.base64url(F.encode(F.substring("text", 1, 20), "UTF-8")).alias("token"), b.read_le(b.write_le(F.col("doc_id")), 0, 8).cast("bigint").alias("back"))
+    return rows.select("doc_id", F.lower(F.hex(b.block_aad("cairn", F.col("doc_id"), F.md5(F.encode("text", "UTF-8"))))).alias("aad"), b.base64url(F.encode(F.substring("text", 1, 20), "UTF-8")).alias("token"), b.read_le(b.write_le(F.col("doc_id")), 0, 8).cast("bigint").alias("back"))
 
 
 @query(f"WITH {FILES} SELECT path, sha256(encode('cairn-sidecar-v1') || from_hex(sha256(content))) AS binding_id FROM files")
@@ -399,21 +435,21 @@ def binding_problems(spark, sf):
     return verify.binding_problems(cars.withColumn("binding_id", b.binding_id(F.col("content_sha256"))), files)
 
 
-@query(f"WITH {FILES} SELECT path, sha256(content) AS sha256, size > 100 AS was_damaged, CASE WHEN size > 100 THEN 'repaired' ELSE 'clean' END AS status FROM files WHERE size > 0")
+@query(f"WITH {FILES} SELECT path, sha256(content) AS sha256, (size > 100)::BIGINT AS rebuilt, CASE WHEN size > 100 THEN 'repaired' ELSE 'clean' END AS status FROM files")
 def repair_files(spark, sf):
     """A byte of every longer file is changed, and repaired from parity."""
-    files = _files(spark, sf).where("size > 0")
+    files = _files(spark, sf)
     shards = parity.protect(files, PCT, WINDOW)
     expected = files.select("path", F.sha2("content", 256).alias("sha256"))
     got = parity.repair(verify.corrupted(files, 100), shards, expected, PCT, WINDOW)
-    return got.select("path", F.sha2("content", 256).alias("sha256"), (F.octet_length("content") > 100).alias("was_damaged"), "status")
+    return got.select("path", F.sha2("content", 256).alias("sha256"), "rebuilt", "status")
 
 
 @query(f"""WITH {SHARDS}, g AS (SELECT path, win, grp, count(*) AS n FROM sh GROUP BY ALL), f AS (SELECT count(*) AS bad FROM files WHERE size > 100)
 SELECT sum(n)::BIGINT AS total_data_shards, (2 * count(*))::BIGINT AS total_parity_shards, (SELECT bad FROM f)::BIGINT AS damaged_data_shards, 0::BIGINT AS damaged_parity_shards,
   count(*)::BIGINT AS groups, 0::BIGINT AS unrecoverable_groups FROM g""")
 def parity_health(spark, sf):
-    files = _files(spark, sf).where("size > 0")
+    files = _files(spark, sf)
     return parity.health(verify.corrupted(files, 100), parity.protect(files, PCT, WINDOW), PCT, WINDOW)
 
 
@@ -442,9 +478,9 @@ def archive_headers(spark, sf):
     zero = long(0)
     made = headers.header(KEY, F.lit(1), F.lit(1), data_offset=long(512), data_len=F.col("size"), manifest_offset=F.col("size") + 512, manifest_len=zero, extension_offset=zero, extension_len=zero)
     rows = rows.select("path", made.alias("h"))
-    forged = F.concat(F.substring("h", 1, 20), F.lit(b"\x01"), F.substring("h", 22, 512))
+    forged = F.concat(F.substring("h", 1, 19), F.lit(b"\x01"), F.substring("h", 21, 512))
     seen = headers.peek(F.col("h"))
-    return rows.select("path", headers.is_archive(F.col("h")).alias("is_archive"), headers.is_authentic(F.col("h"), KEY).alias("authentic"), (headers.is_authentic(forged, KEY) & (forged != F.col("h"))).alias("forged"), seen["version"].alias("version"), seen["data_len"].cast("bigint").alias("data_len"))
+    return rows.select("path", headers.is_archive(F.col("h")).alias("is_archive"), headers.is_authentic(F.col("h"), KEY).alias("authentic"), F.when(forged != F.col("h"), headers.is_authentic(forged, KEY)).alias("forged"), seen["version"].alias("version"), seen["data_len"].cast("bigint").alias("data_len"))
 
 
 @query()
@@ -465,26 +501,3 @@ def scan_directory(spark, sf):
     return directory_files(spark, sf, content=False).select("path", "size")
 
 
-@query(f"WITH {CHUNKS} SELECT path, pos, start, len, chunk_id FROM ec")
-def stream_ingest(spark, sf):
-    """Documents through a stream into a snapshot store, and its chunks read back."""
-    import tempfile
-    import uuid
-
-    from cairn.sources.store import Store
-    from cairn.streaming.ingest import ingest_stream, stream_files
-
-    base = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cairn-stream-")).rstrip("/")
-    root = f"{base}/stream-{uuid.uuid4().hex}"
-    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
-    path = F.expr("concat('docs/', lang, '/', source, '/', doc_id, '.txt')")
-    source = f"{sf}/documents.parquet" if _is_folder(spark, f"{sf}/documents.parquet") else f"{sf}/documents*.parquet"
-    files = stream_files(spark, source, schema, path, F.col("text"))
-    store = Store(spark, f"{root}/store")
-    ingest_stream(files, store, CHUNK, f"{root}/checkpoint").awaitTermination()
-    return store.table("entry_chunks").select("path", "pos", "start", "len", "chunk_id")
-
-
-def _is_folder(spark, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()

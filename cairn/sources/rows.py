@@ -42,6 +42,31 @@ def directory_files(spark: SparkSession, root: str, prefix: str = "", content: b
     return rows
 
 
+def directory_tree(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
+    """(path): all directories under a directory, empty ones too, relative to it; parents before children.
+
+    Listed on the driver level by level, by names alone; links are not followed.  More than MAX_ENTRIES, or a depth beyond MAX_DEPTH, is an error."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    head = prefix.strip("/")
+    found, level = [], [(top, head)]
+    for depth in range(MAX_DEPTH + 1):
+        below = []
+        for folder, name in level:
+            for status in fs.listStatus(folder):
+                if status.isDirectory() and not status.isSymlink():
+                    child = status.getPath().getName()
+                    below.append((status.getPath(), f"{name}/{child}" if name else child))
+        found += [name for _, name in below]
+        if len(found) > MAX_ENTRIES or below and depth == MAX_DEPTH:
+            raise ArchiveError(f"{len(found)} directories of depth {depth + 1} are too many")
+        level = below
+        if not level:
+            break
+    return spark.createDataFrame([(f,) for f in ([head] if head else []) + found], "path string")
+
+
 def _pattern(found: DataFrame, root: str) -> str:
     """The root as the reader spells it."""
     import re

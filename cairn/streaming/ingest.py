@@ -1,10 +1,12 @@
 """Ingest as a stream: rows become files, chunks and blocks as they arrive.
 
 There is no event time: a file is a row, and its chunks follow from it alone, so cutting is
-stateless.  Files that come in pieces are cut by a chunker whose state is the open chunk."""
+stateless.  Files that come in pieces are cut by a chunker whose state is the open chunk and the pieces
+that came too early."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cairn.model import Bounds
-from cairn.operators import catalog, chunking
+from cairn.operators import chunking
+from cairn.operators.archive import Archive
 from cairn.sources.rows import files_of_rows
 from cairn.sources.store import Store
 
@@ -28,46 +31,59 @@ def stream_chunks(files: DataFrame, size: int) -> DataFrame:
     return chunking.entry_chunks(files, size)
 
 
-def ingest_batch(store: Store, files: DataFrame, size: int) -> str:
-    """Add files (path, content, size) to the current snapshot: entries replaced by path, chunks by id once."""
-    base = store.current()
-    new_chunks = chunking.entry_chunks(files, size)
-    entries = files.selectExpr("path", "size", "false AS is_dir").dropDuplicates(["path"])
-    if base is not None:
-        old = store.table("entries", base)
-        kept = store.table("entry_chunks", base).join(entries.select("path"), "path", "left_anti")
-        new_chunks = kept.unionByName(new_chunks)
-        entries = catalog.upsert(old, entries)
-    return store.commit({"entries": entries, "entry_chunks": new_chunks}, base)
+def opened(store: Store, size: int, key: bytes | None = None) -> Archive:
+    """The archive in a store, made if there is none."""
+    return Archive(store, size, key=key) if store.current() is not None else Archive.create(store, size, key=key)
 
 
-def ingest_stream(files: DataFrame, store: Store, size: int, checkpoint: str):
+def ingest_batch(store: Store, files: DataFrame, size: int, key: bytes | None = None) -> int:
+    """Add files (path, content) to the archive as one commit: see :meth:`Archive.add`.
+
+    A batch that comes again after a failure finds its files there and replaces them by equal ones; their chunks are there
+    already and are not stored again."""
+    return opened(store, size, key).add(files)
+
+
+def ingest_stream(files: DataFrame, store: Store, size: int, checkpoint: str, key: bytes | None = None):
     """Start a query that ingests every micro-batch as one commit."""
 
     def each(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
-            ingest_batch(store, batch, size)
+            ingest_batch(store, batch, size, key)
 
     return files.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_gear_chunks(pieces: DataFrame, bounds: Bounds) -> DataFrame:
-    """(path, pos, len, chunk_id) of files that arrive as (path, seq, data, last), whatever the pieces.
+    """(path, pos, start, len, chunk_id) of files that arrive as (path, seq, data, last), seq from 0, whatever the pieces.
 
-    Pieces of a file are fed in order of seq within a micro-batch; the state kept is the open chunk."""
-    import hashlib
+    Pieces are fed in order of seq, also over micro-batches: one that comes before its turn is kept in the state until those
+    before it are there, and one that comes again is ignored.  The state is the open chunk, at most the largest size, and what waits.
+    A file ends, and its state goes, when all up to its last piece have been fed."""
+    bounds.checked()
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pos, held = state.get if state.exists else (0, b"")
-        rows = pd.concat(list(frames)).sort_values("seq")
+        pos, start, due, held, end, seqs, waiting = state.get if state.exists else (0, 0, 0, b"", -1, [], [])
+        early = dict(zip(seqs, waiting))
+        for f in frames:
+            for seq, data, last in zip(f["seq"], f["data"], f["last"]):
+                if seq >= due:
+                    early.setdefault(int(seq), bytes(data))
+                if last:
+                    end = int(seq)
         chunker = chunking.Chunker(bounds)
-        # The open chunk is read anew: it is at most the largest size.
-        out = list(chunker.feed(bytes(held) + b"".join(rows["data"])))
-        if rows["last"].any():
-            out += list(chunker.finish())
+        out = list(chunker.feed(bytes(held)))  # the open chunk has no cut in it: its state is made anew
+        while due in early:
+            out += chunker.feed(early.pop(due))
+            due += 1
+        done = 0 <= end < due
+        if done:
+            out += chunker.finish()
             state.remove()
-        else:
-            state.update((pos + len(out), bytes(chunker.open)))
-        yield pd.DataFrame({"path": [key[0]] * len(out), "pos": range(pos, pos + len(out)), "len": [len(c) for c in out], "chunk_id": [hashlib.sha256(c).hexdigest()[:32] for c in out]})
+        starts = [start + sum(map(len, out[:i])) for i in range(len(out))]
+        if not done:
+            state.update((pos + len(out), start + sum(map(len, out)), due, bytes(chunker.open), end, list(early), list(early.values())))
+        yield pd.DataFrame({"path": [key[0]] * len(out), "pos": range(pos, pos + len(out)), "start": starts, "len": [len(c) for c in out], "chunk_id": [hashlib.sha256(c).hexdigest()[:32] for c in out]})
 
-    return pieces.groupBy("path").applyInPandasWithState(step, "path string, pos bigint, len bigint, chunk_id string", "pos bigint, held binary", "append", GroupStateTimeout.NoTimeout)
+    kept = "pos bigint, start bigint, due bigint, held binary, last bigint, seqs array<bigint>, waiting array<binary>"
+    return pieces.groupBy("path").applyInPandasWithState(step, "path string, pos bigint, start bigint, len bigint, chunk_id string", kept, "append", GroupStateTimeout.NoTimeout)

@@ -1,6 +1,6 @@
 import pytest
 
-from cairn.plans import catalogue
+from cairn.plans import archives, catalogue  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.SQL))

@@ -8,7 +8,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from cairn.model import ArchiveError, Bounds, Conflict, Damaged, InvalidPath, NotFound, Options
-from cairn.operators import catalog, chunking, codec, packing, parity, restore
+from cairn.operators import catalog, chunking, codec, packing, parity, restore, validate
+from cairn.operators.archive import Archive
+from cairn.sources import sidecar
 from cairn.sources.store import Store
 
 SMALL = Bounds(4096, 8192, 65_536)
@@ -189,16 +191,160 @@ def test_store_refuses_a_stale_commit(spark, tmp_path):
     assert s.current() == second and s.table("entries").count() == 4 and s.table("entries", first).count() == 5
     with pytest.raises(Conflict):
         s.commit({"entries": e}, first)
+    with pytest.raises(Conflict):
+        s.commit({"entries": e}, None)
     assert s.current() == second
 
 
+def test_of_two_writers_one_commits(spark, tmp_path):
+    """Both have read the same snapshot and written their tables; whoever publishes second is refused."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = str(tmp_path / "store")
+    base = Store(spark, root).commit({"entries": entries_of(spark, TREE)}, None)
+
+    def write(n):
+        try:
+            return Store(spark, root).commit({}, base, {"entries": entries_of(spark, [(f"new{n}", 1, False)])})
+        except Conflict:
+            return None
+
+    with ThreadPoolExecutor(4) as pool:
+        got = list(pool.map(write, range(4)))
+    assert sorted(got, key=str) == [base + 1, None, None, None]
+    assert Store(spark, root).table("entries").count() == len(TREE) + 1
+
+
+def test_a_writer_that_dies_leaves_no_trace(spark, tmp_path, monkeypatch):
+    s = Store(spark, str(tmp_path / "store"))
+    base = s.commit({"entries": entries_of(spark, TREE)}, None)
+
+    def dies(*_):
+        raise RuntimeError("gone")
+
+    with monkeypatch.context() as m:
+        m.setattr(Store, "_publish", dies)
+        with pytest.raises(RuntimeError):
+            s.commit({"entries": entries_of(spark, TREE[:1])}, base)
+    assert s.current() == base and s.table("entries").count() == len(TREE)
+    assert s.commit({}, base, {"entries": entries_of(spark, [("z", 1, False)])}) == base + 1
+    assert len(s.vacuum(keep=1)) == 1 and s.table("entries").count() == len(TREE) + 1
+    s.merge("entries")
+    assert len(s.folders()["entries"]) == 1 and s.table("entries").count() == len(TREE) + 1
+
+
+def content_of(archive):
+    return {r["path"]: bytes(r["content"]) for r in archive.files().collect()}
+
+
 def test_ingest_replaces_files(spark, tmp_path):
     from cairn.streaming.ingest import ingest_batch
 
     s = Store(spark, str(tmp_path / "store"))
-    ingest_batch(s, files_of(spark, [("a", noise(9000)), ("b", b"1")]), 4096)
-    ingest_batch(s, files_of(spark, [("a", b"2"), ("c", b"3")]), 4096)
-    assert names(s.table("entries")) == ["a", "b", "c"] and s.table("entry_chunks").count() == 3
+    one, two = noise(9000), noise(9000)[::-1]
+    ingest_batch(s, files_of(spark, [("a", one), ("b", b"1"), ("e", b"")]), 4096)
+    before = s.table("blocks").count()
+    ingest_batch(s, files_of(spark, [("a", b"2"), ("c", one)]), 4096)
+    assert content_of(Archive(s)) == {"a": b"2", "b": b"1", "c": one, "e": b""}
+    assert s.table("blocks").count() == before + 1, "the chunks of c are there already"
+    ingest_batch(s, files_of(spark, [("d", one), ("d", two)]), 4096)
+    got = content_of(Archive(s))
+    assert got["d"] in (one, two) and s.table("entry_chunks").where("path = 'd'").count() == 3
+    assert validate.bad_chunks(s.table("chunks")).isEmpty()
+
+
+def test_archive_commands(spark, tmp_path):
+    a = Archive.create(Store(spark, str(tmp_path / "store")))
+    with pytest.raises(Conflict):
+        Archive.create(a.store)
+    assert a.list().count() == 0 and a.settings()["chunk_size"] == "4096"
+    (tmp_path / "in/x/empty").mkdir(parents=True)
+    (tmp_path / "in/x/f.txt").write_bytes(noise(5000))
+    (tmp_path / "in/g.txt").write_bytes(b"g")
+    assert a.add_directory(str(tmp_path / "in"), "top") == (2, 3)
+    assert names(a.entries()) == ["top", "top/g.txt", "top/x", "top/x/empty", "top/x/f.txt"]
+    a.move("top/x", "far/y")
+    a.copy("far", "copy")
+    a.make_directory("new/dir")
+    a.delete(["top/g.txt"])
+    assert content_of(a) == {"far/y/f.txt": noise(5000), "copy/y/f.txt": noise(5000)}
+    assert a.extract(str(tmp_path / "out"), ["copy"]) == 1
+    assert (tmp_path / "out/copy/y/f.txt").read_bytes() == noise(5000) and (tmp_path / "out/copy/y/empty").is_dir()
+    with pytest.raises(NotFound):
+        a.extract(str(tmp_path / "out2"), ["nothing"])
+    done = a.compact()
+    assert (done.chunks_before, done.chunks_after) == (3, 2) and done.saved > 0 and content_of(a)["far/y/f.txt"] == noise(5000)
+    a.add(files_of(spark, [("far/y/f.txt", b"kept out")]), replace=False)
+    assert content_of(a)["far/y/f.txt"] == noise(5000)
+    for bad in ("../x", "a//b", "/x"):
+        with pytest.raises(ArchiveError):
+            a.add(files_of(spark, [(bad, b"1")]))
+
+
+def test_archive_finds_and_repairs_damage(spark, tmp_path):
+    a = Archive.create(Store(spark, str(tmp_path / "store")), key=b"0123456789abcdef")
+    a.add(files_of(spark, [("a", noise(20_000)), ("b", b"abc " * 3000)]))
+    a.protect(15, 16_384)
+    assert a.has_parity() and a.scrub().isEmpty()
+    base = a.store.current()
+    blocks = a.store.table("blocks")
+    hit = blocks.orderBy("id").first()["id"]
+    a.store.commit({"blocks": blocks.where(blocks.id != hit)}, base)
+    assert a.damaged_entries().count() >= 1 and a.files().where("missing > 0").count() == 1
+    with pytest.raises(Damaged):
+        a.extract(str(tmp_path / "out"))
+    assert not (tmp_path / "out").exists()
+    assert [r["status"] for r in a.repair(dry_run=True).collect()] == ["repaired"] and not a.scrub().isEmpty()
+    a.repair()
+    assert a.scrub().isEmpty() and content_of(a) == {"a": noise(20_000), "b": b"abc " * 3000}
+    with pytest.raises(Conflict):
+        a.strip_parity()
+    a.strip_parity(force=True)
+    assert not a.has_parity()
+
+
+def test_pieces_that_come_late_are_cut_in_their_place(spark, tmp_path):
+    """Content-defined chunks of a stream of pieces, out of order over micro-batches and one of them twice, are those of the whole."""
+    from cairn.streaming.ingest import stream_gear_chunks
+
+    bounds, data = Bounds(4096, 8192, 65_536), noise(120_000)
+    pieces = [("f", i, data[at : at + 10_000], at == 110_000) for i, at in enumerate(range(0, 120_000, 10_000))]
+    schema = "path string, seq bigint, data binary, last boolean"
+    folder = tmp_path / "pieces"
+    for n, part in enumerate(([3, 0, 11], [1, 5, 0], [2, 4, 7, 6], [10, 9, 8])):
+        spark.createDataFrame([pieces[i] for i in part], schema).coalesce(1).write.parquet(str(folder / f"p{n}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder / "*"))
+    q = stream_gear_chunks(stream, bounds).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = [(r.pos, r.start, r.len) for r in spark.read.parquet(str(tmp_path / "out")).orderBy("pos").collect()]
+    assert got == [(i, s, e - s) for i, (s, e) in enumerate(chunking.cuts(data, bounds))]
+
+
+@pytest.mark.parametrize("version", [1, 2])
+def test_sidecar_codec(spark, version):
+    data = noise(40_000)
+    car = bytes(sidecar.build(files_of(spark, [("f", data)]), 15, 16_384, version).first()["sidecar"])
+    rows, healed = sidecar.locate(car)
+    assert len(rows) == 3 and not healed and rows[-1][3] + rows[-1][4] == len(car) - (32 if version == 1 else 0)
+    got = sidecar.decode_payload(car[rows[1][3] : rows[1][3] + rows[1][4]], rows[1][2])
+    k, p = parity.grid_of(15)
+    again = sidecar.encode_payload(data[16_384:32_768], k, p)
+    assert again == car[rows[1][3] : rows[1][3] + rows[1][4]] and got == sidecar.decode_payload(again, 16_384)
+    for wrong in (again[:-1], again[:40], b"\xff" * len(again)):
+        with pytest.raises(Damaged):
+            sidecar.decode_payload(wrong, 16_384)
+    for cut in (b"", car[:8], car[:60], b"x" + car[1:], car[:-1], car + b"x"):
+        with pytest.raises(Damaged):
+            sidecar.locate(cut)
+    rng = random.Random(1)
+    for _ in range(200):  # one wrong byte anywhere ahead of the payloads heals, or (version 1) is refused; none goes unseen
+        at = rng.randrange(9, rows[0][3])
+        bad = car[:at] + bytes([car[at] ^ 1 + rng.randrange(255)]) + car[at + 1 :]
+        if version == 1:
+            with pytest.raises(Damaged):
+                sidecar.locate(bad)
+        else:
+            assert sidecar.locate(bad) == (rows, True)
 
 
 def test_library_does_not_need_the_llm_package():
