@@ -476,16 +476,30 @@ def seen_contexts(docs: DataFrame, shards: int, hot: Hot, buckets: int) -> DataF
     Rows of bucket -1 hold pairs of frequent words with their counts in the texts to learn from."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(0, dtype=np.uint64)
-        pairs, times = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        held: list[np.ndarray] = []
+        pairs: list[tuple[np.ndarray, np.ndarray]] = []
         names = [x.split()[0] for x in PAIRS.split(", ")]
         frequent = np.sort(np.r_[hot.word, START])
 
-        def out() -> pa.RecordBatch:
-            return _by_bucket((held >> np.uint64(32)).astype("<u4"), (held & np.uint64(0xFFFFFFFF)).astype("<u4"), buckets, False)
+        def out(all_of: np.ndarray) -> pa.RecordBatch:
+            return _by_bucket((all_of >> np.uint64(32)).astype("<u4"), (all_of & np.uint64(0xFFFFFFFF)).astype("<u4"), buckets, False)
+
+        def often(pair: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([pair.tobytes()], pa.binary()), pa.array([times.tobytes()], pa.binary()), pa.array([True])], names)
 
-        def often() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([pairs.tobytes()], pa.binary()), pa.array([times.tobytes()], pa.binary()), pa.array([True])], names)
+        def merged(last: bool) -> Iterator[pa.RecordBatch]:
+            """Bring together what has been gathered; send it if it is much, or all there is."""
+            nonlocal held, pairs
+            if held and (last or sum(map(len, held)) > 2 * HELD_PAIRS):
+                held = [np.unique(np.concatenate(held))]
+                if last or len(held[0]) > HELD_PAIRS:
+                    yield out(held[0])
+                    held = []
+            if pairs and (last or sum(len(p) for p, _ in pairs) > 2 * HELD_PAIRS):
+                pairs = [_sums(*(np.concatenate(x) for x in zip(*pairs)))]
+                if last or len(pairs[0][0]) > HELD_PAIRS:
+                    yield often(*pairs[0])
+                    pairs = []
 
         for b in batches:
             learn, at = b.column(0).to_numpy(zero_copy_only=False), 0
@@ -494,23 +508,14 @@ def seen_contexts(docs: DataFrame, shards: int, hot: Hot, buckets: int) -> DataF
                 before = np.r_[START, word[:-1]]
                 before[np.cumsum(size) - size] = START
                 context = _context(before)
-                new = (context.astype(np.uint64) << np.uint64(32)) | _shards(word, context, shards, hot).astype(np.uint64)
-                held = np.unique(np.concatenate([held, np.unique(new)]))
+                held.append(np.unique((context.astype(np.uint64) << np.uint64(32)) | _shards(word, context, shards, hot).astype(np.uint64)))
                 teaches = np.repeat(learn[at : at + len(some)], size)
-                both = np.flatnonzero(_found(hot.word, word)[1] & teaches) if len(hot.word) else np.zeros(0, np.int64)
+                both = np.flatnonzero(_found(hot.word, word)[1] & teaches)
                 both = both[_found(frequent, before[both])[1]]
-                pairs, times = _sums(np.r_[pairs, _pair(word[both], context[both])], np.r_[times, np.ones(len(both), np.int64)])
+                pairs.append(_sums(_pair(word[both], context[both]), np.ones(len(both), np.int64)))
                 at += len(some)
-                if len(held) > HELD_PAIRS:
-                    yield out()
-                    held = held[:0]
-                if len(pairs) > HELD_PAIRS:
-                    yield often()
-                    pairs, times = pairs[:0], times[:0]
-        if len(held):
-            yield out()
-        if len(pairs):
-            yield often()
+                yield from merged(False)
+        yield from merged(True)
 
     return docs.mapInArrow(run, PAIRS)
 
