@@ -3,9 +3,9 @@
 A list holds canonical entries (host, path prefix, verdict).  An entry fits its host and every
 subdomain of it when the URL's path starts with the entry's path; the longest entry wins.
 
-Every URL is turned into the few canonical strings under which an entry could list it: its last
+Every URL is turned into the canonical strings under which an entry could list it: its last
 ``n`` host labels followed by the first ``m`` characters of its path, for each *shape* (n, m)
-that occurs in the list.  The number of shapes is a property of the list, not of the URLs.  Each
+that occurs in the list and is not longer than the URL.  Each
 string is looked up in a blocked Bloom filter: one 64-bit word per block, ``BITS_SET`` bits of
 that word per key, so one probe touches one word.  Only strings that may be listed go on to the
 hash join on the string itself, which removes the false positives.
@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import table, written
+
 BITS_SET = 4
 BITS_PER_KEY = 16
 MAX_LITERAL_WORDS = 1 << 16
@@ -85,53 +87,57 @@ def canonical_list(entries: DataFrame) -> DataFrame:
     )
 
 
+def _candidates(shapes: dict[int, list[int]]) -> Column:
+    """The strings under which a list of these shapes (path lengths by number of labels) could hold a (host, path).
+
+    One expression over a map, however many shapes there are; a URL has at most labels times path length of them."""
+    host, path = F.col("host"), F.col("path")
+    lengths = F.create_map(*[x for n, ms in shapes.items() for x in (F.lit(n), F.lit(sorted(ms)))])
+    counts = F.filter(F.lit(sorted(shapes)), lambda n: (n <= _labels(host)) & (host != ""))
+
+    def of_count(n: Column) -> Column:
+        tail = F.call_function("substring_index", host, F.lit("."), -n)
+        fitting = F.filter(F.element_at(lengths, n), lambda m: m <= F.length(path))
+        return F.transform(fitting, lambda m: F.concat(tail, F.lit("\n"), F.substring(path, F.lit(1), m)))
+
+    return F.flatten(F.transform(counts, of_count))
+
+
 def judge_urls(pages: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
-    """(id, host, path, rule, verdict) for each row of ``pages``; see the module's text."""
-    listed = canonical_list(entries)
-    shapes = [(r["labels"], r["path_len"]) for r in listed.groupBy("labels", "path_len").agg(F.count(F.lit(1)).alias("n")).collect()]
+    """(id, host, path, rule, verdict) for each row of ``pages``; see the module's text.
+
+    Verdicts depend on host and path alone.  Pairs of these that pass the filter are looked up once each; rows that
+    do not pass are judged where they are and shuffle nowhere."""
+    listed = written(canonical_list(entries), "listed")
+    shapes: dict[int, list[int]] = {}
+    for r in listed.select("labels", "path_len").distinct().collect():  # of the list: as many as its numbers of labels times its path lengths at most
+        shapes.setdefault(r["labels"], []).append(r["path_len"])
     count = listed.count()
     blocks = max(64, count * BITS_PER_KEY // 64)
 
     host, path = host_and_path(F.col(url_col))
-    rows = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
-    # Verdicts depend on host and path alone, so equal rows are counted, judged once and given back.
-    rows = rows.groupBy("id", "host", "path").agg(F.count(F.lit(1)).alias("copies"))
+    rows = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
+    none = lambda df: df.select(id_col, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     if not shapes:
-        rows = rows.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default))
-        return _with_copies(rows, id_col)
-
-    labels = _labels(F.col("host"))
-    keys = [
-        F.when(
-            (labels >= n) & (F.length("path") >= m) & (F.col("host") != ""),
-            F.concat(F.substring_index("host", ".", -n), F.lit("\n"), F.substring(F.col("path"), F.lit(1), F.lit(m))),
-        )
-        for n, m in shapes
-    ]
-    keyed = F.array_compact(F.array(*keys))
+        return none(rows)
+    keyed = _candidates(shapes)
     if blocks <= MAX_LITERAL_WORDS:
         words = [0] * blocks
         for r in filter_words(listed, blocks).collect():  # at most `blocks` rows
             words[r["block"]] = r["word"]
         bits = F.lit(words).cast("array<bigint>")
-        hits = F.filter(keyed, lambda k: F.get(bits, _block(k, blocks).cast("int")).bitwiseAND(_mask(k)) == _mask(k))
-        possible = rows.withColumn("key", F.explode_outer(hits))
+        hits = lambda: F.filter(keyed, lambda k: F.get(bits, _block(k, blocks).cast("int")).bitwiseAND(_mask(k)) == _mask(k))
+        some = F.size(hits()) > 0
+        possible = rows.where(some).select("host", "path", F.explode(hits()).alias("key")).distinct()
     else:
-        probes = rows.withColumn("key", F.explode_outer(keyed)).withColumn("block", _block(F.col("key"), blocks))
-        passed = probes.join(filter_words(listed, blocks), "block", "left")
-        possible = passed.withColumn("key", F.when(F.col("word").bitwiseAND(_mask(F.col("key"))) == _mask(F.col("key")), F.col("key"))).drop("block", "word")
-    exact = possible.join(listed.select("key", "rule", "rule_verdict", "host_len"), "key", "left")
-    best = exact.groupBy("id", "host", "path").agg(
-        F.first("copies").alias("copies"),
-        F.max(F.when(F.col("rule").isNotNull(), F.struct(F.length("rule").alias("n"), "host_len", "rule", "rule_verdict"))).alias("best"),
-    )
-    judged = best.select("id", "host", "path", "copies", F.col("best.rule").alias("rule"), F.coalesce(F.col("best.rule_verdict"), F.lit(default)).alias("verdict"))
-    return _with_copies(judged, id_col)
-
-
-def _with_copies(rows: DataFrame, id_col: str) -> DataFrame:
-    again = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))
-    return rows.withColumn("_copy", again).select(F.col("id").alias(id_col), "host", "path", "rule", "verdict")
+        some = F.size(keyed) > 0
+        probes = rows.where(some).select("host", "path").distinct().select("host", "path", F.explode(keyed).alias("key")).withColumn("block", _block(F.col("key"), blocks))
+        possible = probes.join(filter_words(listed, blocks), "block").where(F.col("word").bitwiseAND(_mask(F.col("key"))) == _mask(F.col("key"))).select("host", "path", "key")
+    exact = possible.join(listed.select("key", "rule", "rule_verdict", "host_len"), "key")
+    best = exact.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), "host_len", "rule", "rule_verdict")).alias("best"))
+    judged = written(best.select("host", "path", "best.rule", F.col("best.rule_verdict").alias("verdict")), "judged")
+    met = rows.where(some).join(judged, ["host", "path"], "left").select(id_col, "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    return none(rows.where(~some)).unionByName(met)
 
 
 #: The rules that the query op5_url_filter judges by, in the contract's order.
@@ -139,8 +145,6 @@ RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    from ._shared import table
-
     rows = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
     entries = spark.sql(f"SELECT * FROM VALUES {rows} AS t(host, path, verdict)")
     return judge_urls(table(spark, sf_dir, "pages"), entries)

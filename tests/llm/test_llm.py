@@ -297,6 +297,22 @@ def test_urls_that_are_odd(spark):
     assert url_filter.judge_urls(pages.where("false"), entries).count() == 0
 
 
+def test_lists_of_many_shapes(spark):
+    """Full URLs of all lengths as entries, against brute force."""
+    rng = random.Random(3)
+    name = lambda n: "".join(rng.choice("ab") for _ in range(n))
+    entries = list({(f"{name(2)}.{name(1)}" if i % 3 else name(1), "/" + name(rng.randrange(60)), rng.choice(["block", "allow"])) for i in range(900)})
+    entries = list({(h, p): (h, p, v) for h, p, v in entries}.values())
+    urls = [f"x://{rng.choice(['', 'q.'])}{name(2)}.{name(1)}/{name(rng.randrange(80))}?{name(3)}" for _ in range(600)] + [f"x://s.{h}{p}z" for h, p, _ in entries[:200]]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge_urls(pages, spark.createDataFrame(entries, "host string, path string, verdict string")).collect()}
+    for i, u in enumerate(urls):
+        host, _, path = u.removeprefix("x://").partition("/")
+        path = ("/" + path).partition("?")[0]
+        fits = [(len(h + p), len(h), h + p, v) for h, p, v in entries if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        assert got[i] == (max(fits)[2:] if fits else (None, "allow")), u
+
+
 def test_long_lists_go_through_a_table(spark, monkeypatch):
     entries = spark.createDataFrame([(f"h{i}.example", f"/p{i % 3}/", "block") for i in range(500)], "host string, path string, verdict string")
     pages = spark.createDataFrame([(i, f"http://www.h{i}.example/p{i % 3 if i % 2 else 9}/x") for i in range(800)], "page_id bigint, url string")
