@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 
 from ._shared import id_bucket, table
 
+#: Words whose features are looked up at a time.
+WORDS_AT_ONCE = 1 << 15
 BUCKETS = 1 << 15
 SMOOTHING, PENALTY = 0.5, 10.0
 #: A language uses a script if at least this share of its letters is in it.
@@ -197,13 +199,22 @@ def viterbi(score: np.ndarray, text: np.ndarray, penalty: float = PENALTY) -> np
     return label
 
 
+def word_scores(model: Model, w: Words) -> np.ndarray:
+    """[word, language]: sums over a word's features, languages that do not use its script barred; WORDS_AT_ONCE words at a time."""
+    out = np.empty((len(w.first), len(model.langs)), np.float32)
+    for a in range(0, len(out), WORDS_AT_ONCE):
+        own = w.first[a : a + WORDS_AT_ONCE]
+        end = w.first[a + WORDS_AT_ONCE] if a + WORDS_AT_ONCE < len(w.first) else len(w.bucket)
+        out[a : a + WORDS_AT_ONCE] = np.add.reduceat(model.logp[w.bucket[own[0] : end]], own - own[0], axis=0)
+    return out + model.barred[w.script]
+
+
 def identify(texts: list[str], model: Model) -> tuple[list[str], list[float], Words, np.ndarray]:
     """(language of each text, its share of the letters, words, label of each word)."""
     parts, scores, done = [], [], 0
     for some in _parts(texts, PART):
         w = words_of(some)
-        s = np.add.reduceat(model.logp[w.bucket], w.first, axis=0) if len(w.first) else np.zeros((0, len(model.langs)), np.float32)
-        scores.append(s + model.barred[w.script])
+        scores.append(word_scores(model, w))
         w.text = w.text + done
         w.bucket, w.first = w.bucket[:0], w.first[:0]
         parts.append(w)
@@ -258,4 +269,4 @@ def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, usable=id_bucket("doc_id", 4) != 2)
     out = predict(docs, model, spans=False)
-    return out.select("doc_id", (id_bucket("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", F.coalesce(id_bucket("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -500,6 +500,31 @@ def test_languages_held_out(spark, sf, documents):
     assert sum(r.lang_pred == lang[r.doc_id] for r in held) >= 0.97 * len(held)
 
 
+def test_word_scores_equal_brute_force(monkeypatch):
+    """Letters with their neighbours, one word at a time, and the script of the first letter by its range."""
+    import bisect
+
+    rng = np.random.default_rng(4)
+    texts = ["Der Fluß, naïve Ärzte", "", "12 ab3cd", "река и дом 漢字かな", "İstanbul e\u0301te", "x"]
+    model = langid.Model(["a", "b", "c"], rng.normal(size=(langid.BUCKETS, 3)).astype(np.float32), rng.choice([0, -1e4], (len(langid.SCRIPTS), 3)).astype(np.float32))
+    want = []
+    for n, t in enumerate(texts):
+        for m in re.finditer(r"[^\W\d_](?:[^\W\d_]|[\u0300-\u036f])*", t):
+            low = [ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in m[0]]
+            score = np.zeros(3)
+            for x, y, z in zip([0, *low[:-1]], low, [*low[1:], 0]):
+                h = ((x << 42) ^ (y << 21) ^ z) * 0x9E3779B97F4A7C15 % 2**64
+                score += model.logp[h >> 49]
+            script = langid.RANGES[bisect.bisect([r for r, _ in langid.RANGES], ord(m[0][0])) - 1][1]
+            want.append((n, m.start(), m.end(), score + model.barred[langid.SCRIPTS.index(script)]))
+    for at_once in (2, 1 << 15):
+        monkeypatch.setattr(langid, "WORDS_AT_ONCE", at_once)
+        w = langid.words_of(texts)
+        got = langid.word_scores(model, w)
+        assert [(int(a), int(b), int(c)) for a, b, c in zip(w.text, w.start, w.end)] == [x[:3] for x in want]
+        assert np.allclose(got, [x[3] for x in want], atol=1e-3)
+
+
 def test_viterbi_equals_brute_force():
     rng = np.random.default_rng(0)
     size = [5, 1, 3, 4]
