@@ -21,6 +21,8 @@ from cairn.functions.numbers import ceil_div, long
 from cairn.model import Bounds
 
 SEED = b"cairn-gear-v1"
+#: Bytes (padded) of the contents that are cut together, and the fewest contents for which that pays.
+TOGETHER, FEW = 1 << 26, 16
 MASK = (1 << 64) - 1
 
 
@@ -105,15 +107,54 @@ def cuts(data: bytes, bounds: Bounds) -> list[tuple[int, int]]:
     return out
 
 
+def cuts_of_many(contents: list[bytes], bounds: Bounds) -> list[list[tuple[int, int]]]:
+    """The cuts of each content: as :func:`cuts`, but contents of like length take their steps together, as numpy rows."""
+    out: list[list[tuple[int, int]]] = [[] for _ in contents]
+    order = sorted(range(len(contents)), key=lambda i: -len(contents[i]))
+    at = 0
+    while at < len(order):
+        n = max(1, min(len(order) - at, TOGETHER // max(1, len(contents[order[at]]))))
+        rows = order[at : at + n]
+        if n < FEW:
+            for i in rows:
+                out[i] = cuts(contents[i], bounds)
+        else:
+            for i, ends in zip(rows, _steps([contents[i] for i in rows], bounds.checked())):
+                out[i] = list(zip([0, *ends[:-1]], ends))
+        at += n
+    return out
+
+
+def _steps(rows: list[bytes], bounds: Bounds) -> list[list[int]]:
+    """Where the chunks of each row end; rows are sorted by length, the longest first."""
+    size = np.array([len(r) for r in rows])
+    longest = int(size[0])
+    cells = np.ascontiguousarray(np.frombuffer(b"".join(r.ljust(longest, b"\0") for r in rows), np.uint8).reshape(len(rows), longest).T)
+    active = np.searchsorted(-size, -np.arange(longest), side="left")  # rows longer than t
+    table, mask, one, top = gear_table(), np.uint64(bounds.average - 1), np.uint64(1), np.uint64(63)
+    state, held = np.zeros(len(rows), np.uint64), np.zeros(len(rows), np.int64)
+    ends: list[list[int]] = [[] for _ in rows]
+    for t in range(longest):
+        m = int(active[t])
+        s = ((state[:m] << one) | (state[:m] >> top)) + table[cells[t, :m]]
+        state[:m] = s
+        held[:m] += 1
+        for i in np.flatnonzero(((s & mask) == 0) & (held[:m] >= bounds.smallest) | (held[:m] == bounds.largest)).tolist():
+            ends[i].append(t + 1)
+            state[i], held[i] = 0, 0
+    for i in np.flatnonzero(held).tolist():
+        ends[i].append(int(size[i]))
+    return ends
+
+
 def gear_chunks(files: DataFrame, bounds: Bounds, data: bool = False) -> DataFrame:
     """(path, pos, start, len, chunk_id), and data if asked for, by content; a file is cut in one task, files in parallel."""
     bounds.checked()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path, cell in zip(b.column(0).to_pylist(), b.column(1)):
-                raw = cell.as_buffer().to_pybytes() if cell.is_valid else b""
-                at = cuts(raw, bounds)
+            contents = [cell.as_buffer().to_pybytes() if cell.is_valid else b"" for cell in b.column(1)]
+            for path, raw, at in zip(b.column(0).to_pylist(), contents, cuts_of_many(contents, bounds)):
                 ids = [hashlib.sha256(raw[s:e]).hexdigest()[:32] for s, e in at]
                 cols = [pa.array([path] * len(at), pa.string()), pa.array(range(len(at)), pa.int32()), pa.array([s for s, _ in at], pa.int64()), pa.array([e - s for s, e in at], pa.int64()), pa.array(ids, pa.string())]
                 own = [pa.array([raw[s:e] for s, e in at], pa.binary())] if data else []

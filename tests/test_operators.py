@@ -39,6 +39,11 @@ def test_cuts_cover_the_input(size, kind):
     assert all(b - a <= SMALL.largest for a, b in found[-1:])
 
 
+def test_contents_cut_together_are_cut_alike():
+    data = [noise(n, n) for n in (0, 1, 4095, 4096, 4097, 9000, 30_000, 65_536, 65_537, 120_000)] + [noise(20_000 + 7 * i, i) for i in range(30)] + [b"", bytes(150_000)]
+    assert chunking.cuts_of_many(data, SMALL) == [chunking.cuts(d, SMALL) for d in data]
+
+
 @settings(max_examples=20, deadline=None)
 @given(st.lists(st.integers(1, 9000), min_size=1, max_size=30))
 def test_stream_cuts_like_the_whole(sizes):
