@@ -13,10 +13,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.functions import paths
+from cairn.functions import keys, names, paths
 from cairn.functions.bytes import block_hash, chunk_aad, chunk_id
 from cairn.functions.numbers import long
-from cairn.model import MAX_BLOCK, PREFIX, WINDOW, ArchiveError, Conflict, NotFound, Options
+from cairn.model import MAX_BLOCK, PREFIX, WINDOW, ArchiveError, Conflict, Damaged, NotFound, Options
 from cairn.operators import catalog, chunking, codec, packing, parity, restore, validate, verify
 from cairn.scratch import written
 from cairn.sources.store import Store
@@ -42,10 +42,12 @@ class Compacted:
 
 
 class Archive:
-    """size: bytes of fixed chunks; None cuts by content, by the options' bounds.  key: 16, 24 or 32 bytes, or none."""
+    """size: bytes of fixed chunks; None cuts by content, by the options' bounds.  key: 16, 24 or 32 bytes, or none.
 
-    def __init__(self, store: Store, size: int | None = 4096, options: Options | None = None, key: bytes | None = None):
-        self.store, self.size, self.options, self.key = store, size, options or Options(), key
+    cascade: blocks are encrypted twice, under two keys made from the key."""
+
+    def __init__(self, store: Store, size: int | None = 4096, options: Options | None = None, key: bytes | None = None, cascade: bool = False):
+        self.store, self.size, self.options, self.key, self.cascade = store, size, options or Options(), key, cascade
         self.spark: SparkSession = store.spark
         if size is not None and not 0 < size <= MAX_BLOCK:
             raise ArchiveError(f"chunks of {size} bytes are not allowed")
@@ -53,18 +55,55 @@ class Archive:
     # Making and reading it
 
     @classmethod
-    def create(cls, store: Store, size: int | None = 4096, options: Options | None = None, key: bytes | None = None) -> Archive:
-        """An empty archive; an error if there is one."""
-        own = cls(store, size, options, key)
+    def create(cls, store: Store, size: int | None = 4096, options: Options | None = None, key: bytes | None = None, password: str | None = None, cascade: bool = False) -> Archive:
+        """An empty archive; an error if there is one.  With a password, its key is a new one, kept wrapped."""
         if store.current() is not None:
             raise Conflict(f"{store.root} is an archive already")
+        if password is not None:
+            key = keys.new_key()
+        own = cls(store, size, options, key, cascade)
         o = own.options
-        settings = [("chunk_size", str(size)), ("level", str(o.level)), ("bounds", str(o.cdc())), ("encrypted", str(key is not None)), ("placement", o.placement), ("parity_pct", str(o.parity_pct))]
+        fields = {"chunk_size": str(size), "level": str(o.level), "bounds": str(o.cdc()), "encrypted": str(key is not None), "cascade": str(cascade), "placement": o.placement, "parity_pct": str(o.parity_pct), "algorithms": " ".join(names.algorithm_chain())}
+        if password is not None:
+            fields |= own._wrapped(password)
         empty = lambda schema: store.spark.createDataFrame([], schema)
-        tables = {"entries": empty(ENTRY), "entry_chunks": empty(ENTRY_CHUNKS), "chunks": empty(CHUNKS), "blocks": empty(BLOCKS), "settings": store.spark.createDataFrame(settings, "name string, value string")}
-        store.commit(tables, None)
+        store.commit({"entries": empty(ENTRY), "entry_chunks": empty(ENTRY_CHUNKS), "chunks": empty(CHUNKS), "blocks": empty(BLOCKS), "settings": own._settings_table(fields)}, None)
         return own
 
+    @classmethod
+    def open(cls, store: Store, password: str | None = None, key: bytes | None = None) -> Archive:
+        """The archive as it was made; an error if the password is wrong, or the settings are not those that were sealed."""
+        fields = {r["name"]: r["value"] for r in store.table("settings").collect()}
+        if "wrapped_key" in fields:
+            if password is None:
+                raise ArchiveError("this archive needs a password")
+            key = keys.unwrap(store.spark, keys.from_password(password, bytes.fromhex(fields["salt"])), bytes.fromhex(fields["wrapped_key"]))
+        elif fields["encrypted"] == "True" and key is None:
+            raise ArchiveError("this archive needs a key")
+        if key is not None and keys.seal(key, {k: v for k, v in fields.items() if k != "seal"}) != fields["seal"]:
+            raise Damaged("the settings are not those of this key")
+        size = None if fields["chunk_size"] == "None" else int(fields["chunk_size"])
+        parity_pct = None if fields["parity_pct"] == "None" else int(fields["parity_pct"])
+        options = Options(level=int(fields["level"]), plaintext=key is None, parity_pct=parity_pct, placement=fields["placement"])
+        return cls(store, size, options, key, fields["cascade"] == "True")
+
+    def _wrapped(self, password: str) -> dict[str, str]:
+        salt = keys.new_salt()
+        return {"salt": salt.hex(), "wrapped_key": keys.wrap(self.spark, keys.from_password(password, salt), self.key).hex()}
+
+    def _settings_table(self, fields: dict[str, str]) -> DataFrame:
+        fields = {k: v for k, v in fields.items() if k != "seal"}
+        if self.key is not None:
+            fields["seal"] = keys.seal(self.key, fields)
+        return self.spark.createDataFrame(list(fields.items()), "name string, value string")
+
+    def change_password(self, new: str) -> int:
+        """Wrap the archive's key by another password: one small table changes, no block does."""
+        fields = self.settings()
+        if "wrapped_key" not in fields:
+            raise ArchiveError("this archive has no password")
+        return self.store.commit({"settings": self._settings_table(fields | self._wrapped(new))}, self.store.current())
+
     def entries(self) -> DataFrame:
         return self.store.table("entries")
 
@@ -87,6 +126,9 @@ class Archive:
         stored = self.chunks().agg(F.coalesce(F.sum("block_len"), long(0)).alias("stored_bytes"))
         return catalog.summary(self.entries(), self.entry_chunks()).join(stored, F.lit(True))
 
+    def _two_keys(self):
+        return F.lit(keys.expand(self.key, "block")), F.lit(keys.expand(self.key, "outer"))
+
     # Adding
 
     def _cut(self, files: DataFrame) -> DataFrame:
@@ -102,7 +144,8 @@ class Archive:
         once = fresh.groupBy("id").agg(F.first("data").alias("data"))
         rows = codec.compressed(once, self.options.level)
         if self.key is not None:
-            rows = rows.withColumn("block", F.aes_encrypt("block", F.lit(self.key), F.lit("GCM"), F.lit("DEFAULT"), F.lit(b""), chunk_aad(F.col("id"))))
+            aad, once = chunk_aad(F.col("id")), F.aes_encrypt("block", F.lit(self.key), F.lit("GCM"), F.lit("DEFAULT"), F.lit(b""), chunk_aad(F.col("id")))
+            rows = rows.withColumn("block", codec.cascaded(F.col("block"), *self._two_keys(), aad) if self.cascade else once)
         return rows.withColumn("block_len", F.octet_length("block").cast("bigint")).withColumn("cipher_hash", block_hash(F.col("block")))
 
     def add(self, files: DataFrame, replace: bool = True, prefix: str = "") -> int:
@@ -214,7 +257,8 @@ class Archive:
         whole = (F.octet_length("block") == F.col("block_len")) & (block_hash(F.col("block")) == F.col("cipher_hash")) & (F.col("block_len") <= MAX_BLOCK)
         block = F.when(whole, F.col("block"))
         if self.key is not None:
-            block = codec.decrypted(block, F.lit(self.key), chunk_aad(F.col("id")))
+            aad = chunk_aad(F.col("id"))
+            block = codec.uncascaded(block, *self._two_keys(), aad) if self.cascade else codec.decrypted(block, F.lit(self.key), aad)
         got = codec.decompressed(rows.withColumn("block", block))
         return got.select("id", F.when(chunk_id(F.col("data")) == F.col("id"), F.col("data")).alias("data"))
 

@@ -103,3 +103,28 @@ def name_token(key: bytes, name: Column) -> Column:
     from cairn.functions.bytes import hmac_sha512
 
     return F.substring(hmac_sha512(key, F.encode(name, "UTF-8")), 1, 64)
+
+
+def cascaded(block: Column, inner: Column, outer: Column, aad: Column) -> Column:
+    """Two layers of AES-GCM under independent keys, each with an iv of its own at random."""
+    return F.aes_encrypt(F.aes_encrypt(block, inner, F.lit("GCM"), F.lit("DEFAULT"), F.lit(b""), aad), outer, F.lit("GCM"), F.lit("DEFAULT"), F.lit(b""), aad)
+
+
+def uncascaded(block: Column, inner: Column, outer: Column, aad: Column) -> Column:
+    """Null if either layer fails."""
+    return decrypted(decrypted(block, outer, aad), inner, aad)
+
+
+def hidden_name(key: bytes, name: Column) -> Column:
+    """A name encrypted under an iv made from itself, as URL-safe text: equal names look equal, and can be read back."""
+    from cairn.functions.bytes import base64url, hmac_sha512
+
+    data = F.encode(name, "UTF-8")
+    iv = F.unhex(F.substring(hmac_sha512(b"name" + key, data), 1, 24))
+    return base64url(F.aes_encrypt(data, F.lit(key), F.lit("GCM"), F.lit("DEFAULT"), iv))
+
+
+def shown_name(key: bytes, token: Column) -> Column:
+    """The name; null if the token is not of this key, or was changed."""
+    raw = F.try_to_binary(F.translate(token, "-_", "+/"), F.lit("base64"))
+    return F.decode(F.try_aes_decrypt(raw, F.lit(key), F.lit("GCM")), "UTF-8")

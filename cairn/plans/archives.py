@@ -124,6 +124,26 @@ def archive_encrypted(spark, sf):
     return _digests(own.files()).join(other, "path")
 
 
+@query(f"WITH {FILES} SELECT path, sha256(content) AS sha256, 0::BIGINT AS missing FROM files")
+def archive_password(spark, sf):
+    """Two layers of encryption and a password, which is changed before the archive is opened and read."""
+    own = Archive.create(Store(spark, _root(spark, "archive")), CHUNK, password="first", cascade=True)
+    own.add(_files(spark, sf).select("path", "content"))
+    own.change_password("second")
+    return _digests(Archive.open(own.store, "second").files())
+
+
+@query("""SELECT doc_id, source || '/' || lang AS shown, true AS alike, true AS refused FROM documents""")
+def hidden_names(spark, sf):
+    """Names that are hidden and read back; a changed token and another key are refused."""
+    name = F.concat("source", F.lit("/"), "lang")
+    token = codec.hidden_name(KEY, name)
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", token.alias("token"), codec.hidden_name(KEY, name).alias("again"))
+    other = F.concat(F.when(F.substring("token", 1, 1) == "A", "B").otherwise("A"), F.substr("token", F.lit(2)))
+    refused = codec.shown_name(KEY, other).isNull() & codec.shown_name(KEY[::-1], F.col("token")).isNull()
+    return rows.select("doc_id", codec.shown_name(KEY, F.col("token")).alias("shown"), (F.col("token") == F.col("again")).alias("alike"), refused.alias("refused"))
+
+
 @query(f"WITH {FILES} SELECT path, sha256(array_slice(content, 5001, 8000)) AS sha256 FROM files WHERE size > 5000")
 def archive_slices(spark, sf):
     return _archive(spark, sf).slices(5000, 3000).select("path", F.sha2("content", 256).alias("sha256"))

@@ -7,6 +7,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
+from cairn.functions import keys
 from cairn.model import ArchiveError, Bounds, Conflict, Damaged, InvalidPath, NotFound, Options
 from cairn.operators import catalog, chunking, codec, packing, parity, restore, validate
 from cairn.operators.archive import Archive
@@ -308,6 +311,27 @@ def test_archive_finds_and_repairs_damage(spark, tmp_path):
     assert not a.has_parity()
 
 
+def test_passwords(spark, tmp_path):
+    a = Archive.create(Store(spark, str(tmp_path / "store")), 4096, Options(level=5, parity_pct=15), password="one")
+    a.add(files_of(spark, [("f", noise(9000))]))
+    again = Archive.open(a.store, "one")
+    assert again.key == a.key and again.options.level == 5 and again.options.parity_pct == 15 and content_of(again) == {"f": noise(9000)}
+    for wrong in ("two", "One", "one "):
+        with pytest.raises(Damaged):
+            Archive.open(a.store, wrong)
+    with pytest.raises(ArchiveError):
+        Archive.open(a.store)
+    a.change_password("two")
+    assert content_of(Archive.open(a.store, "two")) == {"f": noise(9000)}
+    with pytest.raises(Damaged):
+        Archive.open(a.store, "one")
+    forged = a.store.table("settings").withColumn("value", F.when(F.col("name") == "level", "9").otherwise(F.col("value")))
+    a.store.commit({"settings": forged}, a.store.current())
+    with pytest.raises(Damaged):
+        Archive.open(a.store, "two")
+    assert len({keys.expand(b"k" * 32, p) for p in keys.PURPOSES}) == len(keys.PURPOSES) and len(keys.expand(b"k", "mac", 64)) == 64
+
+
 def test_pieces_that_come_late_are_cut_in_their_place(spark, tmp_path):
     """Content-defined chunks of a stream of pieces, out of order over micro-batches and one of them twice, are those of the whole."""
     from cairn.streaming.ingest import stream_gear_chunks
