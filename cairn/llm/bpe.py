@@ -31,12 +31,18 @@ from ._shared import table
 CELLS, BATCH_CHARS, PIECES = 1 << 20, 1 << 21, 1 << 17
 #: Pieces of more bytes than this are rows of their own.
 LONG = 512
-#: Pieces remembered between batches.
-REMEMBERED = 1 << 18
+#: Pieces remembered between batches, and their characters.
+REMEMBERED, REMEMBERED_CHARS = 1 << 18, 1 << 25
+PUBLIC = "public:"
 NONE = np.int64(1 << 40)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
+    """Ranks by token, of a file, or (``public:`` and a name) of one that the tokenizers' package has on this machine."""
+    if path.startswith(PUBLIC):
+        import public_tokenizers
+
+        path = public_tokenizers.path(path.removeprefix(PUBLIC))
     with open(path, "rb") as lines:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
@@ -220,6 +226,7 @@ class Encoder:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.chars = 0
         self.start_of, self.size_of, self.flat = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint32)
 
     def encode_texts(self, texts: list[str]) -> list[np.ndarray]:
@@ -227,9 +234,10 @@ class Encoder:
         cut = [self.pattern.findall(t) for t in texts]
         wanted = set().union(*cut)
         new = wanted.difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
+        if len(self.known) + len(new) > REMEMBERED or self.chars + sum(map(len, new)) > REMEMBERED_CHARS:
             self._forget()
             new = wanted
+        self.chars += sum(map(len, new))
         self._learn(sorted(new))
         counts = np.array([len(c) for c in cut], dtype=np.int64)
         piece = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), dtype=np.int64, count=int(counts.sum()))
@@ -308,7 +316,7 @@ def digests(encoded: DataFrame, id_col: str = "doc_id", more: list[str] | None =
 def default_files() -> tuple[str, str]:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return PUBLIC + "byte_bpe_50k.tiktoken", public_tokenizers.PATTERN  # each worker finds the file where it is
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -196,6 +196,9 @@ def test_bpe_forgets_and_goes_on(encoder, tik, monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBERED", 5)
     for t in ("one two three four five six", "seven eight nine ten eleven", "one two"):
         assert encoder.encode_texts([t])[0].tolist() == tik.encode_ordinary(t)
+    monkeypatch.setattr(bpe, "REMEMBERED_CHARS", 40)
+    for t in ("a" * 100, "one two three", "b" * 30 + " seven", "one"):
+        assert encoder.encode_texts([t])[0].tolist() == tik.encode_ordinary(t)
 
 
 # 4
