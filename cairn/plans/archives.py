@@ -16,7 +16,7 @@ from cairn.operators import catalog, codec, parity, validate, verify
 from cairn.operators.archive import Archive
 from cairn.plans.catalogue import CHUNK, CHUNKS, FILES, INDEX, KEY, PACK, PCT, SHARDS, TILES, WINDOW, _entries, _files, query
 from cairn.scratch import shared_dir
-from cairn.sources import sidecar
+from cairn.sources import headers, manifest, sidecar
 from cairn.sources.rows import table_files
 from cairn.sources.store import Store
 
@@ -379,3 +379,28 @@ def packed_archive(spark, sf):
     own = _archive(spark, sf)
     lane = F.split_part(F.col("path"), F.lit("/"), F.lit(2))
     return archives.packed_files(own, _files(spark, sf), PACK, lane).select("lane", "path", "pos", "pack_offset")
+
+
+@query(f"""WITH {CHUNKS}, l AS (SELECT path, list(chunk_id ORDER BY pos) AS chunks FROM ec GROUP BY 1)
+SELECT path, size, false AS is_dir, array_to_string(coalesce(chunks, []), ',') AS chunks, true AS bound FROM files LEFT JOIN l USING (path)""")
+def manifest_round_trip(spark, sf):
+    """Entries as lines of text, encrypted under their paths, and read back; under another path they are not."""
+    lines = manifest.lines(_entries(_files(spark, sf)), _chunk_lists(spark, sf))
+    rows = lines.select("path", manifest.sealed(F.col("json"), KEY, F.col("path")).alias("data"))
+    bound = rows.select("path", manifest.opened(F.col("data"), KEY, F.lit("other")).isNull().alias("bound"))
+    back = manifest.parsed(rows.select(manifest.opened(F.col("data"), KEY, F.col("path")).alias("json")))
+    return back.join(bound, "path").select("path", "size", "is_dir", F.array_join("chunks", ",").alias("chunks"), "bound")
+
+
+@query(f"""WITH {FILES} SELECT path || '#header' AS path, 'repaired' AS status, 1::BIGINT AS rebuilt, true AS authentic FROM files UNION ALL SELECT path || '#manifest', 'repaired', 1, true FROM files""")
+def metadata_healing(spark, sf):
+    """Headers and manifests with a wrong byte, healed by parity of their own: a header is authentic again, a manifest reads as before."""
+    files = _files(spark, sf)
+    zero = long(0)
+    made = headers.header(KEY, F.lit(1), F.lit(1), data_offset=long(512), data_len=F.col("size"), manifest_offset=F.col("size") + 512, manifest_len=zero, extension_offset=zero, extension_len=zero)
+    texts = manifest.lines(_entries(files), _chunk_lists(spark, sf)).select("path", F.encode("json", "UTF-8").alias("content"))
+    regions = manifest.regions(files.select("path", made.alias("content")), texts)
+    healed = manifest.healed(verify.corrupted(regions, 30), manifest.protected(regions, 30, WINDOW), 30, WINDOW)
+    before = regions.select("path", F.sha2("content", 256).alias("before"))
+    fine = F.when(F.endswith("path", F.lit("#header")), headers.is_authentic(F.col("content"), KEY)).otherwise(F.sha2("content", 256) == F.col("before"))
+    return healed.join(before, "path").select("path", "status", "rebuilt", fine.alias("authentic"))
