@@ -301,6 +301,8 @@ def exact(queries: DataFrame, rows: DataFrame, top: int = TOP) -> DataFrame:
 def search(queries: DataFrame, vectors: DataFrame, top: int = TOP, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, id, score): the ``top`` nearest found of each query (id, vec), which may be
     rows of ``vectors``; nearest first, ties to the smaller id."""
+    if top >= BEAM:
+        raise ValueError(f"at most {BEAM - 1} neighbours can be asked for")
     rows = written(usable(vectors, id_col, vec_col), "vectors")
     classes = written(rows.groupBy("vec").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("members")), "classes")
     nodes = classes.select(F.col("node").alias("id"), "vec")
@@ -333,22 +335,28 @@ def search(queries: DataFrame, vectors: DataFrame, top: int = TOP, id_col: str =
     start = queries.select("id", "vec").mapInArrow(enter, "q bigint, node bigint").unionByName(own).distinct()
 
     def measured(pairs: DataFrame) -> DataFrame:
-        return distances(pairs.join(v, "node").join(q, "q")).withColumn("done", F.lit(False))
+        return written(distances(pairs.join(v, "node").join(q, "q")), "measured")
 
-    state = written(measured(start), "beam")
     by_d = Window.partitionBy("q").orderBy("d", "node")
-    while True:  # each round expands nodes that were not: it ends
-        beam = state.withColumn("_n", F.row_number().over(by_d)).where((F.col("_n") <= BEAM) & ~F.col("done"))
-        front = written(beam.withColumn("_k", F.row_number().over(by_d)).where(F.col("_k") <= EXPANDED).select("q", "node"), "front")
-        if front.isEmpty():
-            break
-        fresh = front.join(links, F.col("node") == F.col("a")).select("q", F.col("b").alias("node")).distinct().join(state.select("q", "node"), ["q", "node"], "left_anti")
-        marked = state.join(front.withColumn("_now", F.lit(True)), ["q", "node"], "left").select("q", "node", "d", (F.col("done") | F.coalesce("_now", F.lit(False))).alias("done"))
-        before, state = state, written(marked.unionByName(measured(fresh)), "beam")
+
+    def beamed(rows: DataFrame) -> DataFrame:
+        """The BEAM nearest of each query, and which of them are to be expanded now."""
+        kept = rows.withColumn("_n", F.row_number().over(by_d)).where(F.col("_n") <= BEAM).drop("_n")
+        due = F.sum((~F.col("done")).cast("int")).over(by_d.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        return written(kept.withColumn("now", ~F.col("done") & (due <= EXPANDED)), "beam")
+
+    found = measured(start)
+    seen, state = found.select("q", "node"), beamed(found.withColumn("done", F.lit(False)))
+    # Each round expands nodes that were not, and those that leave the beam never come back: it ends.
+    while not (front := state.where("now").select("q", "node")).isEmpty():
+        met = front.join(links, F.col("node") == F.col("a")).select("q", F.col("b").alias("node")).distinct()
+        found = measured(met.join(seen, ["q", "node"], "left_anti"))
+        seen = seen.unionByName(found.select("q", "node"))
+        expanded = state.select("q", "node", "d", (F.col("done") | F.col("now")).alias("done"))
+        before, state = state, beamed(expanded.unionByName(found.withColumn("done", F.lit(False))))
         forget(before)
-        forget(front)
 
-    near = state.withColumn("_n", F.row_number().over(by_d)).where(F.col("_n") <= top + 1).select("q", "node", "d")
+    near = state.withColumn("_n", F.row_number().over(by_d)).where(F.col("_n") <= top + 1).select("q", "node", "d")  # the beam is wider
     first = Window.partitionBy("node").orderBy("id")
     members = rows.join(classes.select("node", "vec"), "vec").select("node", "id").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= top + 1).select("node", "id")
     found = near.join(members, "node").where(F.col("id") != F.col("q")).select(F.col("q").alias("query_id"), "id", "d")
