@@ -188,3 +188,26 @@ def drop_recurring(
 def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.size(F.split("text", "\n", -1)).alias("n_lines"))
     return drop_recurring(docs).select("doc_id", "n_lines", "n_dropped", "text")
+
+
+#: Templates as text: fields and what is left open become marks that no token holds.
+SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
+l AS (SELECT rid, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM d WHERE text IS NOT NULL),
+t AS (SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS toks, length(trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13))) AS chars FROM l
+  WHERE octet_length(encode(line)) >= {SHORT_CHARS} AND regexp_matches(line, '[A-Za-z]|[^\x00-\x7F]')),
+k AS (SELECT *, len(toks)::BIGINT AS size, list_transform(toks, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN chr(1) || 'f' ELSE x END) AS masked FROM t WHERE len(toks) >= {MIN_TOKENS} OR chars >= {SHORT_CHARS}),
+f AS (SELECT *, len(list_filter(masked, lambda x: x = chr(1) || 'f'))::BIGINT AS fields, (size - {DEPTH}) // {QUARTER} AS width FROM k),
+b AS (SELECT *, unnest(range(0, CASE WHEN width > 0 AND size >= {MIN_TOKENS} THEN (size - {DEPTH} + width - 1) // width ELSE 0 END)) AS j FROM f),
+o AS (SELECT *, list_transform(masked, lambda x, i: CASE WHEN i > {DEPTH} + j * width AND i <= {DEPTH} + (j + 1) * width THEN chr(1) || 'o' ELSE x END) AS shown FROM b),
+keys AS (
+  SELECT rid, doc_id, n, CASE WHEN size >= {MIN_TOKENS} OR chars >= {LONG_CHARS} THEN 'L' ELSE 'S' END || array_to_string(toks, ' ') AS key,
+    CASE WHEN size >= {MIN_TOKENS} OR chars >= {LONG_CHARS} THEN {MIN_DOCS} ELSE {SHORT_DOCS} END AS need FROM f
+  UNION ALL SELECT rid, doc_id, n, 'M' || array_to_string(masked, ' '), {TEMPLATE_DOCS} FROM f WHERE fields > 0 AND size >= {MIN_TOKENS} AND size - fields >= {CONSTANTS} AND 2 * fields <= size
+  UNION ALL SELECT rid, doc_id, n, 'T' || j || ' ' || array_to_string(shown, ' '), {TEMPLATE_DOCS} FROM o
+    WHERE len(list_filter(shown, lambda x: x NOT IN (chr(1) || 'f', chr(1) || 'o'))) >= {CONSTANTS} AND 2 * len(list_filter(shown, lambda x: x NOT IN (chr(1) || 'f', chr(1) || 'o'))) >= size),
+again AS (SELECT key, min(doc_id) AS first FROM keys GROUP BY key HAVING count(DISTINCT rid) >= any_value(need)),
+lost AS (SELECT DISTINCT rid, n FROM keys JOIN again USING (key) WHERE doc_id IS DISTINCT FROM first),
+kept AS (SELECT l.rid, string_agg(line, chr(10) ORDER BY l.n) FILTER (WHERE lost.n IS NULL) AS text, count(lost.n)::INTEGER AS gone FROM l LEFT JOIN lost ON l.rid = lost.rid AND l.n = lost.n GROUP BY l.rid)
+SELECT doc_id, len(string_split(d.text, chr(10)))::INTEGER AS n_lines, coalesce(gone, 0)::INTEGER AS n_dropped, CASE WHEN d.text IS NOT NULL THEN coalesce(kept.text, '') END AS text FROM d LEFT JOIN kept USING (rid)
+"""

@@ -20,4 +20,5 @@ QUERIES = {
 SQL = {
     "op1_mixing": mixing.SQL,
     "op5_url_filter": url_filter.SQL,
+    "op6_linededup": linededup.SQL,
 }

@@ -387,6 +387,10 @@ def test_lines_equal_brute_force(spark, sf, documents):
     assert got[9012] == LINES[12] and got[9013] == "" and got[9014] == LINES[14] and got[9015] == "Yes"
 
 
+def test_lines_equal_sql(spark, sf, same_as_sql):
+    same_as_sql(linededup.query(spark, sf), linededup.SQL)
+
+
 def test_lines_of_odd_rows(spark, odd, none):
     rows = linededup.drop_recurring(odd).collect()
     assert len(rows) == len(ODD) + 3
