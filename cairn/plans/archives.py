@@ -14,7 +14,7 @@ from cairn.model import Options
 from cairn.operators import archive as archives
 from cairn.operators import catalog, codec, parity, validate, verify
 from cairn.operators.archive import Archive
-from cairn.plans.catalogue import CHUNK, CHUNKS, FILES, INDEX, KEY, PACK, PCT, SHARDS, TILES, WINDOW, _entries, _files, query
+from cairn.plans.catalogue import CHUNK, CHUNKS, FILES, INDEX, KEY, PACK, PACKS, PCT, SHARDS, TILES, WINDOW, _entries, _files, query
 from cairn.scratch import shared_dir
 from cairn.sources import headers, manifest, sidecar
 from cairn.sources.rows import table_files
@@ -373,9 +373,9 @@ def count_candidates(spark, sf):
     return spark.createDataFrame([(r[0], ",".join(map(str, sidecar.candidate_counts(counts[r[0] % 3])))) for r in rows], "n_nationkey bigint, tried string")
 
 
-@query()
+@query(f"""WITH {PACKS} SELECT lane, path, unnest(range(start // {CHUNK}, (start + size - 1) // {CHUNK} + 1))::INTEGER AS pos, (start % {CHUNK})::BIGINT AS pack_offset FROM packed WHERE size > 0""")
 def packed_archive(spark, sf):
-    """Small files put together and the chunks of their packs that hold them; pack_coverage holds the numbers against SQL."""
+    """Small files put together and the chunks of their packs that hold them."""
     own = _archive(spark, sf)
     lane = F.split_part(F.col("path"), F.lit("/"), F.lit(2))
     return archives.packed_files(own, _files(spark, sf), PACK, lane).select("lane", "path", "pos", "pack_offset")
