@@ -13,8 +13,8 @@ No key is ever held in one task.  In each round some nodes of each key, its lead
 all its others, by joins; links that hold merge nodes into components.  A leader that has met all
 leaves its key, and a key is closed once all left in it are of one component: no link in it can
 join anything more.  The first round has one leader a key, which settles groups of copies; later
-rounds take leaders outside a key's largest component, LEADERS of them, then four times as many
-in each round; a pair is compared in the first key that it shares, and not again.  So no link is lost among texts that share a key, nor are all pairs of a group listed.
+rounds first compare what is outside a key's largest component with PROBES nodes of it, and then take leaders from what still
+is outside, LEADERS of them, then four times as many in each round; a pair is compared in the first key that it shares, and not again.  So no link is lost among texts that share a key, nor are all pairs of a group listed.
 
 Defined results: null texts count as empty; texts without words form one group; repeated rows are
 kept; an empty table gives no rows; other columns are ignored.  Ids must be unique and not null
@@ -40,7 +40,7 @@ WORDS, LEAST = 5, 0.8
 #: 64-bit words of a fingerprint; two texts of similarity 0.8 differ in 39 of 256 bits on average (standard deviation 6).
 WIDE, RADIUS = 4, 60
 BANDS, ROWS = 16, 5
-LEADERS = 16
+LEADERS, PROBES = 16, 16
 HASH_ROWS = 2048
 _ODD = np.random.default_rng(11).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -152,6 +152,29 @@ def _open(rows: DataFrame) -> DataFrame:
     return rows.join(mixed, "key", "left_semi")
 
 
+def _settled(links: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(components (node, comp) of the links, the rows (key, node) with their comp, of keys that are still open)."""
+    comps = written(connected_components(links).select("node", F.col("component").alias("comp")), "near-components")
+    placed = rows.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+    return comps, written(_open(written(placed, "near-rest")), "near-open")
+
+
+def _heads(rows: DataFrame, keys: DataFrame, most: int) -> DataFrame:
+    """(key, head, head_comp, head_keys): at most so many of the rows of each key."""
+    w = Window.partitionBy("key").orderBy("node")
+    chosen = rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most)
+    return written(chosen.join(keys, "node").select("key", F.col("node").alias("head"), F.col("comp").alias("head_comp"), F.col("keys").alias("head_keys")), "near-heads")
+
+
+def _met(rows: DataFrame, heads: DataFrame, keys: DataFrame) -> DataFrame:
+    """(a, b): rows and the heads of their keys, if of different components.
+
+    A pair is met in the first of the keys that it shares: in the others it would be the same again."""
+    first = F.get("keys", F.array_position(F.zip_with("keys", "head_keys", lambda x, y: x == y), True) - 1)
+    met = rows.select("key", "node", "comp").join(keys, "node").join(heads, "key").where((F.col("comp") != F.col("head_comp")) & (first == F.col("key")))
+    return met.select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).distinct()
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: float = LEAST) -> DataFrame:
     """(id, component_id): component_id is the smallest id that links reach, itself included."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -164,23 +187,22 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rest = rows.where("node <> leader")
     links = _confirmed(rest.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), sets, least)
     leaders, keys = LEADERS, nodes.select("node", "keys")
-    while True:
-        comps = written(connected_components(links).select("node", F.col("component").alias("comp")), "near-components")
-        rest = rest.select("key", "node").join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-        rest = written(_open(written(rest, "near-rest")), "near-open")
+    comps, rest = _settled(links, rest.select("key", "node"))
+    while not rest.isEmpty():
+        largest = rest.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("base"))
+        based = written(rest.join(written(largest, "near-largest"), "key"), "near-based")
+        # Most of what is outside the largest component is joined to it by one of a few of its nodes.
+        probes = _heads(based.where("comp = base"), keys, PROBES)
+        links = links.unionByName(_confirmed(_met(based.where("comp <> base"), probes, keys), sets, least))
+        comps, rest = _settled(links, rest.select("key", "node"))
         if rest.isEmpty():
             break
-        largest = rest.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("base"))
-        w = Window.partitionBy("key").orderBy("node")
-        chosen = rest.join(written(largest, "near-largest"), "key").where("comp <> base").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= leaders)
-        chosen = chosen.join(keys, "node").select("key", F.col("node").alias("head"), F.col("comp").alias("head_comp"), F.col("keys").alias("head_keys"))
-        chosen = written(chosen, "near-leaders")
-        # A pair is met in the first of the keys that it shares: in the others it would be the same again.
-        first = F.get("keys", F.array_position(F.zip_with("keys", "head_keys", lambda x, y: x == y), True) - 1)
-        met = rest.join(keys, "node").join(chosen, "key").where((F.col("comp") != F.col("head_comp")) & (first == F.col("key")))
-        pairs = met.select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).distinct()
-        links = links.unionByName(_confirmed(pairs, sets, least))
-        rest = rest.join(chosen.select("key", F.col("head").alias("node")), ["key", "node"], "left_anti")
+        # What is still outside is compared with all: a leader that has met all leaves its key.
+        outside = rest.join(based.select("key", "base").distinct().join(comps.select(F.col("node").alias("base"), F.col("comp").alias("now")), "base", "left").select("key", F.coalesce("now", "base").alias("base")), "key").where("comp <> base")
+        chosen = _heads(outside, keys, leaders)
+        links = links.unionByName(_confirmed(_met(rest, chosen, keys), sets, least))
+        rest = rest.select("key", "node").join(chosen.select("key", F.col("head").alias("node")), ["key", "node"], "left_anti")
+        comps, rest = _settled(links, rest)
         leaders *= 4
     named = nodes.select("fp", "node").join(comps, "node", "left").select("fp", F.coalesce("comp", "node").alias("component_id"))
     return found.select("id", "fp").join(named, "fp").select(F.col("id").alias(id_col), "component_id")
