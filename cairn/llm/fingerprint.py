@@ -27,6 +27,8 @@ from ._shared import table, written
 
 #: Quantiles of the id that split it into ranges, and the most parts that each range is split into.
 RANGES, MOST_PARTS, ROWS_PER_PART = 255, 1024, 50_000
+#: Bits of the filter of repeated fingerprints for each of them, and at most (8 MB): a fuller one lets more texts pass.
+FILTER_SHARE, FILTER_BITS = 16, 1 << 26
 
 
 def _icu(cls: str, method: str, *args: Column) -> Column:
@@ -55,16 +57,29 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text", name: str = "finge
     return docs.withColumn(name, digest(canonical(F.col(text_col))))
 
 
+def may_be_in(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """The rows of ``df`` whose ``column`` is among ``keys``, and few others until the filter fills up.
+
+    The filter is one bit for each key, in bitmaps of 32,768 bits that are broadcast, so no row of ``df`` is shuffled."""
+    bits = min(FILTER_BITS, max(1 << 15, 1 << (FILTER_SHARE * keys.count()).bit_length()))
+    slot = F.xxhash64(column).bitwiseAND(F.lit(bits - 1).cast("bigint"))
+    maps = keys.select(F.shiftright(slot, 15).alias("_map"), slot.bitwiseAND(F.lit(32767).cast("bigint")).alias("_at")).repartition("_map").groupBy("_map").agg(F.bitmap_construct_agg("_at").alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(slot, 3).bitwiseAND(F.lit(4095).cast("bigint")).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.getbit(byte, slot.bitwiseAND(F.lit(7).cast("bigint")).cast("int")) == 1
+    return df.join(F.broadcast(maps), (F.shiftright(slot, 15) == F.col("_map")) & is_set, "left_semi")
+
+
 def with_groups(rows: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``rows`` (with id and fingerprint of each row of ``docs``) and group_id, the smallest id with an equal canonical text.
 
-    Fingerprints that occur once are their own group and move no text.  Texts of fingerprints that
+    Fingerprints that occur once are their own group and, but for the few that a filter of the others lets pass, move no text,
+    whatever the size of the tables.  Texts of fingerprints that
     occur more than once are grouped on (fingerprint, canonical text): that is the comparison of bytes.  Both
     groupings combine before they shuffle, so a text with a third of all rows costs one row a task, and what
     is joined afterwards has no text, unless unequal texts share a fingerprint.  A group without ids has none."""
     keyed = docs.select(F.col(id_col).alias("id"), canonical(F.col(text_col)).alias("canon")).withColumn("fingerprint", digest(F.col("canon")))
     repeated = written(rows.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fingerprint"), "repeated")
-    classes = written(keyed.join(repeated, "fingerprint", "left_semi").groupBy("fingerprint", "canon").agg(F.min("id").alias("group_id")), "classes")
+    classes = written(may_be_in(keyed, repeated, "fingerprint").groupBy("fingerprint", "canon").agg(F.min("id").alias("group_id")), "classes")
     one = written(classes.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("classes"), F.min("group_id").alias("group_id")), "groups")
     unequal = one.where("classes > 1").select("fingerprint")
     out = rows.join(one.where("classes = 1").select("fingerprint", F.col("group_id").alias("_group")), "fingerprint", "left")

@@ -459,6 +459,33 @@ def test_unequal_texts_of_one_fingerprint(spark, monkeypatch):
     assert [r.near_next for r in fingerprint.edit_and_compare(docs).orderBy("doc_id").collect()] == [0, 0, 0, 1, 0, 0, 0]
 
 
+def test_texts_that_occur_once_are_not_shuffled(spark):
+    """However many fingerprints recur, too many to broadcast or not."""
+    texts = [hashlib.shake_256(b"%d" % i).hexdigest(2000) for i in range(1500)]
+    docs = docs_of(spark, texts + texts[:60]).repartition(4).localCheckpoint()
+    sent = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    threshold, before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), sent()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r.doc_id: r.group_id for r in fingerprint.exact_groups(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert got == {i: i % 1500 for i in range(1560)}
+    assert sent() - before < 0.3 * sum(map(len, texts))
+
+
+def test_filter_of_fingerprints_loses_none(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    keys = spark.range(0, 90_000, 3).select(F.col("id").cast("string").alias("k"))
+    df = spark.range(100_000).select(F.col("id").cast("string").alias("k"))
+    for most, passing in ((fingerprint.FILTER_BITS, 0.1), (1 << 15, 0.7)):
+        monkeypatch.setattr(fingerprint, "FILTER_BITS", most)
+        got = {int(r.k) for r in fingerprint.may_be_in(df, keys, "k").collect()}
+        assert got >= set(range(0, 90_000, 3)) and len(got) < 30_000 + passing * 70_000
+    assert fingerprint.may_be_in(df, keys.limit(0), "k").count() == 0
+
+
 def test_neighbours_of_one_id_or_none(spark, monkeypatch):
     monkeypatch.setattr(fingerprint, "ROWS_PER_PART", 40)
     rows = [(None, f"n{i}") for i in range(500)] + [(77, f"s{i}") for i in range(900)] + [(i, f"t{i}") for i in range(300) if i != 77]
