@@ -249,15 +249,21 @@ class Trie:
         return (first << np.uint64(spread)) + ((context.astype(np.uint64) * size) >> np.uint64(32 - spread))
 
     def log10(self, word: np.ndarray, context: np.ndarray, own: np.ndarray, unknown: float) -> np.ndarray:
-        """log10 P(word | context) of each pair; own: the share of the predecessor's counts; ``unknown``: log10 P1 of a word that was not seen."""
-        at, known = self.level1.successor(word >> np.uint64(8))
-        out = unknown + np.log10(1 - own)
-        some = np.flatnonzero(known)
-        word = at[some]
-        out[some] = self.word_code[word] * self.w_step + self.w_lo + np.log10(1 - own[some])
-        first, end = self.pointers.get(word), self.pointers.get(word + 1)
-        has = end > first
-        some, first, size = some[has], first[has], (end - first)[has]
+        """log10 P(word | context) of each pair; own: the share of the predecessor's counts; ``unknown``: log10 P1 of a word that was not seen.
+
+        A run of pairs with one word finds the word once."""
+        new = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+        times = np.diff(np.r_[new, len(word)])
+        at, known = self.level1.successor(word[new] >> np.uint64(8))
+        at = at[known]
+        alone = np.full(len(new), unknown)
+        alone[known] = self.word_code[at] * self.w_step + self.w_lo
+        out = np.repeat(alone, times) + np.log10(1 - own)
+        first, size = np.zeros((2, len(new)), dtype=np.uint64)
+        first[known] = self.pointers.get(at)
+        size[known] = self.pointers.get(at + 1) - first[known]
+        some = np.flatnonzero(np.repeat(size > 0, times))
+        first, size = np.repeat(first, times)[some], np.repeat(size, times)[some]
         place, seen = self.level2.successor(self._relative(first, size, context[some], self.spread))
         out[some[seen]] = self.bigram_code[place[seen]] * self.b_step + self.b_lo
         return out
@@ -418,12 +424,20 @@ def score_shard(rows: list[dict], n: int, v: int, hot: Hot) -> tuple[np.ndarray,
     size = len(keys)
     counted, seen = np.bincount(owner, minlength=size), np.bincount(owner, known[which], size)
     base = np.bincount(owner, log_p[which], size)
-    score = np.zeros(size)
-    for a in range(0, len(which), 1 << 19):
+    pair = (which.astype(np.uint64) << np.uint64(32)) | context
+    order = np.argsort(pair)
+    owner, pair = owner[order], pair[order]
+    del order
+    first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]]) if len(pair) else np.zeros(0, dtype=np.int64)
+    together = np.diff(np.r_[first, len(pair)])
+    pair = pair[first]
+    got = np.empty(len(pair))
+    for a in range(0, len(pair), 1 << 19):  # a pair is looked up once, however often it occurs
         part = slice(a, a + (1 << 19))
-        own = share(_counts_at(before, times, context[part]))
-        got = trie.log10(words[which[part]], context[part], own, -log_total) if trie else np.log10(1 - own) - log_total
-        score += np.bincount(owner[part], got, size)
+        word, before_it = words[(pair[part] >> np.uint64(32)).astype(np.int64)], (pair[part] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        own = share(_counts_at(before, times, before_it))
+        got[part] = trie.log10(word, before_it, own, -log_total) if trie else np.log10(1 - own) - log_total
+    score = np.bincount(owner, np.repeat(got, together), size)
     some = counted > 0
     return tuple(x[some] for x in (keys, counted, seen.astype(np.int64), base, score))
 

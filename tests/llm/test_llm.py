@@ -758,6 +758,24 @@ def test_lm_frequent_pairs_are_spread_and_models_last(spark, monkeypatch):
         assert abs(r.score - one[i].score) < 0.02 * r.n_tokens and r.n_known == one[i].n_known and abs(r.base_score - one[i].base_score) < 0.01 * r.n_tokens
 
 
+def test_lm_looks_up_each_pair_once(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    texts = [f"the cat sat on mat {i % 7} and the cat slept" for i in range(700)] + ["", "unheard words"]
+    rows, ids = lm._keyed(docs_of(spark, texts), F.col("doc_id") < 500, "doc_id", "text")
+    plan, contexts = lm._plan(rows, ids)
+    dealt = [r.asDict() for r in lm.route(rows, plan.shards, plan.hot).unionByName(contexts).collect()]
+    sought, find = [], lm.EliasFano.successor
+    monkeypatch.setattr(lm.EliasFano, "successor", lambda self, value: sought.append(len(value)) or find(self, value))
+    sums = lm.score_shard(dealt, plan.n, plan.v, plan.hot)
+    words = [["", *t.split(), "end"] for t in texts]
+    pairs = {p for w in words for p in zip(w, w[1:])}
+    assert plan.shards == 1 and sum(sums[1]) == sum(len(w) - 1 for w in words)
+    assert 0 < sum(sought) <= len(pairs) + len({b for _, b in pairs})
+    wording = {r.key: r.text for r in rows.collect()}
+    assert len({(wording[k], round(x, 9)) for k, x in zip(sums[0].tolist(), sums[4].tolist())}) == 9  # texts of one wording score alike
+
+
 def test_trie_keeps_pairs_apart():
     """More pairs than 24 bits can tell apart: all 32 are kept."""
     words = np.array([1 << 60], dtype=np.uint64)
