@@ -11,8 +11,8 @@ shards suffice."""
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from functools import cache
+from collections.abc import Callable, Iterator, Sequence
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions import numbers
-from cairn.functions.bytes import joined
+from cairn.functions.batches import cells, handed
 from cairn.functions.numbers import ceil_div, long
 from cairn.model import WINDOW
 
@@ -59,30 +59,34 @@ def matrix(k: int, p: int) -> np.ndarray:
     return np.array([[inverse((k + i) ^ j) for j in range(k)] for i in range(p)], dtype=np.uint8)
 
 
-def _times(rows: np.ndarray, shards: np.ndarray) -> np.ndarray:
-    """Matrix times shards over the field; a table look-up a coefficient."""
-    table = _products()
-    out = np.zeros((len(rows), shards.shape[1]), dtype=np.uint8)
-    for i, row in enumerate(rows):
-        for c, shard in zip(row.tolist(), shards):
+@cache
+def _tables() -> list[bytes]:
+    """For each a, the products a * b as a table that bytes are translated by."""
+    return [row.tobytes() for row in _products()]
+
+
+def _times(rows: np.ndarray, shards: Sequence[np.ndarray]) -> np.ndarray:
+    """Matrix times shards over the field; a table look-up a coefficient, none for a shard of zeros."""
+    tables = _tables()
+    out = np.zeros((len(rows), len(shards[0])), dtype=np.uint8)
+    for column, shard in zip(rows.T.tolist(), shards):
+        if not shard.any():
+            continue
+        raw = shard.tobytes()
+        for i, c in enumerate(column):
             if c:
-                out[i] ^= table[c][shard]
+                out[i] ^= np.frombuffer(raw.translate(tables[c]), np.uint8)
     return out
 
 
-def encode_group(shards: np.ndarray, p: int) -> np.ndarray:
-    """The parity shards of [k, size] data shards."""
-    return _times(matrix(len(shards), p), shards)
+def encode_group(shards: np.ndarray, p: int, k: int | None = None) -> np.ndarray:
+    """The parity shards of [k, size] data shards, of which the last may be left out if they are zeros."""
+    return _times(matrix(k or len(shards), p)[:, : len(shards)], shards)
 
 
-def solve_group(shards: list[np.ndarray | None], k: int, p: int) -> list[np.ndarray] | None:
-    """The k data shards from k + p shards of which some are lost; None if more than p are."""
-    have = [i for i, s in enumerate(shards) if s is not None]
-    if len(have) < k:
-        return None
-    if all(s is not None for s in shards[:k]):
-        return list(shards[:k])
-    use = have[:k]
+@lru_cache(maxsize=4096)
+def _inverted(use: tuple[int, ...], k: int, p: int) -> np.ndarray:
+    """[k, k]: what the shards ``use`` are multiplied by to give the data shards."""
     rows = np.zeros((k, 2 * k), dtype=np.uint8)
     rows[:, k:] = np.eye(k, dtype=np.uint8)
     for r, i in enumerate(use):
@@ -95,8 +99,19 @@ def solve_group(shards: list[np.ndarray | None], k: int, p: int) -> list[np.ndar
         for r in range(k):
             if r != c and rows[r, c]:
                 rows[r] ^= table[rows[r, c]][rows[c]]
+    return rows[:, k:]
+
+
+def solve_group(shards: list[np.ndarray | None], k: int, p: int) -> list[np.ndarray] | None:
+    """The k data shards from k + p shards of which some are lost; None if more than p are."""
+    have = [i for i, s in enumerate(shards) if s is not None]
+    if len(have) < k:
+        return None
+    if all(s is not None for s in shards[:k]):
+        return list(shards[:k])
+    use = have[:k]
     lost = [i for i in range(k) if shards[i] is None]
-    found = _times(rows[lost][:, k:], np.stack([shards[i] for i in use]))
+    found = _times(_inverted(tuple(use), k, p)[lost], [shards[i] for i in use])
     out = list(shards[:k])
     for i, s in zip(lost, found):
         out[i] = s
@@ -140,13 +155,17 @@ def data_shards(files: DataFrame, pct: int, window: int = WINDOW) -> DataFrame:
     return files.select("path", F.explode(F.flatten(F.transform(full, shards_of))).alias("s")).select("path", "s.*")
 
 
-def cut_windows(files: DataFrame, window: int) -> DataFrame:
-    """(path, win, data): the windows of (path, content), cut before they are exploded."""
+def cut_windows(files: DataFrame, window: int, more: list[Column] | None = None) -> DataFrame:
+    """(path, win, data): the windows of (path, content), cut before they are exploded; a file's come one after the other.
+
+    ``more`` columns go between path and win."""
+    more = more or []
     parts = F.transform(
         numbers.windows(F.octet_length("content").cast("bigint"), window),
         lambda w: F.struct(w["idx"].alias("win"), F.substring(F.col("content"), (w["window_offset"] + 1).cast("int"), w["window_len"].cast("int")).alias("data")),
     )
-    return files.select("path", F.explode(parts).alias("w")).select("path", "w.win", "w.data")
+    rows = files.select("path", *more, F.explode(parts).alias("w"))
+    return rows.select(*rows.columns[:-1], "w.win", "w.data")
 
 
 def _window_shards(data: bytes, k: int) -> np.ndarray:
@@ -173,26 +192,18 @@ def protect(files: DataFrame, pct: int, window: int = WINDOW) -> DataFrame:
     k, p = grid_of(pct)
     parts = cut_windows(files, window)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for path, win, cell in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                data = cell.as_buffer().to_pybytes()
-                if not data:
-                    continue
-                shards = _window_shards(data, k)
-                real = -(-len(data) // shards.shape[1])
-                out = []
-                for g in range(len(shards) // k):
-                    group = shards[g * k : (g + 1) * k]
-                    out += [(g, s, False, checksum(x.tobytes()), None) for s, x in enumerate(group) if g * k + s < real]
-                    out += [(g, k + s, True, checksum(x.tobytes()), x.tobytes()) for s, x in enumerate(encode_group(group, p))]
-                grp, slot, par, ck, raw = zip(*out)
-                n = len(out)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([path] * n), pa.array([win] * n), pa.array(grp), pa.array(slot), pa.array(par), pa.array(ck), pa.array(raw, pa.binary())], [x.split()[0] for x in SHARDS.split(", ")]
-                )
-
-    return parts.mapInArrow(run, SHARDS)
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for path, win, data in (row for b in batches for row in cells(b)):
+            if not data:
+                continue
+            grid = _window_shards(data, k)
+            real = -(-len(data) // grid.shape[1])
+            for g in range(len(grid) // k):
+                group = grid[g * k : min((g + 1) * k, real)]
+                yield from ((path, win, g, s, False, checksum(x.tobytes()), None) for s, x in enumerate(group))
+                yield from ((path, win, g, k + s, True, checksum(x.tobytes()), x.tobytes()) for s, x in enumerate(encode_group(group, p, k)))
+
+    return parts.mapInArrow(lambda batches: handed(shards(batches), SHARDS), SHARDS)
 
 
 def health(files: DataFrame, shards: DataFrame, pct: int, window: int = WINDOW) -> DataFrame:
@@ -216,58 +227,87 @@ def health(files: DataFrame, shards: DataFrame, pct: int, window: int = WINDOW)
     )
 
 
+#: Of a window, (group, slot) -> (checksum, bytes of parity or None).
+Window = dict[tuple[int, int], tuple[str, bytes | None]]
+
+
+def _mended_window(data: bytes, own: Window, k: int, p: int) -> tuple[bytes, int]:
+    """A window's bytes with what its shards mend, and how many data shards were computed."""
+    grid = _window_shards(data, k)
+    size, real = grid.shape[1], -(-len(data) // grid.shape[1])
+    out, rebuilt = [], 0
+    for g in range(len(grid) // k):
+        group: list[np.ndarray | None] = []
+        for slot in range(k + p):
+            want = own.get((g, slot))
+            if slot < k:
+                raw = grid[g * k + slot]
+                fine = checksum(raw.tobytes()) == want[0] if want is not None else g * k + slot >= real or not raw.any()
+                group.append(raw if fine else None)
+            else:
+                fine = want is not None and want[1] is not None and len(want[1]) == size and checksum(want[1]) == want[0]
+                group.append(np.frombuffer(want[1], np.uint8) if fine else None)
+        solved = solve_group(group, k, p)
+        out += solved if solved is not None else list(grid[g * k : (g + 1) * k])  # beyond repair: as it was
+        rebuilt += sum(x is None for x in group[:k]) if solved is not None else 0
+    return b"".join(x.tobytes() for x in out)[: len(data)], rebuilt
+
+
+MENDED = "path string, content binary, status string, rebuilt bigint"
+
+
+def mended(rows: DataFrame, found: Callable[[str | None, object], tuple[str | None, Callable[[], dict[int, Window]]] | None], pct: int, window: int) -> DataFrame:
+    """(path, content, status, rebuilt) of (path, content, sha256, kept), all or nothing a file.
+
+    found(sha256, kept) is the hash that the file must have and how to get the shards of its windows, or None for a file to leave out.
+    A row is one file with all that is kept of it, so no bytes move between tasks for what its windows give."""
+    k, p = grid_of(pct)
+
+    def one(data: bytes | None, sha: str | None, windows: Callable[[], dict[int, Window]]) -> tuple[bytes | None, str, int]:
+        if data is None or sha is None:
+            return data, "unrecoverable", 0
+        if hashlib.sha256(data).hexdigest() == sha:
+            return data, "clean", 0
+        known, parts, rebuilt = windows(), [], 0
+        for w in range(max(1, -(-len(data) // window))):
+            part, own = data[w * window : (w + 1) * window], known.get(w)
+            if part and own:
+                part, n = _mended_window(part, own, k, p)
+                rebuilt += n
+            parts.append(part)
+        fixed = b"".join(parts)
+        good = hashlib.sha256(fixed).hexdigest() == sha
+        return fixed if good else data, "repaired" if good else "unrecoverable", rebuilt
+
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for b in batches:
+            for i, (path, data, sha) in enumerate(cells(b.select([0, 1, 2]))):
+                if (got := found(sha, b.column(3)[i])) is not None:
+                    yield (path, *one(data, *got))
+
+    return rows.select("path", "content", "sha256", "kept").mapInArrow(lambda batches: handed(files(batches), MENDED), MENDED)
+
+
 def repair(files: DataFrame, shards: DataFrame, expected: DataFrame, pct: int, window: int = WINDOW) -> DataFrame:
     """(path, content, status, rebuilt) of (path, content), all or nothing a file.
 
     expected: (path, sha256).  status: ``clean`` if the content has that hash already, ``repaired``
     if it has it after repair, else ``unrecoverable``, and then the content is what it was.  rebuilt: data shards that were
     computed from the others, in all windows."""
-    k, p = grid_of(pct)
-    known = files.join(expected, "path").withColumn("_ok", F.sha2("content", 256) == F.col("sha256"))
-    broken = known.where(~F.col("_ok"))
-    wins = cut_windows(broken, window)
-    have = shards.groupBy("path", "win").agg(F.collect_list(F.struct("grp", "slot", "is_parity", "cksum", "bytes")).alias("shards"))
+    have = shards.groupBy("path").agg(F.collect_list(F.struct("win", "grp", "slot", "cksum", "bytes")).alias("shards"))
+    rows = files.select("path", "content").join(expected.select("path", "sha256"), "path").join(have, "path", "left")
+    broken = F.sha2("content", 256) != F.col("sha256")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                data = row["data"]
-                if not data:
-                    yield pa.RecordBatch.from_arrays([pa.array([row["path"]]), pa.array([row["win"]]), pa.array([b""], pa.binary()), pa.array([0])], ["path", "win", "data", "rebuilt"])
-                    continue
-                cells = _window_shards(data, k)
-                groups: dict[int, list] = {}
-                sums = {}
-                for s in row["shards"]:
-                    sums[s["grp"], s["slot"]] = s
-                for g in range(len(cells) // k):
-                    groups[g] = []
-                    for slot in range(k + p):
-                        want = sums.get((g, slot))
-                        if slot < k:
-                            raw = cells[g * k + slot]
-                            fine = want is None and not raw.any() or want is not None and checksum(raw.tobytes()) == want["cksum"]
-                            groups[g].append(raw if fine else None)
-                        else:
-                            fine = want is not None and checksum(want["bytes"]) == want["cksum"] and len(want["bytes"]) == cells.shape[1]
-                            groups[g].append(np.frombuffer(want["bytes"], np.uint8) if fine else None)
-                out, rebuilt = [], 0
-                for g, own in groups.items():
-                    solved = solve_group(own, k, p)
-                    out += solved if solved is not None else list(cells[g * k : (g + 1) * k])  # beyond repair: as it was
-                    rebuilt += sum(x is None for x in own[:k]) if solved is not None else 0
-                fixed = b"".join(x.tobytes() for x in out)[: len(data)]
-                yield pa.RecordBatch.from_arrays([pa.array([row["path"]]), pa.array([row["win"]]), pa.array([fixed], pa.binary()), pa.array([rebuilt])], ["path", "win", "data", "rebuilt"])
-
-    fixed = wins.join(have, ["path", "win"]).mapInArrow(run, "path string, win bigint, data binary, rebuilt bigint")
-    whole = fixed.groupBy("path").agg(joined("data", "win").alias("_fixed"), F.sum("rebuilt").alias("_rebuilt"))
-    done = known.join(whole, "path", "left").withColumn("_good", F.coalesce(F.sha2("_fixed", 256) == F.col("sha256"), F.lit(False)))
-    return done.select(
-        "path",
-        F.when(F.col("_good") & ~F.col("_ok"), F.col("_fixed")).otherwise(F.col("content")).alias("content"),
-        F.when(F.col("_ok"), "clean").when(F.col("_good"), "repaired").otherwise("unrecoverable").alias("status"),
-        F.coalesce("_rebuilt", long(0)).alias("rebuilt"),
-    )
+    def found(sha: str | None, kept: pa.Scalar):
+        def windows() -> dict[int, Window]:
+            out: dict[int, Window] = {}
+            for s in kept.as_py() or []:
+                out.setdefault(s["win"], {})[s["grp"], s["slot"]] = s["cksum"], s["bytes"]
+            return out
+
+        return sha, windows
+
+    return mended(rows.select("path", "content", "sha256", F.when(broken, F.col("shards")).alias("kept")), found, pct, window)
 
 
 def worth_protecting(files: DataFrame, pct: int, most_overhead_pct: int, cap: int = 1 << 30, window: int = WINDOW) -> DataFrame:

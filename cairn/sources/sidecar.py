@@ -9,8 +9,8 @@ a SHA-256 of all before it at the end: nothing in it heals.
 A payload is a header (2 data shards a group, 2 parity shards a group, 4 shard size, 8 window length, 8 data shards,
 8 groups), 16 bytes of checksum for each data shard and then each parity shard, and the parity shards.
 
-Sidecars are built by expressions around the payloads of windows, which are made in parallel; reading one
-finds the directory alone, and a payload is cut out of the rest only when its window is wanted."""
+A sidecar is built where its file's windows are cut; reading one looks at its head alone, and a payload is cut out
+of the rest only when its file is to be mended."""
 
 from __future__ import annotations
 
@@ -24,7 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions import numbers
-from cairn.functions.bytes import binding_id, joined, write_le
+from cairn.functions.batches import cells, handed
+from cairn.functions.bytes import read_le
 from cairn.functions.numbers import long
 from cairn.model import WINDOW, Damaged
 from cairn.operators import parity
@@ -35,7 +36,7 @@ FIXED, LOCATOR, HASH, COPIES, MOST = 72, 56, 32, 3, 64 << 20
 #: A payload's header, and its bytes.
 GEOMETRY, GEOMETRY_LEN = "<HHIQQQ", 32
 SUFFIX = ".cairnside"
-PAYLOADS = "path string, idx bigint, payload binary"
+SIDECARS = "path string, sidecar binary"
 LOCATORS = "path string, idx bigint, window_offset bigint, window_len bigint, parity_offset bigint, payload_len bigint, geometry binary, segments bigint, total_len bigint, binding_id string, content_sha256 string, healed boolean, problem string"
 
 
@@ -67,13 +68,13 @@ def encode_payload(data: bytes, k: int, p: int) -> bytes:
     """The payload of a window; none for no bytes."""
     if not data:
         return b""
-    cells = parity._window_shards(data, k)
-    real, groups = -(-len(data) // cells.shape[1]), len(cells) // k
-    extra = [parity.encode_group(cells[g * k : (g + 1) * k], p) for g in range(groups)]
+    grid = parity._window_shards(data, k)
+    real, groups = -(-len(data) // grid.shape[1]), len(grid) // k
+    extra = [parity.encode_group(grid[g * k : min((g + 1) * k, real)], p, k) for g in range(groups)]
     made = np.concatenate(extra)
     digest = lambda x: hashlib.sha256(x.tobytes()).digest()[: numbers.CHECKSUM]
-    head = struct.pack(GEOMETRY, k, p, cells.shape[1], len(data), real, groups)
-    return b"".join([head, *(digest(x) for x in cells[:real]), *(digest(x) for x in made), made.tobytes()])
+    head = struct.pack(GEOMETRY, k, p, grid.shape[1], len(data), real, groups)
+    return b"".join([head, *(digest(x) for x in grid[:real]), *(digest(x) for x in made), made.tobytes()])
 
 
 def decode_payload(payload: bytes, window_len: int) -> list[tuple]:
@@ -93,40 +94,39 @@ def decode_payload(payload: bytes, window_len: int) -> list[tuple]:
     return out + [(j // p, k + j % p, True, digest(shards + j), body[j * shard : (j + 1) * shard]) for j in range(p * groups)]
 
 
-def payloads(files: DataFrame, pct: int, window: int = WINDOW) -> DataFrame:
-    """(path, idx, payload) of every window of (path, content); a window is a task's unit of work."""
-    k, p = parity.grid_of(pct)
+# Building
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = [encode_payload(cell.as_buffer().to_pybytes(), k, p) for cell in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.binary())], ["path", "idx", "payload"])
 
-    return parity.cut_windows(files, window).mapInArrow(run, PAYLOADS)
+def _assembled(total: int, sha: bytes, window: int, payloads: list[bytes], version: int) -> bytes:
+    """The sidecar of a file of ``total`` bytes from the payloads of its windows."""
+    rows = (struct.pack("<QQQ", i * window, min(window, total - i * window), len(x)) + x[:GEOMETRY_LEN].ljust(GEOMETRY_LEN, b"\0") for i, x in enumerate(payloads))
+    directory = b"".join([struct.pack("<Q", total), hashlib.sha256(b"cairn-sidecar-v1" + sha).digest(), sha, *rows])
+    head, number = MAGIC + bytes([version]), struct.pack("<I", len(payloads))
+    if version == OLD:
+        body = b"".join([head, number, directory, *payloads])
+        return body + hashlib.sha256(body).digest()
+    return b"".join([head, number * COPIES, (directory + hashlib.sha256(directory).digest()) * COPIES, *payloads])
 
 
-# Building
+def build(files: DataFrame, pct: int, window: int = WINDOW, version: int = VERSION) -> DataFrame:
+    """(path, sidecar) of (path, content).
 
+    A file's windows come to its task one after the other, and what they give stays there: nothing is shuffled."""
+    k, p = parity.grid_of(pct)
+    heads = [F.octet_length("content").cast("bigint").alias("total"), F.unhex(F.sha2("content", 256)).alias("sha")]
+    windows = parity.cut_windows(files.where("path IS NOT NULL"), window, heads)
 
-def build(files: DataFrame, pct: int, window: int = WINDOW, version: int = VERSION) -> DataFrame:
-    """(path, sidecar) of (path, content)."""
-    heads = files.select("path", F.octet_length("content").cast("bigint").alias("total"), F.sha2("content", 256).alias("sha"))
-    segments = payloads(files, pct, window).join(heads, "path")
-    offset = F.col("idx") * window
-    geometry = F.rpad(F.substring("payload", 1, GEOMETRY_LEN), GEOMETRY_LEN, F.lit(b"\0"))
-    locator = F.concat(write_le(offset), write_le(F.least(long(window), F.col("total") - offset)), write_le(F.octet_length("payload").cast("bigint")), geometry)
-    whole = segments.select("path", "idx", "total", "sha", locator.alias("locator"), "payload").groupBy("path").agg(
-        F.first("total").alias("total"), F.first("sha").alias("sha"), F.count(F.lit(1)).alias("n"), joined("locator", "idx").alias("locators"), joined("payload", "idx").alias("payloads")
-    )
-    directory = F.concat(write_le(F.col("total")), F.unhex(binding_id(F.col("sha"))), F.unhex("sha"), F.col("locators"))
-    number = write_le(F.col("n"), 4)
-    rows = whole.withColumn("directory", directory)
-    head = lambda v: F.lit(MAGIC + bytes([v]))
-    if version == OLD:
-        body = F.concat(head(OLD), number, F.col("directory"), F.col("payloads"))
-        return rows.select("path", F.concat(body, F.unhex(F.sha2(body, 256))).alias("sidecar"))
-    copy = F.concat(F.col("directory"), F.unhex(F.sha2("directory", 256)))
-    return rows.select("path", F.concat(head(VERSION), *[number] * COPIES, *[copy] * COPIES, F.col("payloads")).alias("sidecar"))
+    def sidecars(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        held: list[bytes] = []
+        for path, total, sha, win, data in (row for b in batches for row in cells(b)):
+            if win != len(held):
+                raise RuntimeError("windows of a file are out of order")
+            held.append(encode_payload(data, k, p))
+            if (win + 1) * window >= total:
+                yield path, _assembled(total, sha, window, held, version)
+                held = []
+
+    return windows.mapInArrow(lambda batches: handed(sidecars(batches), SIDECARS), SIDECARS)
 
 
 # Reading
@@ -137,6 +137,13 @@ def _voted(copies: list[bytes]) -> bytes:
     return np.where((a == b) | (a == c), a, np.where(b == c, b, a)).astype(np.uint8).tobytes()
 
 
+def _tries(parts: list[bytes], size: int) -> Iterator[tuple[bytes, bytes]]:
+    """Directories with hashes: the copies, then, if it comes to that, their vote with each hash and with the hashes' vote."""
+    yield from ((p[:size], p[size:]) for p in parts)
+    voted, sums = _voted([p[:size] for p in parts]), [p[size:] for p in parts]
+    yield from ((voted, s) for s in [*sums, _voted(sums)])
+
+
 def _parsed(directory: bytes, n: int, size: int, start: int) -> list[tuple]:
     """Rows of the directory; an error unless they bind, tile the content and fill what follows."""
     total = int.from_bytes(directory[:8], "little")
@@ -156,8 +163,11 @@ def _parsed(directory: bytes, n: int, size: int, start: int) -> list[tuple]:
     return rows
 
 
-def locate(data: bytes) -> tuple[list[tuple], bool]:
-    """(rows of the directory, whether anything had to be healed) of a sidecar; an error if no reading of it is consistent."""
+def locate(data: bytes, length: int | None = None) -> tuple[list[tuple], bool]:
+    """(rows of the directory, whether anything had to be healed) of a sidecar; an error if no reading of it is consistent.
+
+    ``data`` may be its head (see :func:`head`) if ``length`` says how many bytes it has."""
+    length = len(data) if length is None else length
     if data[: len(MAGIC)] != MAGIC or len(data) < len(MAGIC) + 1:
         raise Damaged("no sidecar")
     at = len(MAGIC) + 1
@@ -174,65 +184,59 @@ def locate(data: bytes) -> tuple[list[tuple], bool]:
     for n in candidate_counts(counts):
         size = FIXED + n * LOCATOR
         start = at + COPIES * (size + HASH)
-        if size > MOST or start > len(data):
+        if size > MOST or start > length:
             continue
         parts = [data[at + i * (size + HASH) : at + (i + 1) * (size + HASH)] for i in range(COPIES)]
-        sums = [p[size:] for p in parts]
-        tries = [(p[:size], p[size:]) for p in parts] + [(_voted([p[:size] for p in parts]), s) for s in [*sums, _voted(sums)]]
-        for directory, digest in tries:
+        for directory, digest in _tries(parts, size):
             if hashlib.sha256(directory).digest() == digest:
                 try:
-                    rows = _parsed(directory, n, len(data), start)
+                    rows = _parsed(directory, n, length, start)
                 except Damaged:
                     continue
                 return rows, len(set(counts)) > 1 or any(p != directory + digest for p in parts)
     raise Damaged("no copy of the directory holds")
 
 
-def read(sidecars: DataFrame) -> DataFrame:
-    """A row (see LOCATORS) for each segment of (path, sidecar); one with a problem for a sidecar that cannot be read."""
+def head(data: Column) -> Column:
+    """As much of a sidecar as :func:`locate` looks at: whole in version 1, else up to the end of the longest directory that its numbers allow."""
+    at, length = len(MAGIC) + 1, F.octet_length(data).cast("bigint")
+    starts = []
+    for i in range(COPIES):
+        size = read_le(data, at + 4 * i, 4).cast("bigint") * LOCATOR + FIXED
+        start = (size + HASH) * COPIES + at + 4 * COPIES
+        starts.append(F.when((size <= MOST) & (start <= length), start).otherwise(long(at + 4 * COPIES)))
+    return F.when(F.substring(data, at, 1) == F.lit(bytes([VERSION])), F.substr(data, F.lit(1), F.greatest(*starts).cast("int"))).otherwise(data)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for path, cell in zip(b.column(0).to_pylist(), b.column(1)):
-                try:
-                    found, healed = locate(cell.as_buffer().to_pybytes() if cell.is_valid else b"")
-                    rows += [(path, *r, healed, None) for r in found]
-                except Damaged as e:
-                    rows.append((path, *[None] * 11, str(e)))
-            yield pa.RecordBatch.from_pylist([dict(zip([c.split()[0] for c in LOCATORS.split(", ")], r)) for r in rows], SCHEMA)
-
-    return sidecars.select("path", "sidecar").mapInArrow(run, LOCATORS)
-
-
-_KINDS = {"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
-SCHEMA = pa.schema([(c.split()[0], _KINDS[c.split()[1]]) for c in LOCATORS.split(", ")])
-
-
-def shards(sidecars: DataFrame, located: DataFrame) -> DataFrame:
-    """Shards as :func:`cairn.operators.parity.repair` takes them, of located segments.
-
-    A payload whose header differs from the directory's copy is read with the copy; one that fits neither gives no shards."""
-    rows = located.where("problem IS NULL").join(sidecars.select("path", "sidecar"), "path")
-    cut = F.substring(F.col("sidecar"), (F.col("parity_offset") + 1).cast("int"), F.col("payload_len").cast("int"))
-    rows = rows.select("path", F.col("idx").alias("win"), "window_len", "geometry", cut.alias("payload"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in parity.SHARDS.split(", ")]
-        for b in batches:
-            for path, win, length, geometry, payload in zip(*(c.to_pylist() for c in b.columns)):
-                if payload[: GEOMETRY_LEN] != geometry and payload:
-                    payload = geometry + payload[GEOMETRY_LEN :]
-                try:
-                    got = decode_payload(payload, length)
-                except Damaged:
-                    continue
-                if got:
-                    grp, slot, par, ck, raw = zip(*got)
-                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(got)), pa.array([win] * len(got)), pa.array(grp), pa.array(slot), pa.array(par), pa.array(ck), pa.array(raw, pa.binary())], names)
+def read(sidecars: DataFrame) -> DataFrame:
+    """A row (see LOCATORS) for each segment of (path, sidecar); one with a problem for a sidecar that cannot be read."""
 
-    return rows.mapInArrow(run, parity.SHARDS)
+    def located(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for path, data, length in (row for b in batches for row in cells(b)):
+            try:
+                found, healed = locate(data or b"", length or 0)
+                yield from ((path, *r, healed, None) for r in found)
+            except Damaged as e:
+                yield (path, *[None] * 11, str(e))
+
+    rows = sidecars.select("path", head(F.col("sidecar")).alias("head"), F.octet_length("sidecar").cast("bigint").alias("length"))
+    return rows.mapInArrow(lambda batches: handed(located(batches), LOCATORS), LOCATORS)
+
+
+def _windows(data: bytes, rows: list[tuple]) -> dict[int, parity.Window]:
+    """Shards of located segments.  A payload whose header differs from the directory's copy is read with the copy; one that fits neither gives none."""
+    out: dict[int, parity.Window] = {}
+    for idx, _, length, offset, n, geometry, *_ in rows:
+        payload = data[offset : offset + n]
+        if payload and payload[:GEOMETRY_LEN] != geometry:
+            payload = geometry + payload[GEOMETRY_LEN:]
+        try:
+            got = decode_payload(payload, length)
+        except Damaged:
+            continue
+        if got:
+            out[idx] = {(grp, slot): (ck, raw) for grp, slot, _, ck, raw in got}
+    return out
 
 
 def flags(located: DataFrame) -> DataFrame:
@@ -246,6 +250,22 @@ def repair(files: DataFrame, sidecars: DataFrame, pct: int, window: int = WINDOW
 
     The hash that a repaired file must have is the sidecar's, or that of ``anchor`` (path, sha256) where trust comes from elsewhere:
     a sidecar of another content then repairs nothing."""
-    located = read(sidecars)
-    expected = anchor if anchor is not None else located.where("problem IS NULL").select("path", F.col("content_sha256").alias("sha256")).distinct()
-    return parity.repair(files, shards(sidecars, located), expected, pct, window)
+    rows = files.select("path", "content")
+    if anchor is not None:
+        rows = rows.join(anchor.select("path", "sha256"), "path").join(sidecars.select("path", F.col("sidecar").alias("kept")), "path", "left")
+    else:
+        rows = rows.join(sidecars.select("path", F.col("sidecar").alias("kept")), "path").withColumn("sha256", F.lit(None).cast("string"))
+
+    own_hash = anchor is None  # a frame may not go to the tasks
+
+    def found(sha: str | None, kept: pa.Scalar):
+        data = kept.as_buffer().to_pybytes() if kept.is_valid else b""
+        try:
+            segments = locate(data)[0]
+        except Damaged:
+            segments = []
+        if own_hash:
+            return (segments[0][9], lambda: _windows(data, segments)) if segments else None
+        return sha, lambda: _windows(data, segments)
+
+    return parity.mended(rows, found, pct, window)
