@@ -1,6 +1,7 @@
 """What keeps whole-archive queries from growing faster than their input: how often a plan works, and how much a task holds."""
 
 from cairn.functions import batches
+from cairn.operators import parity
 from cairn.sources import sidecar
 
 
@@ -28,3 +29,21 @@ def test_sidecars_are_built_in_one_pass_and_read_by_their_heads(spark):
     for car, head in rows.values():
         found = sidecar.locate(car)
         assert len(head) == found[0][0][3] and sidecar.locate(head, len(car)) == found
+
+
+def test_repair_evaluates_files_and_sidecars_once(spark):
+    files = files_of(spark, [("f", bytes(5000)), ("g", b"")])
+    plan = plan_of(sidecar.repair(files, sidecar.build(files, 15, 16_384), 15, 16_384))
+    assert plan.count("MapInArrow") == 2 and plan.count("Join ") == 1
+    sums = files.selectExpr("path", "sha2(content, 256) AS sha256")
+    plan = plan_of(parity.repair(files, parity.protect(files, 15, 16_384), sums, 15, 16_384))
+    assert plan.count("MapInArrow") == 2 and plan.count("Join ") == 2
+
+
+def test_repair_with_a_sidecar_that_cannot_be_read(spark):
+    files = files_of(spark, [("f", b"abc" * 2000), ("g", b"def")])
+    cars = files_of(spark, [("f", b"no sidecar"), ("g", b"no sidecar")]).withColumnRenamed("content", "sidecar")
+    sums = files.selectExpr("path", "CASE path WHEN 'g' THEN sha2(content, 256) ELSE sha2('other', 256) END AS sha256")
+    got = {r.path: (r.status, r.rebuilt) for r in sidecar.repair(files, cars, 15, 16_384, sums).collect()}
+    assert got == {"f": ("unrecoverable", 0), "g": ("clean", 0)}
+    assert sidecar.repair(files, cars, 15, 16_384).isEmpty()
