@@ -198,7 +198,7 @@ def sidecar_round_trip(spark, sf):
 def sidecar_healing(spark, sf):
     """One damaged copy, or damage in different places of all three copies, heals; damage in one place of all copies is refused."""
     files = _files(spark, sf)
-    cars = sidecar.build(files, PCT, WINDOW).join(files.select("path", (F.col("size") % 4).alias("kind")), "path")
+    cars = sidecar.build(files, PCT, WINDOW).withColumn("kind", _total(F.col("sidecar")) % 4)
     n = F.greatest(numbers.ceil_div(_total(F.col("sidecar")), WINDOW), long(1))
     size = (n * 56 + 72 + 32).cast("int")  # a copy with its hash
 
@@ -213,9 +213,8 @@ def sidecar_healing(spark, sf):
     apart = hit(s, [start + 5, start + size + 20, start + 2 * size + 45])
     same = hit(s, [start + 5, start + size + 5, start + 2 * size + 5])
     damaged = F.when(F.col("kind") == 1, one).when(F.col("kind") == 2, apart).when(F.col("kind") == 3, same).otherwise(s)
-    rows = cars.select("path", "kind", damaged.alias("sidecar"))
-    seen = sidecar.flags(sidecar.read(rows))
-    return seen.join(rows.select("path", "kind"), "path").select("path", "kind", "segments", "healed", F.col("problem").isNotNull().alias("rejected"))
+    seen = sidecar.flags(sidecar.read(cars.select("path", damaged.alias("sidecar"))))
+    return seen.join(files.select("path", (F.col("size") % 4).alias("kind")), "path").select("path", "kind", "segments", "healed", F.col("problem").isNotNull().alias("rejected"))
 
 
 def _total(data):

@@ -1,5 +1,7 @@
 """What keeps whole-archive queries from growing faster than their input: how often a plan works, and how much a task holds."""
 
+import pytest
+
 from cairn.functions import batches
 from cairn.operators import parity
 from cairn.sources import sidecar
@@ -47,3 +49,11 @@ def test_repair_with_a_sidecar_that_cannot_be_read(spark):
     got = {r.path: (r.status, r.rebuilt) for r in sidecar.repair(files, cars, 15, 16_384, sums).collect()}
     assert got == {"f": ("unrecoverable", 0), "g": ("clean", 0)}
     assert sidecar.repair(files, cars, 15, 16_384).isEmpty()
+
+
+@pytest.mark.parametrize("query", ["sidecar_healing"])
+def test_healing_builds_its_sidecars_once(spark, sf, query):
+    import __spark_entry__
+
+    plan = plan_of(__spark_entry__.queries()[query](spark, sf))
+    assert plan.count("MapInArrow") == 2
