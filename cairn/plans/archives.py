@@ -15,7 +15,7 @@ from cairn.operators import archive as archives
 from cairn.operators import catalog, codec, parity, validate, verify
 from cairn.operators.archive import Archive
 from cairn.plans.catalogue import CHUNK, CHUNKS, FILES, INDEX, KEY, PACK, PACKS, PCT, SHARDS, TILES, WINDOW, _entries, _files, query
-from cairn.scratch import shared_dir
+from cairn.scratch import shared_dir, written
 from cairn.sources import headers, manifest, sidecar
 from cairn.sources.rows import table_files
 from cairn.sources.store import Store
@@ -399,6 +399,8 @@ def metadata_healing(spark, sf):
     made = headers.header(KEY, F.lit(1), F.lit(1), data_offset=long(512), data_len=F.col("size"), manifest_offset=F.col("size") + 512, manifest_len=zero, extension_offset=zero, extension_len=zero)
     texts = manifest.lines(_entries(files), _chunk_lists(spark, sf)).select("path", F.encode("json", "UTF-8").alias("content"))
     regions = manifest.regions(files.select("path", made.alias("content")), texts)
+    # Read three times.  Regions are small and their parity is not, so they are dealt out by number, not by bytes.
+    regions = written(regions.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path"), "regions")
     healed = manifest.healed(verify.corrupted(regions, 30), manifest.protected(regions, 30, WINDOW), 30, WINDOW)
     before = regions.select("path", F.sha2("content", 256).alias("before"))
     fine = F.when(F.endswith("path", F.lit("#header")), headers.is_authentic(F.col("content"), KEY)).otherwise(F.sha2("content", 256) == F.col("before"))

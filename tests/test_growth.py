@@ -51,9 +51,10 @@ def test_repair_with_a_sidecar_that_cannot_be_read(spark):
     assert sidecar.repair(files, cars, 15, 16_384).isEmpty()
 
 
-@pytest.mark.parametrize("query", ["sidecar_healing"])
+@pytest.mark.parametrize("query", ["sidecar_healing", "metadata_healing"])
 def test_healing_builds_its_sidecars_once(spark, sf, query):
     import __spark_entry__
 
     plan = plan_of(__spark_entry__.queries()[query](spark, sf))
     assert plan.count("MapInArrow") == 2
+    assert query == "sidecar_healing" or "text#" not in plan  # regions are made once, not with each reading
