@@ -3,26 +3,33 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.functions.batches import cells, handed
 from cairn.model import MAX_BLOCK, MIB
 
 #: A sample that zstd level 3 leaves at 97 % or more does not compress; sizes of the sample.
 PROBE_LEVEL, PROBE_PCT, PROBE_WHOLE, PROBE_PARTS, PROBE_PART = 3, 97, MIB, 16, 64 << 10
 
 
+@cache
 def _zstd():
-    """(compress(data, level), decompress(data, most)); an error where zstandard is missing, since no other codec could be told apart later."""
+    """(compress(data, level), decompress(data, most)); an error where zstandard is missing, since no other codec could be told apart later.
+
+    A process makes its contexts once."""
     import zstandard
 
+    compressor, decompressor = cache(lambda level: zstandard.ZstdCompressor(level=level)), zstandard.ZstdDecompressor()
+
     def unpack(data: bytes, most: int) -> bytes:
-        with zstandard.ZstdDecompressor().stream_reader(data) as r:
+        with decompressor.stream_reader(data) as r:
             return r.read(most + 1)
 
-    return lambda data, level: zstandard.ZstdCompressor(level=level).compress(data), unpack
+    return lambda data, level: compressor(level).compress(data), unpack
 
 
 def sample(chunk: bytes) -> bytes:
@@ -43,48 +50,49 @@ def is_incompressible(chunk: bytes) -> bool:
 BLOCKS = "id string, plaintext_len bigint, compressed_len bigint, stored_raw boolean, block binary"
 
 
+def packed(chunk: bytes, level: int) -> tuple[bytes, bool]:
+    """(block, whether it is the chunk as it was)."""
+    some, pack = sample(chunk), _zstd()[0]
+    probe = pack(some, PROBE_LEVEL)
+    if chunk and len(probe) * 100 >= len(some) * PROBE_PCT:
+        return chunk, True
+    out = probe if level == PROBE_LEVEL and len(some) == len(chunk) else pack(chunk, level)
+    return (chunk, True) if len(out) >= len(chunk) else (out, False)
+
+
 def compressed(chunks: DataFrame, level: int = 3) -> DataFrame:
     """Blocks of (id, data): compressed, or raw if the probe or the result says that it does not pay."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = _zstd()[0]
-        for b in batches:
-            plain, blocks, raw = [], [], []
-            for cell in b.column(1):
-                data = cell.as_buffer().to_pybytes()
-                out = data if is_incompressible(data) else pack(data, level)
-                keep = len(out) >= len(data)
-                plain.append(len(data))
-                blocks.append(data if keep else out)
-                raw.append(keep)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(plain), pa.array([len(x) for x in blocks]), pa.array(raw), pa.array(blocks, pa.binary())], [x.split()[0] for x in BLOCKS.split(", ")])
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for id_, data in (row for b in batches for row in cells(b)):
+            block, raw = packed(data, level)
+            yield id_, len(data), len(block), raw, block
 
-    return chunks.select("id", "data").mapInArrow(run, BLOCKS)
+    return chunks.select("id", "data").mapInArrow(lambda batches: handed(blocks(batches), BLOCKS), BLOCKS)
+
+
+PLAIN = "id string, data binary"
 
 
 def decompressed(blocks: DataFrame) -> DataFrame:
     """(id, data): blocks unpacked, never beyond their recorded length; data is null if the block is missing or wrong."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def one(data: bytes | None, n: int | None, raw: bool | None) -> bytes | None:
         import zstandard
 
-        unpack = _zstd()[1]
-
-        def one(cell: pa.Scalar, n: int | None, raw: bool | None) -> bytes | None:
-            if not cell.is_valid or n is None or n > MAX_BLOCK:
-                return None
-            data = cell.as_buffer().to_pybytes()
-            try:
-                got = data if raw else unpack(data, n)
-            except zstandard.ZstdError:
-                return None
-            return got if len(got) == n else None
+        if data is None or n is None or n > MAX_BLOCK:
+            return None
+        try:
+            got = data if raw else _zstd()[1](data, n)
+        except zstandard.ZstdError:
+            return None
+        return got if len(got) == n else None
 
-        for b in batches:
-            out = [one(*row) for row in zip(b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["id", "data"])
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for id_, *block in (row for b in batches for row in cells(b)):
+            yield id_, one(*block)
 
-    return blocks.select("id", "block", "plaintext_len", "stored_raw").mapInArrow(run, "id string, data binary")
+    return blocks.select("id", "block", "plaintext_len", "stored_raw").mapInArrow(lambda batches: handed(plain(batches), PLAIN), PLAIN)
 
 
 def encrypted(block: Column, key: Column, iv: Column, aad: Column) -> Column:

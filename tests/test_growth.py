@@ -58,3 +58,17 @@ def test_healing_builds_its_sidecars_once(spark, sf, query):
     plan = plan_of(__spark_entry__.queries()[query](spark, sf))
     assert plan.count("MapInArrow") == 2
     assert query == "sidecar_healing" or "text#" not in plan  # regions are made once, not with each reading
+
+
+def test_blocks_are_what_the_probe_and_the_level_say():
+    import random
+
+    import zstandard
+
+    from cairn.operators import codec
+
+    noise = random.Random(1).randbytes(5000)
+    for chunk in (b"", b"a", b"abc " * 1000, noise, noise + b"abc " * 2000, noise * 300):
+        for level in (3, 9):
+            out = chunk if codec.is_incompressible(chunk) else zstandard.ZstdCompressor(level=level).compress(chunk)
+            assert codec.packed(chunk, level) == ((chunk, True) if len(out) >= len(chunk) else (out, False))
