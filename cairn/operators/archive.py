@@ -169,14 +169,15 @@ class Archive:
             entries = entries.join(old.select("path"), "path", "left_anti")
             files = files.join(entries.select("path"), "path", "left_semi")
         merged = catalog.upsert(old, entries, replace)
-        cut = written(self._cut(files))
-        ec = cut.select("path", "pos", "start", "len", "chunk_id")
-        blocks = written(self.new_blocks(cut, old_chunks))
+        # Chunks of fixed size are cut again where they are wanted; their bytes are written as blocks only.
+        cut = self._cut(files) if self.size is not None else written(self._cut(files))
+        ec = chunking.entry_chunks(files, self.size) if self.size is not None else cut.select("path", "pos", "start", "len", "chunk_id")
+        folder, blocks = self.store.put("blocks", self.new_blocks(cut, old_chunks))
         after = old_chunks.agg(F.coalesce(F.max("block_index") + 1, long(0)).alias("i"), F.coalesce(F.max(F.col("data_offset") + F.col("block_len") + PREFIX), long(0)).alias("o")).first()
         placed = catalog.running(blocks.drop("block").withColumn("_one", long(1)).withColumn("_size", F.col("block_len") + PREFIX), "id", {"block_index": "_one", "data_offset": "_size"})
         placed = placed.withColumn("block_index", F.col("block_index") + after["i"]).withColumn("data_offset", F.col("data_offset") + after["o"])
         names = [c.split()[0] for c in CHUNKS.split(", ")]
-        grown = {"chunks": placed.select(*names), "blocks": blocks.select("id", "block")}
+        grown = {"chunks": placed.select(*names), "blocks": folder}
         if old.join(entries.select("path"), "path", "left_semi").isEmpty():
             return self.store.commit({}, base, grown | {"entries": entries, "entry_chunks": ec})
         kept = old_ec.join(entries.select("path"), "path", "left_anti")

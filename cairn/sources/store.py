@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from cairn.model import Conflict, NotFound
 
 TABLES = ("entries", "entry_chunks", "chunks", "blocks", "shards", "settings")
+#: Tables whose files may hold more columns than these.
+COLUMNS = {"blocks": "id string, block binary"}
 
 
 class Store:
@@ -59,10 +61,17 @@ class Store:
         found = self.folders(version).get(name)
         if not found:
             raise NotFound(f"no table {name}")
-        return self.spark.read.parquet(*(f"{self.root}/{f}" for f in found))
+        read = self.spark.read.schema(COLUMNS[name]) if name in COLUMNS else self.spark.read
+        return read.parquet(*(f"{self.root}/{f}" for f in found))
 
-    def commit(self, tables: dict[str, DataFrame], base: int | None, append: dict[str, DataFrame] | None = None) -> int:
-        """Replace ``tables``, add to those in ``append``, keep the rest.  base: the snapshot that all of them were made from."""
+    def put(self, name: str, df: DataFrame) -> tuple[str, DataFrame]:
+        """A folder that :meth:`commit` may add to a table as it is, and the frame read again from it: bytes are written once."""
+        folder = f"data/{uuid.uuid4().hex}/{name}"
+        df.write.parquet(f"{self.root}/{folder}")
+        return folder, self.spark.read.schema(df.schema).parquet(f"{self.root}/{folder}")
+
+    def commit(self, tables: dict[str, DataFrame], base: int | None, append: dict[str, DataFrame | str] | None = None) -> int:
+        """Replace ``tables``, add to those in ``append`` (frames, or folders that :meth:`put` has made), keep the rest.  base: the snapshot that all of them were made from."""
         append = append or {}
         if unknown := (set(tables) | set(append)) - set(TABLES):
             raise ValueError(f"unknown tables {sorted(unknown)}")
@@ -70,9 +79,11 @@ class Store:
             raise ValueError("a table is replaced or appended to, not both")
         found = {} if base is None else self.folders(base)
         name = uuid.uuid4().hex
+        at = {t: df if isinstance(df, str) else f"data/{name}/{t}" for t, df in (tables | append).items()}
         for t, df in (tables | append).items():
-            df.write.parquet(f"{self.root}/data/{name}/{t}")
-        new = found | {t: [f"data/{name}/{t}"] for t in tables} | {t: [*found.get(t, []), f"data/{name}/{t}"] for t in append}
+            if not isinstance(df, str):
+                df.write.parquet(f"{self.root}/{at[t]}")
+        new = found | {t: [at[t]] for t in tables} | {t: [*found.get(t, []), at[t]] for t in append}
         version = 0 if base is None else base + 1
         self._publish(version, json.dumps({"tables": new}))
         return version

@@ -60,6 +60,27 @@ def test_healing_builds_its_sidecars_once(spark, sf, query):
     assert query == "sidecar_healing" or "text#" not in plan  # regions are made once, not with each reading
 
 
+def test_an_add_writes_bytes_once_and_no_cut_files(spark, tmp_path):
+    import random
+    from pathlib import Path
+
+    from cairn.operators.archive import Archive
+    from cairn.sources.store import Store
+
+    made = random.Random(3)
+    data = {f"f{i}": made.randbytes(20_000) for i in range(20)}
+    bytes_in = lambda *roots: sum(f.stat().st_size for r in roots for f in Path(r).rglob("*.parquet"))
+    roots = tmp_path, spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = bytes_in(*roots)
+    own = Archive.create(Store(spark, str(tmp_path / "store")), 4096)
+    own.add(files_of(spark, list(data.items())))
+    own.add(files_of(spark, [(f"again/{p}", d) for p, d in data.items()]))
+    assert bytes_in(*roots) - before < 4 * 400_000  # the files of both adds and the blocks of the first; with cut files and blocks kept beside the store, six
+    assert {r.path: bytes(r.content) for r in own.files().collect()} == data | {f"again/{p}": d for p, d in data.items()}
+    own.store.vacuum()
+    assert own.store.table("blocks").columns == ["id", "block"] and own.files().where("missing > 0").isEmpty()
+
+
 def test_blocks_are_what_the_probe_and_the_level_say():
     import random
 
